@@ -1,0 +1 @@
+"""Reserved: the surveyed operator set has no streaming semantics (README, "Scope")."""
