@@ -16,6 +16,35 @@ with v as (
 select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """
 
+#: Words of a text: A-Z lower-cased, runs of digits, letters and non-ASCII characters.
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP2 = f"""
+with item as (
+    select item_id, {_words("text")} as w from benchmark
+), window_of as (
+    select item_id, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as gram, least(len(w), 10) as m
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item where len(w) > 0)
+), doc as (
+    select doc_id, {_words("text")} as w from documents
+), place as (
+    select doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as gram
+    from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from doc, (select distinct m from window_of) where len(w) >= m)
+), found as (
+    select p.doc_id, p.i, p.m, item_id from place p join window_of x on p.gram = x.gram and p.m = x.m
+), hit as (
+    select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(i, i + m)) as word from found) group by doc_id
+), items as (
+    select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct doc_id, item_id::varchar as id from found) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (doc_id) left join items using (doc_id)
+"""
+
 _CRC = """
     select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
         case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end)) as t
@@ -42,4 +71,4 @@ select c.doc_id, c.size, c.text_crc32, 'key' as law, shard::int as shard,
 from c join place using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_topk": OP8, "op9_sharding": OP9}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op8_topk": OP8, "op9_sharding": OP9}
