@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
 from gridloom.llm.sharding import MULTIPLIER
 
 OP8 = """
@@ -45,6 +46,37 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from doc left join hit using (doc_id) left join items using (doc_id)
 """
 
+def _phrase_rows() -> str:
+    return ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
+
+
+def _template_rows() -> str:
+    return ", ".join(f"('{k}', {ws})" for k, ws in template_words(TEMPLATES).items())
+
+
+OP7 = f"""
+with phrase(phrase, label) as (values {_phrase_rows()}), template(name, t) as (values {_template_rows()}), doc as (
+    select doc_id, {_words("text")} as w, coalesce(text, '') as text from documents
+), place as (
+    select doc_id, i - 1 as pos, label
+    from (select doc_id, w, phrase, label, len(string_split(phrase, ' ')) as k, unnest(range(1, len(w) + 1)) as i from doc, phrase)
+    where array_to_string(list_slice(w, i, i + k - 1), ' ') = phrase
+), base as (
+    select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as marks from place group by doc_id
+), line as (
+    select doc_id, {_words("line")} as w from (select doc_id, unnest(string_split(text, chr(10))) as line from doc)
+), own as (
+    select doc_id, name, max(share) as share
+    from (select doc_id, name, len(list_intersect(list_distinct(w), t))::double / len(t) as share from line, template)
+    where share >= {THRESHOLD} group by doc_id, name
+), more as (select doc_id, list(name) as names, max(share) as best from own group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+    coalesce(array_to_string(list_sort(marks), ','), '') as base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(marks, []), coalesce(names, [])))), ',') as labels,
+    case when n_base > 0 then 1.0::double else coalesce(best, 0)::double end as score
+from doc left join base using (doc_id) left join more using (doc_id)
+"""
+
 _CRC = """
     select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
         case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end)) as t
@@ -71,4 +103,4 @@ select c.doc_id, c.size, c.text_crc32, 'key' as law, shard::int as shard,
 from c join place using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op8_topk": OP8, "op9_sharding": OP9}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9}
