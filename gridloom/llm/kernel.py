@@ -19,7 +19,7 @@ _M = (1 << 64) - 1
 
 def splitmix(x: np.ndarray | int) -> np.ndarray:
     """The splitmix64 finaliser, elementwise modulo 2**64."""
-    z = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    z = np.atleast_1d(np.asarray(x, np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
