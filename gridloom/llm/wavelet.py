@@ -6,28 +6,38 @@ once: access(i) reads a token, count(c) and rank(c, i) count occurrences, select
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import pyarrow as pa
 
 #: Bits between two entries of a rank directory.
 STEP = 2048
 
 
+def _packed(a: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(a.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, kind: str = "u1") -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data, size, asbytes=True), kind)
+
+
 def build(ids: np.ndarray, bits: int) -> tuple[list[bytes], list[bytes], list[int]]:
     """Compressed planes, compressed rank directories and each plane's number of zeros."""
     planes, ranks, zeros = [], [], []
     for k in range(bits - 1, -1, -1):
-        one = (ids & ids.dtype.type(1 << k)) != 0
-        low = ids[~one]
-        ids = np.concatenate((low, ids[one]))
+        one = (ids >> ids.dtype.type(k)).astype(np.uint8) & 1
         packed = np.packbits(one)
+        low = len(ids) - int(np.bitwise_count(packed).sum())
+        parted = np.empty_like(ids)
+        np.compress(one == 0, ids, out=parted[:low])
+        np.compress(one.view(bool), ids, out=parted[low:])
+        ids = parted
         per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), STEP // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
         directory = np.zeros(len(per) + 1, "<u4")
         np.cumsum(per, out=directory[1:])
-        planes.append(zlib.compress(packed.tobytes(), 1))
-        ranks.append(zlib.compress(directory.tobytes(), 1))
-        zeros.append(len(low))
+        planes.append(_packed(packed))
+        ranks.append(_packed(directory))
+        zeros.append(low)
     return planes, ranks, zeros
 
 
@@ -36,10 +46,10 @@ def decode(n: int, planes: list[bytes], zeros: list[int]) -> np.ndarray:
     bits = len(planes)
     out = np.zeros(n, np.uint16 if bits <= 16 else np.uint32)
     for k, (plane, z) in enumerate(zip(reversed(planes), reversed(zeros), strict=True)):
-        one = np.unpackbits(np.frombuffer(zlib.decompress(plane), np.uint8), count=n).view(bool)
+        one = np.unpackbits(_unpacked(plane, (n + 7) // 8), count=n)
         before = np.empty_like(out)
-        before[~one] = out[:z]
-        before[one] = out[z:] | out.dtype.type(1 << k)
+        before[np.flatnonzero(one == 0)] = out[:z]
+        before[np.flatnonzero(one)] = out[z:] | out.dtype.type(1 << k)
         out = before
     return out
 
@@ -49,8 +59,8 @@ class WaveletMatrix:
 
     def __init__(self, n: int, planes: list[bytes], ranks: list[bytes], zeros: list[int]):
         self.n, self.zeros, self.bits = n, zeros, len(planes)
-        self.planes = [np.frombuffer(zlib.decompress(p), np.uint8) for p in planes]
-        self.ranks = [np.frombuffer(zlib.decompress(r), "<u4") for r in ranks]
+        self.planes = [_unpacked(p, (n + 7) // 8) for p in planes]
+        self.ranks = [_unpacked(r, 4 * (-(-n // STEP) + 1), "<u4") for r in ranks]
 
     def _bit(self, plane: int, i: int) -> int:
         return int(self.planes[plane][i >> 3]) >> (7 - (i & 7)) & 1
