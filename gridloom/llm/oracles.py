@@ -22,6 +22,26 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
+OP1 = """
+with line as (
+    select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)
+), coded as (
+    select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) as w from line
+), word_line as (select * from coded where len(w) > 0), sets as (
+    select row_number() over (order by doc_id, line_no) as id, w, len(w) as n, doc_id, line_no
+    from (select *, row_number() over (partition by w order by doc_id, line_no) as nth from word_line) where nth = 1
+), word as (select id, n, unnest(w) as t from sets), similar_to as (
+    select a.id, count(*) as shared, any_value(a.n) as n, any_value(b.n) as m
+    from word a join word b on a.t = b.t and b.id < a.id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n group by a.id, b.id
+), gone as (select distinct id from similar_to where shared >= 0.8 * (n + m - shared) - 1e-9), kept as (
+    select doc_id, line_no from sets where id not in (select id from gone)
+), removed as (
+    select doc_id, list(line_no::int order by line_no) as removed_lines from (select doc_id, line_no from word_line except select doc_id, line_no from kept) group by doc_id
+)
+select doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint as n_lines, coalesce(len(removed_lines), 0)::bigint as n_removed, coalesce(removed_lines, []::int[]) as removed_lines
+from documents left join removed using (doc_id)
+"""
+
 OP2 = f"""
 with item as (
     select item_id, {_words("text")} as w from benchmark
@@ -103,4 +123,4 @@ select c.doc_id, c.size, c.text_crc32, 'key' as law, shard::int as shard,
 from c join place using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9}
