@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.kernel import bounded_batches, utf8, word_hashes
+from gridloom.llm.kernel import bounded_batches, tidy, utf8, word_hashes
 from gridloom.session import written
 
 WIDTH = 10
@@ -208,8 +208,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         after = next(blocks, None)
         run = _pass(item_windows(*block, width), width, last=after is None)
         if after is None:
-            return state.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
-        state, block = written(state.mapInArrow(run, state.schema), "decontam"), after
+            return state.mapInArrow(tidy(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+        state, block = written(state.mapInArrow(tidy(run), state.schema), "decontam"), after
 
 
 def _pass(w: Windows, width: int, last: bool):
@@ -264,5 +264,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                     yield batch.filter(pa.array(keep[row : row + batch.num_rows]))
                     row += batch.num_rows
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.mapInArrow(tidy(run), df.schema)
     return df

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.kernel import bounded_batches, slices, utf8
+from gridloom.llm.kernel import bounded_batches, slices, tidy, utf8
 
 PER_LANGUAGE, MAX_ROWS, MAX_BYTES, LANDMARKS, MAX_GRAMS = 300, 6000, 20_000, 40, 30_000
 #: Symbols: marks and digits (0), folded letters (1-26), bytes from 128 on (27-154).
@@ -167,5 +167,5 @@ def identify(docs: DataFrame, **options) -> DataFrame:
                 langs[none], score[none] = "und", 0.0
             yield pa.record_batch([batch.column(0), pa.array(langs.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
 
-    out = base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = base.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

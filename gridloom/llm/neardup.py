@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.kernel import bounded_batches, slices, splitmix, utf8, windows, word_hashes
+from gridloom.llm.kernel import give_back, bounded_batches, slices, splitmix, tidy, utf8, windows, word_hashes
 from gridloom.session import written
 
 WIDTH, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 64
@@ -101,7 +101,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, bands: int,
                     names=["doc_id", "row_key", "fp", "n", "bands"],
                 )
 
-    return base.mapInArrow(run, "doc_id long, row_key long, fp binary, n long, bands array<long>")
+    return base.mapInArrow(tidy(run), "doc_id long, row_key long, fp binary, n long, bands array<long>")
 
 
 def compare(fps: list[bytes], mult: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> Iterator[tuple[bytes, int, bytes]]:
@@ -195,6 +195,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         side = table["block"].to_numpy()[keep]
         cross = bool(table["split"][0].as_py()) and len(set(side.tolist())) > 1
         found = list(compare([wanted[i] for i in keep], table["mult"].to_numpy()[keep], np.array(table["bands"].to_pylist(), np.int64)[keep], [grams[ends[i] - counts[i] : ends[i]] for i in keep], side if cross else None, threshold))
+        give_back()
         return pa.table([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))] + [pa.array([bool(table["split"][0].as_py())] * len(found), pa.bool_())], names=["fp", "links", "root", "split"])
 
     linked = written(with_text.groupBy("task").applyInArrow(verify, "fp binary, links long, root binary, split boolean"), "linked")

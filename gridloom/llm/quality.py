@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.kernel import IS_WORD, bounded_batches, slices, splitmix, utf8, word_hashes
+from gridloom.llm.kernel import IS_WORD, bounded_batches, slices, splitmix, tidy, utf8, word_hashes
 
 STATISTICS = ("bytes", "words", "word_length", "upper", "digit", "space", "comma", "stop", "bang", "pipe", "symbol", "other", "high", "lines", "line_length", "line_repeats", "distinct", "stutter")
 PREFIX = "__q_"
@@ -214,7 +214,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             x = statistics(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x[:, j]) for j in range(len(names)))], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import wavelet
-from gridloom.llm.kernel import bounded_batches, slices, utf8
+from gridloom.llm.kernel import bounded_batches, slices, tidy, utf8
 from gridloom.session import shared_dir
 
 #: Bytes of text a partition gets on average, and tokens at which a shard is closed.
@@ -48,7 +48,7 @@ class WordTable(dict):
     For a tokenizer that drops white space, folds case and has pieces of letters, single digits or other marks.
     """
 
-    def __init__(self, tokenizer, most_words: int = 700_000, most_chars: int = 16 << 20):
+    def __init__(self, tokenizer, most_words: int = 400_000, most_chars: int = 16 << 20):
         super().__init__()
         self.tokenizer, self.most_words, self.most_chars = tokenizer, most_words, most_chars
         self.is_end = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -186,7 +186,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1,
             yield _pack(part, segment, bits, ids, doc_ids, counts)
 
     dealt = base.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(tidy(encode), FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -209,7 +209,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.record_batch([pa.array(keys, pa.int64(), mask=nulls), pa.array(ends - n + r["before"]), pa.array(n.astype(np.int64)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     cols = ["n", "planes", "zeros", "documents", "ids", "null_ids", "counts", "before"]
-    return with_start.select(*cols).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_start.select(*cols).mapInArrow(tidy(rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def open_shards(spark: SparkSession, path: str, part: int | None = None) -> list[tuple[int, int, wavelet.WaveletMatrix]]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.kernel import tidy
 from gridloom.session import written
 
 SCALE = 1024.0
@@ -176,4 +177,4 @@ def _search(base: DataFrame, queries: dict, number: int, k: int, schema: str) ->
                 arrays = [np.concatenate(c) for c in cols]
                 yield pa.record_batch([pa.array(a, pa.int64(), mask=(a == _NULL) if i in (1, 3) else None) for i, a in enumerate(arrays)], names=["query", "query_id", "self", "vec_id", "score"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
