@@ -403,12 +403,12 @@ def align_nearest(spark, d):
 
 def align_bilinear(spark, d):
     target = GridSpec(SPEC.x0 + STEP / 4, SPEC.y0 - STEP / 4, STEP * 2, STEP * 2, 16, 16)
-    return rounded(grid.align(cells(spark, d).select("row", "col", F.col("veg").alias("value")), SPEC, grid.template_cells(spark, target), target, "bilinear"), 5)
+    return rounded(grid.align(cells(spark, d).select("row", "col", F.col("veg").alias("value")), SPEC, grid.template_cells(spark, target), target, "bilinear"), 8)
 
 
 def _coarse(spark, d, how):
     target = GridSpec(SPEC.x0, SPEC.y0, STEP * 4, STEP * 4, 10, 10)
-    return rounded(grid.align(cells(spark, d).select("row", "col", F.col("veg").alias("value")), SPEC, grid.template_cells(spark, target), target, how))
+    return rounded(grid.align(cells(spark, d).select("row", "col", F.col("veg").alias("value")), SPEC, grid.template_cells(spark, target), target, how), 8)
 
 
 def coarsen_max(spark, d):
@@ -429,7 +429,7 @@ def block_sum(spark, d):
 
 def _boxes(spark, d):
     k = F.col("n_nationkey")
-    x1, y1 = F.lit(10.0) + (k * 7 % 33) * STEP + STEP / 4, F.lit(-10.0) - (k * 5 % 31) * STEP - STEP / 4
+    x1, y1 = F.lit(10.0) + (k * 7 % 33) * STEP + STEP * 0.23, F.lit(-10.0) - (k * 5 % 31) * STEP - STEP * 0.23
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     w, h = STEP * 3.1, STEP * 2.3
     ring = F.array(pt(x1, y1), pt(x1 + w, y1), pt(x1 + w, y1 - h), pt(x1, y1 - h))
