@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import written
@@ -24,16 +24,18 @@ def neighbour_edges(selected: DataFrame, connectivity: int = 8, keys: tuple[str,
     return there.join(selected.select(node(r, c).alias("b")), "b").select("a", "b")
 
 
-def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",), most_rounds: int = 60) -> DataFrame:
+def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",), most_rounds: int = 60, local_cells: int = 200_000) -> DataFrame:
     """CLU-1: selected cells (keys, row, col) with cluster_id 1..K per key in the order of their first cells by scan.
 
-    Each round every cell points to the least of itself and its neighbours in (row, col) order and the edges are redrawn
+    Up to local_cells selected cells are joined in one task per key. Beyond that, each round every cell points to the least of itself and its neighbours in (row, col) order and the edges are redrawn
     between those; a group at least halves, and pointers are followed to their ends. Each round is written to the shared
     folder, so the lineage stays short.
     """
     keys = tuple(k for k in keys if k in selected.columns)
     node = F.struct(*(F.col(k) for k in keys), F.col("row"), F.col("col"))
     cells = written(selected.select(*keys, "row", "col").distinct().withColumn("node", node), "selected")
+    if cells.limit(local_cells + 1).count() <= local_cells:
+        return connected_components_local(cells.drop("node"), connectivity, keys)
     edges = written(neighbour_edges(cells.drop("node"), connectivity, keys), "edges")
     labels = cells.select("node", F.col("node").alias("root"))
     for _ in range(most_rounds):
@@ -57,8 +59,11 @@ def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple
     return after.join(numbered, "root").select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.row").alias("row"), F.col("node.col").alias("col"), "cluster_id")
 
 
-def connected_components_local(selected: DataFrame, connectivity: int = 8, key: str = "aoi") -> DataFrame:
-    """The same by union-find in one task per key: for many small grids."""
+def connected_components_local(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
+    """The same by union-find in one task per key: for small grids, or many of them."""
+    use = [k for k in keys if k in selected.columns]
+    cells = selected.select(*use, "row", "col")
+    steps = _HALF[connectivity]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["row", "col"]).sort_values(["row", "col"], ignore_index=True)
@@ -72,7 +77,7 @@ def connected_components_local(selected: DataFrame, connectivity: int = 8, key:
             return i
 
         for (r, c), i in at.items():
-            for dr, dc in _HALF[connectivity]:
+            for dr, dc in steps:
                 j = at.get((r + dr, c + dc))
                 if j is not None:
                     a, b = find(i), find(j)
@@ -81,7 +86,10 @@ def connected_components_local(selected: DataFrame, connectivity: int = 8, key:
         number = {r: k + 1 for k, r in enumerate(sorted(set(roots)))}
         return pdf.assign(cluster_id=[number[r] for r in roots]).astype({"cluster_id": "int32"})
 
-    return selected.select(key, "row", "col").groupBy(key).applyInPandas(run, f"{key} string, row int, col int, cluster_id int")
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    schema = StructType([*cells.schema.fields, StructField("cluster_id", IntegerType())])
+    return cells.groupBy(*(use or [F.lit(1)])).applyInPandas(lambda pdf: run(pdf), schema)
 
 
 def prune(labelled: DataFrame, min_cells: int = 1, min_km2: float = 0.0, area: str | None = "area_km2", keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
@@ -94,9 +102,9 @@ def prune(labelled: DataFrame, min_cells: int = 1, min_km2: float = 0.0, area: s
     return labelled.join(names, [*keys, "cluster_id"]).drop("cluster_id").withColumnRenamed("__new", "cluster_id")
 
 
-def remove_small(cells: DataFrame, mask: str, min_cells: int, connectivity: int = 4, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
-    """FOC-4: groups of mask = 1 with fewer cells become 0; 0 and null stay."""
-    if min_cells <= 1:
+def remove_small(cells: DataFrame, mask: str, min_cells: int | Column, connectivity: int = 4, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
+    """FOC-4: groups of mask = 1 with fewer cells become 0; 0 and null stay. min_cells may be a column over the keys."""
+    if isinstance(min_cells, int) and min_cells <= 1:
         return cells
     use = [k for k in keys if k in cells.columns]
     labelled = connected_components(cells.filter(F.col(mask) == 1).select(*use, "row", "col"), connectivity, tuple(use))

@@ -34,9 +34,11 @@ def scenario_masks(cells: DataFrame, base: Params = Params(), scenarios: tuple[S
     for sc in scenarios:
         p = sc.params(base)
         chosen = select_top(scenario_score(cells, p, s), "score", p.top_pct_cells, p.top_km2, null_is_zero=True)
-        chosen = remove_small(chosen, "selected", p.min_cluster_cells, p.prune_connectivity)
         out.append(chosen.withColumn("scenario_id", F.lit(sc.scenario_id)))
-    return reduce(DataFrame.unionByName, out)
+    masks = written(reduce(DataFrame.unionByName, out), "chosen")
+    # one pass over all scenarios' groups: the scenario is part of the grid's key
+    least = F.create_map(*(F.lit(x) for sc in scenarios for x in (sc.scenario_id, sc.params(base).min_cluster_cells)))
+    return remove_small(masks, "selected", least[F.col("scenario_id")], base.prune_connectivity, ("scenario_id", "aoi"))
 
 
 def scenario_metrics(masks: DataFrame, baseline: str = "baseline") -> DataFrame:
