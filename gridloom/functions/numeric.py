@@ -86,9 +86,9 @@ def cutoff(flow: Column | str, distance: Column | str, most: float | None) -> Co
     return col(flow) if most is None else F.when(col(distance) > most, 0.0).otherwise(col(flow))
 
 
-def equity_mass(pop: Column | str, rwi: Column | str, weight: float = 0.25, sign: int = 1) -> Column:
-    """PRJ-25: population times (1 + sign * weight * rwi / 2), at least 0; no rwi counts as 0."""
-    m = col(pop) * (1 + F.lit(sign * weight) * F.coalesce(col(rwi), F.lit(0.0)) / 2)
+def equity_mass(pop: Column | str, rwi_z: Column | str, weight: float = 0.25, sign: int = 1) -> Column:
+    """PRJ-25: population times (1 + sign * weight * rwi_z), at least 0; rwi_z is wealth over 2, none counts as 0."""
+    m = col(pop) * (1 + F.lit(sign * weight) * F.coalesce(col(rwi_z), F.lit(0.0)))
     return F.greatest(F.lit(0.0), m)
 
 
@@ -122,7 +122,7 @@ def dominant(parts: dict[str, Column], none: str = "none", mixed: str = "mixed")
 def quadrant(score: Column | str, poverty: Column | str, score_median: Column | float, poverty_median: Column | float) -> Column:
     """PRJ-29: label by both values against their medians; null if a value is."""
     high, poor = col(score) >= score_median, col(poverty) >= poverty_median
-    return F.when(high & poor, "High score / High poverty").when(high & ~poor, "High score / Low poverty").when(~high & poor, "Low score / High poverty").when(~high & ~poor, "Low score / Low poverty")
+    return F.when(high & poor, "High score & high poverty").when(high & ~poor, "High score & lower poverty").when(~high & poor, "Lower score & high poverty").when(~high & ~poor, "Lower score & lower poverty")
 
 
 def poverty_rate(c: Column | str, largest: Column) -> Column:

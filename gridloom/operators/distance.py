@@ -40,7 +40,7 @@ def radius_pairs(points: DataFrame, targets: DataFrame, radius_km: float, most_l
 
 
 def radius_kpis(points: DataFrame, cells: DataFrame, radii, key: str = "project_id", households: float = 5.0) -> DataFrame:
-    """AGG-7: per point and radius: cells in the disk, people, households, poorest households, cropland, percentages over
+    """AGG-7: per point and radius: cells in the disk, people, households, poorest households, cropland, shares (0..1) of
     all cells of the disk (no data counts as 0), road cells at risk. One distance per pair serves all radii.
 
     cells: x, y, area_km2, pop, crop_frac, poverty, elec, rural, priority, risk.
@@ -48,7 +48,7 @@ def radius_kpis(points: DataFrame, cells: DataFrame, radii, key: str = "project_
     p = points.select(F.col(key).alias("__k"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     t = cells.withColumnsRenamed({"x": "t_lon", "y": "t_lat"})
     pairs = radius_pairs(p, t, max(radii)).withColumn("radius_km", F.explode(F.array(*(F.lit(float(r)) for r in radii)))).filter("dist_km <= radius_km")
-    share = lambda c: 100 * F.sum(F.coalesce((F.col(c) > 0.5).cast("int"), F.lit(0))) / F.count("*")
+    share = lambda c: F.sum(F.coalesce((F.col(c) > 0.5).cast("int"), F.lit(0))) / F.count("*")
     out = pairs.groupBy("__k", "radius_km").agg(
         F.count("*").alias("denom_cells"),
         F.coalesce(F.sum("pop"), F.lit(0.0)).alias("pop"),

@@ -13,7 +13,7 @@ from gridloom.operators.select import percentile_of, quantile_band, rank_by, top
 from gridloom.operators.tabular import one_to_one, with_names
 from gridloom.operators.zonal import collapse_pairs, throughput
 
-QUADRANTS = ("High score / High poverty", "High score / Low poverty", "Low score / High poverty", "Low score / Low poverty")
+QUADRANTS = ("High score & high poverty", "High score & lower poverty", "Lower score & high poverty", "Lower score & lower poverty")
 
 
 def totals_from_kpis(kpis: DataFrame) -> DataFrame:

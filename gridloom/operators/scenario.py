@@ -41,9 +41,11 @@ def scenario_masks(cells: DataFrame, base: Params = Params(), scenarios: tuple[S
     return remove_small(masks, "selected", least[F.col("scenario_id")], base.prune_connectivity, ("scenario_id", "aoi"))
 
 
-def scenario_metrics(masks: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """Cells, area, people, cropland and drought of each scenario's selection, and its overlap with the baseline's."""
-    base = masks.filter(F.col("scenario_id") == baseline).select(*[k for k in ("aoi", "row", "col") if k in masks.columns], (F.col("selected") == 1).alias("in_base"))
+def scenario_metrics(masks: DataFrame, baseline: str | DataFrame = "baseline") -> DataFrame:
+    """Cells, area, people, cropland and drought of each scenario's selection, and its overlap with the baseline: a scenario's
+    name, or a table of cells with `selected` (the mask of the full score)."""
+    source = masks.filter(F.col("scenario_id") == baseline) if isinstance(baseline, str) else baseline
+    base = source.select(*[k for k in ("aoi", "row", "col") if k in masks.columns], (F.col("selected") == 1).alias("in_base"))
     keys = [k for k in ("aoi", "row", "col") if k in masks.columns]
     joined = masks.join(base, keys, "left").withColumns({"on": F.col("selected") == 1, "in_base": F.coalesce("in_base", F.lit(False))})
     on = lambda c: F.coalesce(F.sum(F.when(F.col("on"), c)), F.lit(0.0))
@@ -59,10 +61,10 @@ def scenario_metrics(masks: DataFrame, baseline: str = "baseline") -> DataFrame:
     )
 
 
-def sweep(cells: DataFrame, base: Params = Params(), scenarios: tuple[Scenario, ...] = SCENARIOS) -> DataFrame:
+def sweep(cells: DataFrame, base: Params = Params(), scenarios: tuple[Scenario, ...] = SCENARIOS, baseline: str | DataFrame = "baseline") -> DataFrame:
     """Q10: metrics joined to the scenarios' parameters; figures rounded as in the published table."""
-    rows = [(sc.scenario_id, sc.desc, str(tuple(p.use_components)), float(p.top_pct_cells), p.top_km2, p.min_cluster_cells, p.smooth_radius) for sc in scenarios for p in [sc.params(base)]]
-    table = cells.sparkSession.createDataFrame(rows, "scenario_id string, desc string, USE_COMPONENTS string, TOP_PCT_CELLS double, TOP_KM2 double, MIN_CLUSTER_CELLS int, SMOOTH_RADIUS int")
-    m = scenario_metrics(written(scenario_masks(cells, base, scenarios), "masks"))
-    m = m.withColumns({c: np_round(c, 4) for c in ("jaccard_vs_baseline", "drought_mean_selected")}).withColumns({c: np_round(c, 2) for c in ("selected_km2", "pop_selected", "ag_km2_selected", "overlap_pct_vs_baseline")})
+    rows = [(sc.scenario_id, sc.desc, sc.scenario_id, str(tuple(p.use_components)), *(float(p.weights.get(c, 0.0)) for c in COMPONENTS), p.mask_require_rural, p.mask_min_cropland, p.top_pct_cells / 100, p.top_km2, p.min_cluster_cells, p.smooth_radius) for sc in scenarios for p in [sc.params(base)]]
+    table = cells.sparkSession.createDataFrame(rows, "scenario_id string, desc string, id string, USE_COMPONENTS string, W_ACC double, W_POP double, W_VEG double, W_NTL double, W_DRT double, MASK_REQUIRE_RURAL boolean, MASK_MIN_CROPLAND double, TOP_PCT_CELLS double, TOP_KM2 double, MIN_CLUSTER_CELLS int, SMOOTH_RADIUS int")
+    m = scenario_metrics(written(scenario_masks(cells, base, scenarios), "masks"), baseline)
+    m = m.withColumns({c: np_round(c, 4) for c in ("jaccard_vs_baseline", "drought_mean_selected", "selected_km2", "pop_selected", "ag_km2_selected", "overlap_pct_vs_baseline")})
     return F.broadcast(table).join(m, "scenario_id", "left")

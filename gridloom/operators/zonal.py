@@ -64,8 +64,8 @@ def rank_pack(cells: DataFrame, score: str = "score", mask: str = "selected", zo
 
 
 def municipality_pack(cells: DataFrame, zone: str = "zone_id") -> DataFrame:
-    """AGG-6, JON-4: per zone area, people in all and by travel time, cropland, shares over all cells, mean rwi: one groupBy."""
-    mean01 = lambda c: 100 * F.avg(flag(F.col(c) > 0.5))
+    """AGG-6, JON-4: per zone area, people in all and by travel time, cropland, shares (0..1) over all cells, mean rwi: one groupBy."""
+    mean01 = lambda c: F.avg(flag(F.col(c) > 0.5))
     near = lambda t: F.coalesce(F.sum(F.when(F.col("travel_min") <= t, F.col("pop"))), F.lit(0.0))
     return cells.filter(F.col(zone) > 0).groupBy(zone).agg(
         F.sum("area_km2").alias("area_km2"),
@@ -91,7 +91,7 @@ def cluster_pack(cells: DataFrame, cluster: str = "cluster_id", thresholds=(30,
     """AGG-8, AGG-32: per cluster the sums, shares, means, centre and main zone; policy `poison`: a missing cell voids a value."""
     rows = cells.filter(F.col(cluster).isNotNull())
     rows = rows.withColumn("__crop", F.col("crop_frac") * F.col("area_km2"))
-    pct = lambda c: 100 * F.avg(flag(F.col(c) > 0.5))
+    pct = lambda c: F.avg(flag(F.col(c) > 0.5))
     shares = [F.avg(flag(F.col("travel_min") <= t)).alias(f"share_le_{t:g}m") for t in thresholds]
     out = rows.groupBy(cluster).agg(F.sum("area_km2").alias("area_km2"), _agg("sum", "pop", policy).alias("pop"), _agg("sum", "__crop", policy).alias("cropland_km2"), pct("elec").alias("pct_electrified"), pct("rural").alias("pct_rural"), _agg("mean", "travel_min", policy).alias("mean_travel_min"), _agg("mean", "drought", policy).alias("drought_mean_0_1"), F.sum(flag(F.col("risk") > 0.5)).alias("risk_roadcells"), _agg("mean", "flood_max", policy).alias("flood_depth_mean_m"), _agg("mean", "rwi", policy).alias("rwi_mean"), F.avg("x").alias("centroid_lon"), F.avg("y").alias("centroid_lat"), *shares)
     return out.join(mode_label(rows.filter(F.col("zone_id") > 0), cluster, "zone_id"), cluster, "left")
@@ -109,8 +109,8 @@ def flood_summary(cells: DataFrame, depth_m: float = 0.3, fraction_min: float =
 
 def overlap(a: Column, b: Column) -> dict[str, Column]:
     """AGG-18 as aggregates: share of a's cells in b, and Jaccard; null where there are none."""
-    both, either, first = F.count_if(a & b), F.count_if(a | b), F.count_if(a)
-    return {"overlap_pct_vs_baseline": safe_div(100.0 * both, first), "jaccard_vs_baseline": safe_div(both, either)}
+    both, either, first = F.count_if(a & b).cast("double"), F.count_if(a | b), F.count_if(a)
+    return {"overlap_pct_vs_baseline": safe_div(both, first), "jaccard_vs_baseline": safe_div(both, either)}
 
 
 def weighted_mean(value: str, weight: str) -> Column:

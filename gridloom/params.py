@@ -68,12 +68,16 @@ class Scenario:
         return base.with_(**self.changes)
 
 
-#: The sweep that is run when none is given.
+def _weights(access: float, pop: float, veg: float, drought: float) -> dict[str, float]:
+    return {"access": access, "pop": pop, "veg": veg, "ntl": 0.0, "drought": drought}
+
+
+#: The sweep that is run when none is given. Its weights and limits.
 SCENARIOS = (
-    Scenario("baseline", "Access, population and drought, top 10 percent"),
-    Scenario("no_drought", "Drought left out", {"use_components": (1, 1, 0, 0, 0)}),
-    Scenario("veg_signal", "Vegetation added", {"use_components": (1, 1, 1, 0, 1)}),
-    Scenario("top_800km2", "A fixed area of 800 square kilometres", {"top_km2": 800.0}),
+    Scenario("baseline", "Access, population and drought; rural, cropland from 5 percent, top 10 percent", {"weights": _weights(0.5, 0.3, 0.0, 0.2)}),
+    Scenario("no_drought", "Access and population only", {"use_components": (1, 1, 0, 0, 0), "weights": _weights(0.7, 0.3, 0.0, 0.0)}),
+    Scenario("veg_signal", "Access, population and vegetation; cropland from 10 percent", {"use_components": (1, 1, 1, 0, 0), "weights": _weights(0.5, 0.3, 0.2, 0.0), "mask_min_cropland": 0.1}),
+    Scenario("top_800km2", "The baseline's weights on a fixed area of 800 square kilometres", {"weights": _weights(0.5, 0.3, 0.0, 0.2), "top_km2": 800.0}),
 )
 
 

@@ -263,7 +263,7 @@ def od_agents(spark, d):
 
 def equity_mass(spark, d):
     c = cells(spark, d)
-    return rounded(c.select("row", "col", num.equity_mass("pop", "rwi").alias("mass"), num.impedance("travel_min", "pow").alias("decay"), num.friction(F.when(F.col("road") > 0, 30.0)).alias("friction")))
+    return rounded(c.select("row", "col", num.equity_mass("pop", F.col("rwi") / 2).alias("mass"), num.impedance("travel_min", "pow").alias("decay"), num.friction(F.when(F.col("road") > 0, 30.0)).alias("friction")))
 
 
 def nearest_counts(spark, d):

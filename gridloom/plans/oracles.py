@@ -141,7 +141,7 @@ def _sweep() -> str:
     return WITH + ", ".join(ctes) + f""", every as ({' union all '.join(unions)}), base as (select "row", col, sel as in_base from every where scenario_id = 'baseline')
     select scenario_id, count(*) filter (sel) as selected_cells, {_r('coalesce(sum(area_km2) filter (sel), 0)', 3)} as selected_km2, {_r('coalesce(sum(pop) filter (sel), 0)', 3)} as pop_selected,
         {_r('coalesce(sum(crop_frac * area_km2) filter (sel), 0)', 3)} as ag_km2_selected, {_r('avg(drought) filter (sel)', 3)} as drought_mean_selected,
-        {_r('100.0::double * count(*) filter (sel and in_base) / nullif(count(*) filter (sel), 0)', 3)} as overlap_pct_vs_baseline,
+        {_r('(count(*) filter (sel and in_base))::double / nullif(count(*) filter (sel), 0)', 3)} as overlap_pct_vs_baseline,
         {_r('(count(*) filter (sel and in_base))::double / nullif(count(*) filter (sel or in_base), 0)', 3)} as jaccard_vs_baseline, count(*) filter (in_base) as baseline_cells
     from every join base using ("row", col) join g using ("row", col) group by scenario_id"""
 
@@ -178,8 +178,8 @@ def _grid(n: int, k: int) -> str:
 
 def _pack() -> str:
     return f"""select cluster_id, {_r('sum(area_km2)', 4)} as area_km2, {_r('case when count(pop) = count(*) then sum(pop) end', 4)} as pop,
-        {_r('case when count(crop_frac) = count(*) then sum(crop_frac * area_km2) end', 4)} as cropland_km2, {_r('100.0::double * avg(case when elec > 0.5 then 1 else 0 end)', 4)} as pct_electrified,
-        {_r('100.0::double * avg(case when rural > 0.5 then 1 else 0 end)', 4)} as pct_rural, {_r('case when count(travel_min) = count(*) then avg(travel_min) end', 4)} as mean_travel_min,
+        {_r('case when count(crop_frac) = count(*) then sum(crop_frac * area_km2) end', 4)} as cropland_km2, {_r('avg(case when elec > 0.5 then 1 else 0 end)', 4)} as pct_electrified,
+        {_r('avg(case when rural > 0.5 then 1 else 0 end)', 4)} as pct_rural, {_r('case when count(travel_min) = count(*) then avg(travel_min) end', 4)} as mean_travel_min,
         {_r('case when count(drought) = count(*) then avg(drought) end', 4)} as drought_mean_0_1, {_b('sum(case when road * (flood_frac >= 0.25)::int > 0.5 then 1 else 0 end)')} as risk_roadcells,
         {_r('case when count(flood_max) = count(*) then avg(flood_max) end', 4)} as flood_depth_mean_m, {_r('case when count(rwi) = count(*) then avg(rwi) end', 4)} as rwi_mean,
         {_r('avg(x)', 4)} as centroid_lon, {_r('avg(y)', 4)} as centroid_lat, {', '.join(f"{_r(f'avg(case when travel_min <= {t} then 1 else 0 end)', 4)} as share_le_{t}m" for t in (30, 60, 120, 240))}"""
@@ -203,7 +203,7 @@ def _profile() -> str:
     return " union all ".join(out)
 
 
-_mun = lambda c: _r(f"100.0::double * avg(case when {c} > 0.5 then 1 else 0 end)", 4)
+_mun = lambda c: _r(f"avg(case when {c} > 0.5 then 1 else 0 end)", 4)
 
 ORACLES: dict[str, str] = {
     "zone_shortlist": f"""with g as (select s_nationkey as zone_id, sum(l_quantity) as qty, sum(cast(round(l_discount * 100) as bigint)) / count(*)::double as mean_discount,
@@ -232,10 +232,10 @@ ORACLES: dict[str, str] = {
     "municipality_pack": f"""with {TOP} select zone_id, {_r('sum(area_km2)', 4)} as area_km2, {_r('sum(pop)', 4)} as pop_total, {_r('coalesce(sum(pop) filter (travel_min <= 60), 0)', 4)} as pop_le60min,
         {_r('coalesce(sum(pop) filter (travel_min <= 120), 0)', 4)} as pop_le120min, {_r('coalesce(sum(pop) filter (travel_min > 120), 0)', 4)} as pop_gt120min, {_r('sum(crop_frac * area_km2)', 4)} as cropland_km2,
         {_mun('elec')} as pct_electrified, {_mun('rural')} as pct_rural, {_mun('selected')} as pct_priority, {_r('avg(rwi)', 4)} as rwi_mean from t group by 1""",
-    "muni_shortlist": f"""with {TOP}, a as (select zone_id, sum(pop) as pop, sum(crop_frac * area_km2) as crop, 100.0::double * avg(case when elec > 0.5 then 1 else 0 end) as el, 100.0::double * avg(case when rural > 0.5 then 1 else 0 end) as ru,
-        100.0::double * avg(case when selected > 0.5 then 1 else 0 end) as pr, avg(rwi) as rwi, sum(cast(pov * 1000 as bigint))::double / count(*) / 1000.0::double as pov, sum(cast(mtt * 100 as bigint))::double / count(*) / 100.0::double as mtt from (
+    "muni_shortlist": f"""with {TOP}, a as (select zone_id, sum(pop) as pop, sum(crop_frac * area_km2) as crop, avg(case when elec > 0.5 then 1 else 0 end) as el, avg(case when rural > 0.5 then 1 else 0 end) as ru,
+        avg(case when selected > 0.5 then 1 else 0 end) as pr, avg(rwi) as rwi, sum(cast(pov * 1000 as bigint))::double / count(*) / 1000.0::double as pov, sum(cast(mtt * 100 as bigint))::double / count(*) / 100.0::double as mtt from (
             select * replace (trunc(pov * 1000) / 1000 as pov, trunc(mtt * 100) / 100 as mtt) from t) group by 1)
-        select zone_id, {_r('pop * ru / 100', 5)} as rural_pop_est, {_r('pr', 5)} as pct_priority, {_r('pov', 5)} as poverty_rural,
+        select zone_id, {_r('pop * ru', 5)} as rural_pop_est, {_r('pr', 5)} as pct_priority, {_r('pov', 5)} as poverty_rural,
         {_r(f"({_shortlist_part('pov')} + {_shortlist_part('mtt')} + {_shortlist_part('pr')} + {_shortlist_part('crop')} + {_shortlist_part('el', True)} + {_shortlist_part('rwi', True)}) / 6", 5)} as score from a""",
     "focal_mean": f"with {CELLS} select \"row\", col, {_r('veg')} as veg from {_smoothed('g', 'veg')}",
     "dilate_near_priority": f"""with {TOP} select a."row", a.col, {_i('max(coalesce(b.selected, 0))')} as near from t a join t b on abs(a."row" - b."row") <= 1 and abs(a.col - b.col) <= 1 group by 1, 2""",
@@ -274,15 +274,15 @@ ORACLES: dict[str, str] = {
     "nearest_counts": f"with {SITES} select * from counts",
     "radius_kpis": f"""with {CELLS}, {SITES}, d as (select site_id, g.*, {_hav('p.lon', 'p.lat', 'g.x', 'g.y')} as d from p, g)
         select site_id as project_id, r as radius_km, count(*) as denom_cells, {_r('sum(pop)', 3)} as pop, {_r('sum(pop / 5.0)', 3)} as hh, {_r('sum(pop / 5.0 * pov)', 3)} as poorest_hh, {_r('sum(crop_frac * area_km2)', 3)} as ag_km2,
-        {_r('100.0::double * count(*) filter (elec > 0.5) / count(*)', 3)} as pct_electrified, {_r('100.0::double * count(*) filter (rural > 0.5) / count(*)', 3)} as pct_rural,
-        {_r('100.0::double * count(*) filter (veg > 0.9) / count(*)', 3)} as pct_priority, count(*) filter (road * flood_frac > 0.5) as risk_roadcells from d, (select unnest([2.0::double, 5.0]) as r) where d <= r group by 1, 2""",
+        {_r('1.0::double * count(*) filter (elec > 0.5) / count(*)', 3)} as pct_electrified, {_r('1.0::double * count(*) filter (rural > 0.5) / count(*)', 3)} as pct_rural,
+        {_r('1.0::double * count(*) filter (veg > 0.9) / count(*)', 3)} as pct_priority, count(*) filter (road * flood_frac > 0.5) as risk_roadcells from d, (select unnest([2.0::double, 5.0]) as r) where d <= r group by 1, 2""",
     "haversine_pairs": f"with {ZONES} select a.code as oi, b.code as dj, {_r(_hav('a.lon', 'a.lat', 'b.lon', 'b.lat'))} as dist_km from z a, z b",
     "weighted_mean_median": f"""with e as (select l_returnflag, l_discount from lineitem, range(cast(floor(l_quantity) as bigint))), m as (select l_returnflag, median(l_discount) as md from e group by 1)
         select l_returnflag, {_r('sum(l_discount * l_quantity) / sum(l_quantity)')} as mean_discount, {_r('any_value(md)')} as median_discount from lineitem join m using (l_returnflag) group by 1""",
     "quadrant_stats": f"""with {WIDE}, r as (select balance__BUILDING as sc, abs(balance__MACHINERY) / 100.0::double as po from w), k as (select median(sc) as ms, median(po) as mp, max(po) as top from r where sc is not null and po is not null), l as (
-        select case when sc >= ms then 'High' else 'Low' end || ' score / ' || case when po >= mp then 'High' else 'Low' end || ' poverty' as quadrant,
+        select case when sc >= ms then 'High' else 'Lower' end || ' score & ' || case when po >= mp then 'high' else 'lower' end || ' poverty' as quadrant,
         1000.0::double * {_clamp('(case when top <= 1.5 then po when top <= 100 then po / 100 end)', '0.0', '1.0')} as poor from r, k where sc is not null and po is not null), s as (
-        select q as quadrant, count(l.quadrant) as zones, coalesce(sum(poor), 0) as rp from (select unnest(['High score / High poverty', 'High score / Low poverty', 'Low score / High poverty', 'Low score / Low poverty']) as q) left join l on quadrant = q group by 1)
+        select q as quadrant, count(l.quadrant) as zones, coalesce(sum(poor), 0) as rp from (select unnest(['High score & high poverty', 'High score & lower poverty', 'Lower score & high poverty', 'Lower score & lower poverty']) as q) left join l on quadrant = q group by 1)
         select quadrant, zones, {_r('rp', 0)} as rural_poor, {_r('100.0 * rp / nullif(sum(rp) over (), 0)', 0)} as share_pct from s""",
     "site_gains_pivot": f"""with {CELLS}, k as (select zone_id as site_id, {', '.join(f'coalesce(sum(n) filter (travel_min <= {t}), 0)::double as pop_{t}' for t in (30, 60, 120, 240))} from g group by 1)
         select *, pop_60 - pop_30 as gain_30_60, pop_120 - pop_60 as gain_60_120, pop_240 - pop_120 as gain_120_240 from k""",

@@ -105,7 +105,7 @@ def muni_shortlist(cells: DataFrame, indicators: DataFrame, zone: str = "zone_id
     """Q09: zone statistics, indicators, rural people, composite score, best first."""
     pack = zonal.municipality_pack(cells, zone)
     table = tabular.left_on_text(pack, indicators, [zone])
-    table = table.withColumn("rural_pop_est", F.col("pop_total") * F.col("pct_rural") / 100)
+    table = table.withColumn("rural_pop_est", F.col("pop_total") * F.col("pct_rural"))
     return select.composite(table, SHORTLIST).orderBy(F.desc("score"), zone)
 
 

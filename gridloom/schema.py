@@ -9,14 +9,19 @@ from pyspark.sql import types as T
 from gridloom.functions.numeric import np_round
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Flat columns "name type, ..." without the session that Spark's own parser needs."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in text.split(","))])
 
 
 GRID_SPEC = _schema("aoi string, x0 double, y0 double, dx double, dy double, height int, width int, crs string")
 ZONES = _schema("aoi string, zone_id int, adm2 string, nam_1 string, nam_2 string, lon double, lat double")
 POINTS = _schema("aoi string, layer string, point_id string, lon double, lat double")
-FEATURES = _schema("layer string, feature_id bigint, seq int, kind string, fclass string, value double, parts array<array<struct<x:double,y:double>>>")
+_VERTEX = _schema("x double, y double")
+FEATURES = _schema("layer string, feature_id bigint, seq int, kind string, fclass string, value double").add("parts", T.ArrayType(T.ArrayType(_VERTEX)))
 ISOCHRONE_KPIS = _schema("travel_cut_min double, pop_within double, cells_within bigint, area_km2_within double, pop_pct double, cropland_km2 double, cropland_pct double, electrified_cells bigint, electrified_pct double, pop_total double, cropland_total_km2 double, electrified_total_cells bigint, note_electrification_denominator_zero boolean")
 ADMIN2_RANK = _schema("zone_id int, score double, rank int, selected boolean, share_selected double, selected_cells bigint, selected_km2 double, total_cells bigint, total_km2 double")
 SITE_AUDIT = _schema("site_id int, lon double, lat double, row int, col int, travel_min double, veg_index double, ntl double, drought_pct double, cropland_cells_5km bigint, cropland_km2_5km double, electrified_cells_5km bigint, electrified_share_5km double, near_road_flag int")
