@@ -22,11 +22,11 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
-OP1 = """
+OP1 = f"""
 with line as (
     select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)
 ), coded as (
-    select doc_id, line_no, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) as w from line
+    select doc_id, line_no, list_sort(list_distinct({_words("line")})) as w from line
 ), word_line as (select * from coded where len(w) > 0), sets as (
     select row_number() over (order by doc_id, line_no) as id, w, len(w) as n, doc_id, line_no
     from (select *, row_number() over (partition by w order by doc_id, line_no) as nth from word_line) where nth = 1
