@@ -60,7 +60,7 @@ def source_index(spec: GridSpec, x: str = "x", y: str = "y") -> tuple[Column, Co
 
 
 def align(source: DataFrame, source_spec: GridSpec, cells: DataFrame, target_spec: GridSpec, method: str = "nearest", value: str = "value") -> DataFrame:
-    """GRD-2: the target's (row, col) with the source's layer resampled to it; null where the source has no data.
+    """GRD-2 (a nearest, b bilinear, c max, d average, e all others): the target's (row, col) with the source's layer resampled to it; null where the source has no data.
 
     nearest, bilinear, cubic and lanczos look from target centres into the source; the others gather the source cells whose
     centres lie in a target cell (overlaps are not weighted: for integer factors that is the same).

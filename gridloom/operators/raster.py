@@ -75,6 +75,12 @@ def touched_cells(features: DataFrame, spec: GridSpec) -> DataFrame:
     return polygon_cells(features, spec).unionByName(line_cells(features, spec, closed=True)).distinct()
 
 
+def aoi_mask(cells: DataFrame, boundary: DataFrame, spec: GridSpec, out: str = "in_aoi") -> DataFrame:
+    """GRD-10: cells with a flag for those that the boundary touches; written tables keep it for later steps."""
+    inside = touched_cells(boundary, spec).select("row", "col").distinct().withColumn(out, F.lit(True))
+    return cells.join(inside, ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def burn(features: DataFrame, spec: GridSpec, where: str | Column | None = None, all_touched: bool = False, kind: str = "polygon") -> DataFrame:
     """RST-1, RST-2: (row, col, value) of the latest feature on each cell; no features give no rows (all null after a join)."""
     chosen = select_features(features, where)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as num
 from gridloom.functions.geo import cell_area_latlon, polygon_centroid
 from gridloom.functions.numeric import np_round
-from gridloom.operators import cluster, cost, distance, focal, grid, od, profile, raster, report, scenario, score, select, tabular, validate, zonal
+from gridloom.operators import cluster, cost, distance, filters, focal, grid, od, profile, raster, report, scenario, score, select, tabular, validate, zonal
 from gridloom.operators.grid import GridSpec
 from gridloom.params import Params, Scenario
 from gridloom.plans import steps
@@ -464,9 +464,28 @@ def cost_distance(spark, d):
     return rounded(cost.travel_minutes(s, c, SPEC, 300.0), 4)
 
 
+def cell_filters(spark, d):
+    c = filters.between(filters.labelled(cells(spark, d), "zone_id", "veg", "rwi"), "drought", 20.0, 60.0)
+    return filters.fill(c.filter(filters.any_of("road", [1.0])), {"rwi": 0.0}).select("row", "col", "zone_id")
+
+
+def zone_quantiles(spark, d):
+    return rounded(filters.quantiles(cells(spark, d), "rwi", (0.25, 0.5, 0.75)))
+
+
+def off_diagonal(spark, d):
+    z = zones(spark, d)
+    pairs = filters.off_diagonal(filters.flatten_matrix(z.select(F.col("code").alias("oi")), z.select(F.col("code").alias("dj"))))
+    return filters.lock_order(pairs, ["dj", "oi"])
+
+
+def aoi_cells(spark, d):
+    return raster.aoi_mask(cells(spark, d).select("row", "col"), _boxes(spark, d).filter("feature_id < 6"), SPEC)
+
+
 def provenance(spark, d):
     return validate.provenance(spark, f"{d}/region.parquet").select("file", "bytes", "md5")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (zone_shortlist, masked_sum, zonal_means, isochrone_masks, isochrone_kpis, score_v1, priority_score, rwi_equity, top_pct_mask, top_area_mask, zone_rank_pack, municipality_pack, muni_shortlist, focal_mean, dilate_near_priority, disk_sum_sites, flood_summary, components, component_prune, remove_small, cluster_kpis, scenario_sweep, indicator_wide, indicator_long, indicator_corr, poverty_quintile, od_gravity, od_cutoff, od_pairs_top, od_throughput, od_ipf_step, od_diagnostics, od_asymmetry, od_agents, equity_mass, nearest_counts, radius_kpis, haversine_pairs, weighted_mean_median, quadrant_stats, site_gains_pivot, equity_outliers, coverage_by_zone, table_s1, table_s2, table_s3, table_s4, islands, table_profile_orders, top_values, profile_rows, key_set_checks, monotone_checks, range_checks, unique_checks, flow_checks, mode_zone, dominant_source, road_class, share_and_scale, dedupe_first, first_values, reclass_and_flags, align_nearest, align_bilinear, coarsen_max, coarsen_avg, coarsen_mode, block_sum, scanline_burn, polygon_fraction, box_centroids, zone_labels, line_burn, cost_distance, provenance)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (zone_shortlist, masked_sum, zonal_means, isochrone_masks, isochrone_kpis, score_v1, priority_score, rwi_equity, top_pct_mask, top_area_mask, zone_rank_pack, municipality_pack, muni_shortlist, focal_mean, dilate_near_priority, disk_sum_sites, flood_summary, components, component_prune, remove_small, cluster_kpis, scenario_sweep, indicator_wide, indicator_long, indicator_corr, poverty_quintile, od_gravity, od_cutoff, od_pairs_top, od_throughput, od_ipf_step, od_diagnostics, od_asymmetry, od_agents, equity_mass, nearest_counts, radius_kpis, haversine_pairs, weighted_mean_median, quadrant_stats, site_gains_pivot, equity_outliers, coverage_by_zone, table_s1, table_s2, table_s3, table_s4, islands, table_profile_orders, top_values, profile_rows, key_set_checks, monotone_checks, range_checks, unique_checks, flow_checks, mode_zone, dominant_source, road_class, share_and_scale, dedupe_first, first_values, reclass_and_flags, align_nearest, align_bilinear, coarsen_max, coarsen_avg, coarsen_mode, block_sum, scanline_burn, polygon_fraction, box_centroids, zone_labels, line_burn, cost_distance, cell_filters, zone_quantiles, off_diagonal, aoi_cells, provenance)}
 

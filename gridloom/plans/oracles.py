@@ -335,6 +335,11 @@ ORACLES: dict[str, str] = {
         select {_i('r // 10')} as "row", {_i('c // 10')} as col, {_r('count(*) / 100.0::double')} as value from hit group by 1, 2""",
     "box_centroids": f"with {BOXES} select k::bigint as feature_id, {_r('x1 + w / 2', 7)} as lon, {_r('y1 - h / 2', 7)} as lat from box",
     "zone_labels": f"select n_name as code, {_i('row_number() over (order by n_name)')} as zone_id, {_i('row_number() over (order by n_nationkey)')} as file_id from nation",
+    "cell_filters": f"with {CELLS} select \"row\", col, zone_id from g where zone_id > 0 and veg is not null and rwi is not null and drought between 20 and 60 and road = 1",
+    "zone_quantiles": f"with {CELLS} select {_r('quantile_cont(rwi, 0.25)')} as p25, {_r('quantile_cont(rwi, 0.5)')} as p50, {_r('quantile_cont(rwi, 0.75)')} as p75 from g",
+    "off_diagonal": "select a.n_nationkey as oi, b.n_nationkey as dj from nation a, nation b where a.n_nationkey <> b.n_nationkey",
+    "aoi_cells": f"""with {CELLS}, {BOXES}, e as (select *, 10.0::double - {STEP}::double / 2 as gx, -10.0::double + {STEP}::double / 2 as gy from box where k < 6)
+        select "row", col, exists (select 1 from e where (x1 - gx) / {STEP}::double < col + 1 and (x1 + w - gx) / {STEP}::double >= col and (gy - y1) / {STEP}::double < "row" + 1 and (gy - y1 + h) / {STEP}::double >= "row") as in_aoi from g""",
     "line_burn": f"""with {BOXES}, e as (select k, floor((x1 - (10.0::double - {STEP}::double / 2)) / {STEP}::double) as c1, floor((x1 + w - (10.0::double - {STEP}::double / 2)) / {STEP}::double) as c2,
         floor(((-10.0::double + {STEP}::double / 2) - y1) / {STEP}::double) as r1, floor(((-10.0::double + {STEP}::double / 2) - (y1 - h)) / {STEP}::double) as r2 from box)
         select k::bigint as feature_id, {_i('r')} as "row", {_i('c')} as col from e, range(40) a(r), range(40) b(c) where (r in (r1, r2) and c between c1 and c2) or (c in (c1, c2) and r between r1 and r2)""",

@@ -37,8 +37,7 @@ def build_base(spark, spec: GridSpec, layers: dict[str, tuple[DataFrame, GridSpe
     labelled = raster.zone_labels(zones, code)
     out = out.join(raster.burn_zones(zones, spec, code), ["row", "col"], "left")
     if "aoi" in polygons:
-        inside = raster.touched_cells(polygons["aoi"], spec).select("row", "col", F.lit(True).alias("in_aoi")).distinct()
-        out = out.join(inside, ["row", "col"], "left").fillna(False, ["in_aoi"])
+        out = raster.aoi_mask(out, polygons["aoi"], spec)
         out = grid.apply_mask(out, [c for c in out.columns if c not in ("aoi", "row", "col", "x", "y", "area_km2", "in_aoi", "zone_id")], p.mask_policy, p.min_aoi_overlap)
     return out, labelled
 
