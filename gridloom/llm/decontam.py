@@ -29,7 +29,7 @@ from gridloom.session import written
 
 WIDTH = 10
 #: Words of a shard, and of the benchmark items that go out at once (8 bytes a word).
-SHARD_WORDS, BLOCK_WORDS = 1 << 20, 1 << 22
+SHARD_WORDS, BLOCK_WORDS = 1 << 20, 1 << 19
 
 
 @dataclass

@@ -12,7 +12,6 @@ hashes as null; equal rows are told apart only by their place in the order; an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,7 +95,7 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES, share: float = 1.0, seed: int = 7, split: int = 65536) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES, share: float = 1.0, seed: int = 7, split: int = 1024) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies.
 
     Only (id, source, size) rows are shuffled. The driver sees one total per source. Documents of one source and length

@@ -66,7 +66,7 @@ def brute_contamination(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_words", [1 << 22, 16])
+@pytest.mark.parametrize("block_words", [1 << 19, 16])
 def test_contamination(spark, block_words):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(12)]
