@@ -70,6 +70,17 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         row = min(end, rows)
 
 
+def spans_hash(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans that lie one after another (none empty), A-Z as a-z."""
+    firsts = np.cumsum(lengths) - lengths
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    position = np.arange(len(flat), dtype=np.int64) - np.repeat(firsts, lengths)
+    longest = int(lengths.max())
+    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+    return splitmix(np.add.reduceat(_BYTE[flat] * powers[position], firsts) ^ lengths.astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and each row's word count."""
     hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(offsets) - 1, np.int64)
@@ -85,13 +96,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> t
         starts, ends = np.flatnonzero(is_word & ~before), np.flatnonzero(is_word & ~after) + 1
         if not len(starts):
             continue
-        lengths = ends - starts
-        firsts = np.cumsum(lengths) - lengths
-        position = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(firsts, lengths)
-        longest = int(lengths.max())
-        powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-        h = np.add.reduceat(_BYTE[b[is_word]] * powers[position], firsts)
-        hashes.append(splitmix(h ^ lengths.astype(np.uint64)))
+        hashes.append(spans_hash(b[is_word], ends - starts))
         counts[lo:hi] += np.diff(np.searchsorted(starts, at))
     return np.concatenate(hashes), counts
 

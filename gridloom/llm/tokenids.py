@@ -6,7 +6,7 @@ documents. Spark writes and reads the files, so a lost executor's file is writte
 
 Encoding works word by word: the tokenizer's pieces never span a space, a line feed or the place between an ASCII letter or
 digit and a mark after it, so texts are split there, each distinct word is encoded once per worker and looked up after that
-(bounded memory; the ids equal those of whole texts). Another kind of tokenizer needs another word table.
+(bounded memory; by 64-bit hashes of words; the ids equal those of whole texts). Another kind of tokenizer needs another word table.
 
 Defined cases: a null or empty text is the end id alone; a null id comes first; rows that share an id stay together in text
 order; an empty table writes files of no documents; other columns are ignored.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import wavelet
-from gridloom.llm.kernel import bounded_batches, slices, tidy, utf8
+from gridloom.llm.kernel import bounded_batches, slices, spans_hash, tidy, utf8
 from gridloom.session import shared_dir
 
 #: Bytes of text a partition gets on average, and tokens at which a shard is closed.
@@ -42,32 +42,24 @@ _MARK = np.zeros(256, bool)
 _MARK[np.frombuffer(b'.,!?;:*&%$#()"', np.uint8)] = True
 
 
-class WordTable(dict):
-    """word -> index of its token ids; unknown words get the next index and are encoded together on flush().
+class WordTable:
+    """Token ids of words by their 64-bit hashes (sorted arrays, some 30 bytes a word); unknown words are encoded together.
 
     For a tokenizer that drops white space, folds case and has pieces of letters, single digits or other marks.
     """
 
-    def __init__(self, tokenizer, most_words: int = 400_000, most_chars: int = 16 << 20):
-        super().__init__()
-        self.tokenizer, self.most_words, self.most_chars = tokenizer, most_words, most_chars
+    def __init__(self, tokenizer, most_words: int = 900_000):
+        self.tokenizer, self.most_words = tokenizer, most_words
         self.is_end = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
             self.is_end[i] = token.endswith("</w>")
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.chars = 0
+        self.keys, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used = 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = index = len(self)
-        self.new.append(word)
-        return index
-
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that are one piece each, encoded as one text: a piece ends with an end-of-word token."""
         flat = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
@@ -80,11 +72,8 @@ class WordTable(dict):
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def flush(self) -> None:
-        """Encode the words that are new since the last call."""
-        if not self.new:
-            return
-        base, new = len(self.starts), self.new
+    def _learn(self, new: list[str]) -> None:
+        """Token ids of words that get the next indexes."""
         starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         letters = np.fromiter((w.isalpha() for w in new), bool, len(new))
         for at, how in ((np.flatnonzero(letters), self._joined), (np.flatnonzero(~letters), self._each)):
@@ -96,39 +85,52 @@ class WordTable(dict):
                 self.flat[self.used : self.used + len(flat)] = flat
                 starts[part], lengths[part] = self.used + np.cumsum(n) - n, n
                 self.used += len(flat)
-        assert base + len(new) == len(self)
         self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
-        self.chars += sum(map(len, new))
-        self.new = []
 
-    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Words of all texts, split at spaces, line feeds and before marks, ASCII folded; each text's end among them."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts (UTF-8 bytes and row offsets), and each text's number of ids.
+
+        Words are what stands between spaces once ASCII letters are folded, line feeds are spaces, and a space stands
+        before each mark that follows an ASCII letter or digit.
+        """
         raw = data.tobytes()
         if b"<|" in raw:  # folding could make or break a special token
-            words, ends = [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                words += raw[a:b].decode().replace("\n", " ").split(" ")
-                ends.append(len(words))
-            return words, np.array(ends, np.int64)
+            return self._each([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        if len(self.keys) > self.most_words:
+            self.reset()
         spaced = np.insert(data, offsets[1:-1], 32)  # a space between texts
         edges = offsets[1:] + np.arange(len(offsets) - 1)
         folded = _FOLD[spaced]
         marks = np.flatnonzero(_ALNUM[folded[:-1]] & _MARK[folded[1:]]) + 1
-        out = np.insert(folded, marks, 32)
+        text = np.insert(folded, marks, 32)
         edges = edges + np.searchsorted(marks, edges, "left")
-        return out.tobytes().decode().split(" "), np.searchsorted(np.flatnonzero(out == 32), edges, "left") + 1
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts (UTF-8 bytes and row offsets), and each text's number of ids."""
-        if len(self) > self.most_words or self.chars > self.most_chars:
-            self.reset()
-        words, ends = self._words(data, offsets)
-        index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        self.flush()
-        starts, lengths = self.starts[index], self.lengths[index]
+        inside = text != 32
+        turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begin, end = turns[::2], turns[1::2]
+        hashes = spans_hash(text[inside], end - begin)
+        order = np.argsort(hashes)
+        new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+        distinct = hashes[order[new]]
+        slot = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside_keys = slot < len(self.keys)
+        known[inside_keys] = self.keys[slot[inside_keys]] == distinct[inside_keys]
+        index = np.zeros(len(distinct), np.int64)
+        index[known] = self.index[slot[known]]
+        unknown = np.flatnonzero(~known)
+        if len(unknown):
+            at = order[new][unknown]
+            words = text.tobytes()
+            index[unknown] = len(self.keys) + np.arange(len(unknown))
+            self.keys = np.insert(self.keys, slot[unknown], distinct[unknown])
+            self.index = np.insert(self.index, slot[unknown], index[unknown])
+            self._learn([words[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+        place = np.empty(len(hashes), np.int64)
+        place[order] = index[np.cumsum(new) - 1]
+        starts, lengths = self.starts[place], self.lengths[place]
         total = np.concatenate(([0], np.cumsum(lengths)))
-        at = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
-        return self.flat[at], np.diff(total[ends], prepend=0)
+        ids = self.flat[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(begin, edges, "left")], prepend=0)
 
 
 def word_table(path: str) -> WordTable:
@@ -173,7 +175,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         segment, ids, doc_ids, counts, held = 0, [], [], [], 0
         for batch in batches:
             (data, offsets), keys = utf8(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi in slices(offsets, 1 << 20):
+            for lo, hi in slices(offsets, 1 << 21):
                 flat, n = table.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids.append(np.insert(flat.astype(kind), np.cumsum(n), end_id))
                 counts.append(n + 1)
