@@ -1,6 +1,6 @@
 """Operator 2: benchmark decontamination with suffix arrays of the training text.
 
-Each task gathers documents into shards of about a million words and builds the shard's suffix array over words by prefix
+Each task gathers documents into shards of about half a million words and builds the shard's suffix array over words by prefix
 multiplication: suffixes are sorted by their first d words, the ranks of several such prefixes are packed into one 64-bit
 key, and sorting the keys gives the order by the first 2d, 3d ... words, until the order is as deep as a window. Every test
 suffix that starts a window is then binary-searched; its range in the suffix array holds all its places.
@@ -29,7 +29,7 @@ from gridloom.session import written
 
 WIDTH = 10
 #: Words of a shard, and of the benchmark items that go out at once (8 bytes a word).
-SHARD_WORDS, BLOCK_WORDS = 1 << 20, 1 << 19
+SHARD_WORDS, BLOCK_WORDS = 1 << 19, 1 << 19
 
 
 @dataclass
