@@ -83,7 +83,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     layer = F.when(k % 3 == 0, "gov").when(k % 3 == 1, "wb").otherwise("oth")
-    return table(spark, sf_dir, "part").filter(k % 5 == 0).select(layer.alias("layer"), (F.lit(10.0) + (k * 11 % 1000) * (STEP / 20)).alias("lon"), (F.lit(-10.0) - (k * 17 % 1000) * (STEP / 20)).alias("lat"))
+    return table(spark, sf_dir, "part").select(layer.alias("layer"), (F.lit(10.0) + (k * 11 % 1000) * (STEP / 20)).alias("lon"), (F.lit(-10.0) - (k * 17 % 1000) * (STEP / 20)).alias("lat"))
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
