@@ -460,8 +460,7 @@ def line_burn(spark, d):
 
 def cost_distance(spark, d):
     c = cells(spark, d).withColumn("friction", num.friction(F.when(F.col("road") > 0, 40.0)))
-    s = sites(spark, d).filter("site_id < 3")
-    return rounded(cost.travel_minutes(s, c, SPEC, 300.0), 4)
+    return rounded(cost.travel_minutes(sites(spark, d), c, SPEC, 300.0), 4)
 
 
 def cell_filters(spark, d):

@@ -1,11 +1,13 @@
 """Queries over all rows of their tables: against brute force, and against their SQL freed of the subsets it still holds."""
 
+import math
 import os
 
 import pytest
 
-from gridloom.operators import distance
-from gridloom.plans.analogues import QUERIES, targets
+from gridloom.operators import cost, distance
+from gridloom.operators.grid import GridSpec
+from gridloom.plans.analogues import QUERIES, cells, sites, targets
 from gridloom.plans.oracles import ORACLES
 from tests.compare import same
 
@@ -34,3 +36,35 @@ def test_nearest_and_counts_by_brute_force(spark):
         for la in ("gov", "wb"):
             d = [x.d for x in pairs if x.site_id == r.site_id and x.layer == la]
             assert r[f"dist_km_nearest_{la}"] == pytest.approx(min(d)) and [r[f"count_{la}_le{k}km"] for k in (1, 3)] == [sum(x <= k for x in d) for k in (1, 3)]
+
+
+def relaxed(f, start, dy, dx, cutoff):
+    """Least minutes by relaxing all pairs of neighbours until nothing falls."""
+    best = {start: 0.0} if start in f else {}
+    while True:
+        old = dict(best)
+        for (r, c), m in old.items():
+            for i in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    to = (r + i, c + j)
+                    if (i or j) and to in f and (new := m + math.hypot(i * dy, j * dx) * (f[r, c] + f[to]) / 2) <= cutoff:
+                        best[to] = min(best.get(to, math.inf), new)
+        if best == old:
+            return best
+
+
+def test_travel_minutes_of_many_sites_by_brute_force(spark):
+    spec = GridSpec(10.0, -10.0, 0.01, 0.01, 7, 7)
+    f = {(r, c): 1.0 + (r * 5 + c * 3) % 7 for r in range(7) for c in range(7) if (r, c) not in {(3, 1), (3, 2), (3, 3)}}
+    starts = {k: (k * 13 % 7, k * 3 % 7) for k in range(9)} | {9: (3, 2)}
+    land = spark.createDataFrame([(r, c, v) for (r, c), v in f.items()], "row int, col int, friction double")
+    got = cost.travel_minutes(spark.createDataFrame([(k, *rc) for k, rc in starts.items()], "site_id int, row int, col int"), land, spec, 15.0).collect()
+    want = {(k, *rc): m for k, s in starts.items() for rc, m in relaxed(f, s, *cost.sampling_km(spec), 15.0).items()}
+    assert {(r.site_id, r.row, r.col): r.minutes for r in got} == pytest.approx(want)
+
+
+@needs_tables
+def test_all_sites_travel(spark):
+    land = {(r.row, r.col) for r in cells(spark, SF).select("row", "col").collect()}
+    want = {r.site_id for r in sites(spark, SF).collect() if (r.row, r.col) in land}
+    assert {r.site_id for r in QUERIES["cost_distance"](spark, SF).select("site_id").distinct().collect()} == want and len(want) > 3
