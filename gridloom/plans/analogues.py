@@ -305,7 +305,7 @@ def coverage_by_zone(spark, d):
 
 
 def table_s1(spark, d):
-    c = zonal.cluster_pack(cells(spark, d).withColumns({"cluster_id": "zone_id", "risk": F.lit(0.0)})).filter("cluster_id <= 7")
+    c = zonal.cluster_pack(cells(spark, d).withColumns({"cluster_id": "zone_id", "risk": F.lit(0.0)}))
     return rounded(report.table_s1(c), 3)
 
 
@@ -479,7 +479,7 @@ def off_diagonal(spark, d):
 
 
 def aoi_cells(spark, d):
-    return raster.aoi_mask(cells(spark, d).select("row", "col"), _boxes(spark, d).filter("feature_id < 6"), SPEC)
+    return raster.aoi_mask(cells(spark, d).select("row", "col"), _boxes(spark, d), SPEC)
 
 
 def provenance(spark, d):

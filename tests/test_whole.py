@@ -68,3 +68,9 @@ def test_all_sites_travel(spark):
     land = {(r.row, r.col) for r in cells(spark, SF).select("row", "col").collect()}
     want = {r.site_id for r in sites(spark, SF).collect() if (r.row, r.col) in land}
     assert {r.site_id for r in QUERIES["cost_distance"](spark, SF).select("site_id").distinct().collect()} == want and len(want) > 3
+
+
+@needs_tables
+@pytest.mark.parametrize(("name", "subset"), [("table_s1", " where zone_id <= 7"), ("aoi_cells", " where k < 6")])
+def test_all_zones_and_features_take_part(spark, name, subset):
+    same(spark, QUERIES[name], whole(name, subset), SF)
