@@ -1,9 +1,11 @@
 """Operator 7: license scan, DataFrame functions only.
 
 Two scans of whole texts. Phrases: places where the words of a known phrase stand one after another. Templates: text blocks
-(lines) that contain at least `threshold` of a license notice's distinct words, as an exact set-similarity join. The words of
+(lines, and runs of words across line ends, so that wrapped notices are met: up to the template's words / threshold, repeats
+counted, from each of its words on) that contain at least `threshold` of a license notice's distinct words, as an exact set-similarity join. The words of
 the templates are counted over the whole corpus and ordered from the rarest; of a template of t words that needs a shared ones,
-the first t - a + 1 are its prefix, and so for a block. A block is compared with a template only if their prefixes share a
+the first t - a + 1 are its prefix, and so for a block. A run is formed only where a of the template's words stand within
+it, repeats counted. A block is compared with a template only if their prefixes share a
 word (prefix filter), the block holds a template words at all (length filter), and the places of the first shared word leave
 room for a shared ones (positional filter); survivors are verified. Templates are few and compiled into the plan, so texts
 are neither shuffled nor copied.
@@ -56,6 +58,13 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: sorted(set(re.findall(WORD_LOWER, v.translate(str.maketrans(UPPER, LOWER))))) for k, v in templates.items()}
 
 
+def run_lengths(templates: dict[str, str], threshold: float = THRESHOLD) -> dict[str, int]:
+    """Words of a run across line ends, by template: a wrapped notice may have as many words added as may be missing."""
+    import re
+
+    return {k: math.ceil(len(re.findall(WORD_LOWER, v.translate(str.maketrans(UPPER, LOWER)))) / threshold - 1e-9) for k, v in templates.items()}
+
+
 def word_counts(df: DataFrame, words: list[str], text_col: str = "text") -> dict[str, int]:
     """How often each of a bounded list of words stands in all texts; the driver gets one row per word."""
     tokens = df.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), WORD_LOWER.replace("[^", "["))).alias("w"))
@@ -77,6 +86,31 @@ def _containment(template: list[int], prefix: list[int], need: int):
     return of
 
 
+def _best_run(template: list[int], prefix: list[int], need: int, length: int):
+    """A function of a text's words (place, rank): the largest containment of the template in `length` words on end, else 0.
+
+    A best run can be moved to start at one of the template's words; one is formed if the need-th such word lies within it.
+    """
+    share = _containment(template, prefix, need)
+
+    def of(words: Column) -> Column:
+        own = F.filter(words, lambda w: F.array_contains(F.lit(template), w["rank"]))
+
+        def best(hits: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(hits) - need), lambda j: F.get(hits, j + need - 1)["at"] < F.get(hits, j)["at"] + length)
+
+            def run(j: Column) -> Column:
+                near = F.filter(F.slice(hits, j + 1, F.lit(length)), lambda w: w["at"] < F.get(hits, j)["at"] + length)
+                return F.array_sort(F.array_distinct(F.transform(near, lambda w: w["rank"])))
+
+            return F.when(F.size(hits) >= need, F.coalesce(F.array_max(F.transform(F.transform(starts, run), share)), F.lit(0.0))).otherwise(0.0)
+
+        # a one-element array binds the words to a variable, so that they are filtered once
+        return F.get(F.transform(F.array(own), best), F.lit(0))
+
+    return of
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -125,10 +159,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
         return F.array_sort(F.filter(F.transform(own, lambda w: F.array_position(F.lit(order), w).cast("int")), lambda r: r > 0))
 
     base = base.withColumn("blocks", F.when(F.col("may_block"), F.transform(lines, ranks)).otherwise(F.array().cast("array<array<int>>")))
+    # runs across line ends: places and ranks of all template words, of texts of several lines
+    every_word = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD_LOWER), F.lit(0))
+    placed = F.filter(F.transform(every_word, lambda w, i: F.struct(i.alias("at"), F.array_position(F.lit(order), w).cast("int").alias("rank"))), lambda w: w["rank"] > 0)
+    base = base.withColumn("words", F.when(F.col("may_block") & F.contains("text", F.lit("\n")), placed))
+    length = run_lengths(templates, threshold)
     held = {}
     for name, r in ranked.items():
         best_of = _containment(r, prefix[name], need[name])
-        held[name] = F.when(F.size("blocks") > 0, F.array_max(F.transform("blocks", best_of))).otherwise(0.0)
+        lined = F.when(F.size("blocks") > 0, F.array_max(F.transform("blocks", best_of))).otherwise(0.0)
+        held[name] = F.greatest(lined, F.coalesce(_best_run(r, prefix[name], need[name], length[name])(F.col("words")), F.lit(0.0)))
     base = base.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", *(c.alias(f"t_{k}") for k, c in held.items()))
     own = F.array_compact(F.array(*(F.when(F.col(f"`t_{k}`") > 0, F.lit(k)) for k in held)))
     best = F.greatest(*(F.col(f"`t_{k}`") for k in held))

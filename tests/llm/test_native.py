@@ -1,7 +1,9 @@
 """Operators 1, 7 and 9 (and all that SQL can express): SQL on the driver's tables, brute force and odd inputs on small ones."""
 
 import os
+import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -122,3 +124,48 @@ def test_licenses_by_hand(spark):
 def test_licenses_ignore_case_of_ascii_only(spark):
     r = licenses.scan(docs(spark, ["mit licenſe", "Kapache license", "MIT\nLICENSE"])).orderBy("doc_id").collect()
     assert [x.n_base for x in r] == [0, 0, 1]
+
+
+def wrapped(text, width):
+    return "\n".join(f" * {line}" for line in textwrap.wrap(text, width))
+
+
+def brute_licenses(text):
+    """(labels without phrases, score) by all lines and all runs of words."""
+    sets, own = licenses.template_words(licenses.TEMPLATES), {}
+    w = re.findall(kernel.WORD_LOWER, text.translate(str.maketrans(kernel.UPPER, kernel.LOWER)))
+    lines = [re.findall(kernel.WORD_LOWER, x.translate(str.maketrans(kernel.UPPER, kernel.LOWER))) for x in text.split("\n")]
+    for name, t in sets.items():
+        n = licenses.run_lengths(licenses.TEMPLATES)[name]
+        share = max(len(set(t) & set(b)) / len(t) for b in lines + [w[i : i + n] for i in range(max(1, len(w)))])
+        own |= {name: share} if share >= licenses.THRESHOLD else {}
+    return ",".join(sorted(own)), max(own.values(), default=0.0)
+
+
+@pytest.mark.parametrize("width", [30, 55, 70])
+def test_wrapped_notices(spark, width):
+    names = sorted(licenses.TEMPLATES)
+    t = ["some words before\n" + wrapped(licenses.TEMPLATES[k] + " and more text that goes on after the notice of the license itself", width) for k in names]
+    for k, r in zip(names, licenses.scan(docs(spark, t)).orderBy("doc_id").collect(), strict=True):
+        assert k in r.labels.split(",") and r.score == 1.0, k
+
+
+def test_published_wrapped_notices(spark):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    r = licenses.scan(docs(spark, [mpl, mit])).orderBy("doc_id").collect()
+    assert [(x.labels, x.score, x.n_base) for x in r] == [("mpl", 1.0, 0), ("mit-notice", 1.0, 0)]
+
+
+def test_wrapped_notices_by_brute_force(spark):
+    rng, texts = random.Random(7), []
+    for _ in range(150):
+        w = [x for k in rng.sample(sorted(licenses.TEMPLATES), 2) for x in licenses.TEMPLATES[k].split()]
+        missing = rng.uniform(0.0, 0.5)
+        w = [x for x in w if rng.random() > missing]
+        for _ in range(rng.randrange(8)):
+            w.insert(rng.randrange(len(w)), rng.choice(["the", "of", "zebra", "software", "v"]))
+        texts.append("".join(x + rng.choice([" ", " ", " ", " ", "\n"]) for x in w))
+    got = licenses.scan(docs(spark, texts), phrases={"no such phrase": "none"}).orderBy("doc_id").collect()
+    want = [brute_licenses(t) for t in texts]
+    assert [(r.labels, r.score) for r in got] == [(a, pytest.approx(b)) for a, b in want] and 20 < sum(b == 0 for _, b in want) < 130
