@@ -27,9 +27,10 @@ def neighbour_edges(selected: DataFrame, connectivity: int = 8, keys: tuple[str,
 def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",), most_rounds: int = 60, local_cells: int = 200_000) -> DataFrame:
     """CLU-1: selected cells (keys, row, col) with cluster_id 1..K per key in the order of their first cells by scan.
 
-    Up to local_cells selected cells are joined in one task per key. Beyond that, each round every cell points to the least of itself and its neighbours in (row, col) order and the edges are redrawn
-    between those; a group at least halves, and pointers are followed to their ends. Each round is written to the shared
-    folder, so the lineage stays short.
+    Up to local_cells selected cells are joined in one task per key. Beyond that, each round every cell points to the least of itself and its neighbours by a hash that is another one each round, and the edges are redrawn
+    between those; so about half of the cells of an edge go in a round, whatever the shape. When no edge is left, all cells of
+    a group point to the same one; edges left after most_rounds raise. Each round is written to the shared folder, so the
+    lineage stays short.
     """
     keys = tuple(k for k in keys if k in selected.columns)
     node = F.struct(*(F.col(k) for k in keys), F.col("row"), F.col("col"))
@@ -38,25 +39,22 @@ def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple
         return connected_components_local(cells.drop("node"), connectivity, keys)
     edges = written(neighbour_edges(cells.drop("node"), connectivity, keys), "edges")
     labels = cells.select("node", F.col("node").alias("root"))
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
+    done = 0
+    while not edges.isEmpty():
+        if done == most_rounds:
+            raise RuntimeError("connected_components: contraction did not end")
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(done)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("to")), "pointers")
+        to = written(both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("from"), F.least(ranked("a"), "m")["node"].alias("to")), "pointers")
         labels = labels.join(to.select(F.col("from").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         labels = written(labels, "labels")
         pa, pb = to.select(F.col("from").alias("a"), F.col("to").alias("ta")), to.select(F.col("from").alias("b"), F.col("to").alias("tb"))
         edges = written(edges.join(pa, "a").join(pb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct(), "edges")
-    while True:
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = written(labels.join(up, "root").select("node", "up", "root"), "labels")
-        if after.filter("up <> root").isEmpty():
-            break
-        labels = after.select("node", F.col("up").alias("root"))
-    roots = after.select("root").distinct()
-    order = Window.partitionBy(*(f"root.{k}" for k in keys)).orderBy("root.row", "root.col") if keys else Window.orderBy("root.row", "root.col")
-    numbered = roots.withColumn("cluster_id", F.row_number().over(order))
-    return after.join(numbered, "root").select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.row").alias("row"), F.col("node.col").alias("col"), "cluster_id")
+        done += 1
+    firsts = labels.groupBy("root").agg(F.min("node").alias("first"))
+    order = Window.partitionBy(*(f"first.{k}" for k in keys)).orderBy("first.row", "first.col") if keys else Window.orderBy("first.row", "first.col")
+    numbered = firsts.select("root", F.row_number().over(order).alias("cluster_id"))
+    return labels.join(numbered, "root").select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.row").alias("row"), F.col("node.col").alias("col"), "cluster_id")
 
 
 def connected_components_local(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:

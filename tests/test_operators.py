@@ -175,6 +175,16 @@ def test_snake_is_one_component(spark):
     assert cluster.connected_components(df, 4, local_cells=0).agg(F.max("cluster_id")).first()[0] == 1
 
 
+def test_long_arms_are_one_component(spark):
+    arms = [(r, c) for r in range(150) for c in (0, 2)] + [(149, 1)]
+    alone = [(r, 4) for r in range(3)]
+    df = spark.createDataFrame([("a", r, c) for r, c in arms + alone] + [("b", 7, 7)], "aoi string, row int, col int")
+    got = {(r.aoi, r.row, r.col): r.cluster_id for r in cluster.connected_components(df, 8, local_cells=0).collect()}
+    assert got == {("a", *x): 1 for x in arms} | {("a", *x): 2 for x in alone} | {("b", 7, 7): 1}
+    with pytest.raises(RuntimeError):
+        cluster.connected_components(df, 8, most_rounds=1, local_cells=0)
+
+
 def test_prune_and_small_groups(spark):
     cells = blob_cells(spark)
     labelled = cells.filter("m = 1").join(cluster.connected_components(cells.filter("m = 1"), 8), ["aoi", "row", "col"])
