@@ -3,7 +3,8 @@
 Each task gathers documents into shards of about half a million words and builds the shard's suffix array over words by prefix
 multiplication: suffixes are sorted by their first d words, the ranks of several such prefixes are packed into one 64-bit
 key, and sorting the keys gives the order by the first 2d, 3d ... words, until the order is as deep as a window. Every test
-suffix that starts a window is then binary-searched; its range in the suffix array holds all its places.
+suffix that starts a window is then binary-searched; its range in the suffix array holds all its places. contamination() counts hits, decontaminate() filters, and matches() gives
+the longest verbatim matches and where they are, from the places of all windows, extended to both sides.
 
 A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window. Words are compared
 by 64-bit hashes. Benchmark words go out in blocks of bounded size; beyond one block, passes over the documents carry the
@@ -30,6 +31,8 @@ from gridloom.session import written
 WIDTH = 10
 #: Words of a shard, and of the benchmark items that go out at once (8 bytes a word).
 SHARD_WORDS, BLOCK_WORDS = 1 << 19, 1 << 19
+#: Pairs of a text place and an item place that are looked at together.
+PAIRS = 1 << 20
 
 
 @dataclass
@@ -175,6 +178,64 @@ def longest_matches(texts: list[str | None], items: list[str | None], width: int
     return sorted(out)
 
 
+def _window_places(w: Windows, texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """Every place of every window in the items: places in w.words, their items' numbers, starts and ends (all by `ends`)."""
+    _, counts = word_hashes(*utf8(texts))
+    number = {w.words[s : s + m].tobytes(): k for k, (s, m) in enumerate(zip(w.starts.tolist(), w.lengths.tolist(), strict=True))}
+    found = []
+    for i, (end, n) in enumerate(zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)):
+        m = min(n, width)
+        found += [(number[w.words[s : s + m].tobytes()], s, i, end - n, end) for s in range(end - n, end - m + 1) if m]
+    flat = np.array(sorted(found), np.int64).reshape(-1, 5)
+    return np.searchsorted(flat[:, 0], np.arange(len(w.starts)), "right"), *flat[:, 1:].T
+
+
+def _spans(words: np.ndarray, counts: np.ndarray, w: Windows, places: tuple[np.ndarray, ...], width: int, pairs: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Maximal matches in a shard, some at a time: document, word start, item, item word start, words.
+
+    Of all places of a window and of its words in items, those pairs begin a match before which the words differ or end.
+    """
+    at, doc, window = find_windows(words, counts, w, width)
+    ends, (place_ends, place, item, item_start, item_end) = np.cumsum(counts), places
+    begin, per = ends - counts, np.diff(place_ends, prepend=0)[window]
+    total = np.cumsum(per)
+    lo = 0
+    while lo < len(at):  # about so many pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + pairs, "right")))
+        v, k = window[lo:hi], per[lo:hi]
+        which = np.repeat(place_ends[v] - np.cumsum(k), k) + np.arange(int(k.sum()))
+        x, d, y, n = np.repeat(at[lo:hi], k), np.repeat(doc[lo:hi], k), place[which], np.repeat(w.lengths[v], k)
+        inside = (x > begin[d]) & (y > item_start[which])
+        first = ~(inside & (words[np.maximum(x - 1, 0)] == w.words[np.maximum(y - 1, 0)]))
+        x, d, y, n, which = x[first], d[first], y[first], n[first], which[first]
+        open_ = np.arange(len(x))
+        while len(open_):
+            open_ = open_[(x[open_] + n[open_] < ends[d[open_]]) & (y[open_] + n[open_] < item_end[which[open_]])]
+            open_ = open_[words[x[open_] + n[open_]] == w.words[y[open_] + n[open_]]]
+            n[open_] += 1
+        yield d, x - begin[d], item[which], y - item_start[which], n
+        lo = hi
+
+
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS, pairs: int = PAIRS) -> DataFrame:
+    """All maximal verbatim matches of at least a window: doc_id, word_start, item_id, item_word_start, words; places from 0."""
+    bounded_batches(df.sparkSession)
+    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for names, texts in _blocks(benchmark, item_id, item_text, block_words):
+        w = item_windows(names, texts, width)
+
+        def run(batches: Iterator[pa.RecordBatch], w: Windows = w, places: tuple[np.ndarray, ...] = _window_places(w, texts, width)) -> Iterator[pa.RecordBatch]:
+            for held, words, counts in _shards(batches, 1):
+                ids = pa.concat_arrays([batch.column(0) for batch in held])
+                for d, start, item, item_start, n in _spans(words, counts, w, places, width, pairs):
+                    yield pa.record_batch([ids.take(pa.array(d)), pa.array(start), pa.array([w.names[i] for i in item.tolist()], pa.string()), pa.array(item_start), pa.array(n)], names=["doc_id", "word_start", "item_id", "item_word_start", "words"])
+
+        part = base.mapInArrow(tidy(run), "doc_id long, word_start long, item_id string, item_word_start long, words long")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[tuple[list[str], pa.Array]]:
     base = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -98,6 +98,28 @@ def test_longest_matches():
     assert m == [(0, 1, 0, 1, 6)]
 
 
+@pytest.mark.parametrize(("block_words", "pairs"), [(1 << 19, 1 << 20), (16, 1)])
+def test_distributed_matches(spark, block_words, pairs):
+    rng = random.Random(3)
+    vocab = ["a", "b", "c"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 14)))) for i in range(10)] + [(20, "a " * 9), (21, None), (22, "--")]
+    texts = [" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(6)] + [None, "", "a " * 25, f"x {items[4][1].upper()}, y"] * 2
+    got = decontam.matches(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), width=4, block_words=block_words, pairs=pairs).collect()
+    want = []
+    for d, t in enumerate(texts):
+        for i, item in items:
+            x, y = words(t), words(item)
+            m = min(4, len(y))
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= m and not (p and q and x[p - 1] == y[q - 1]):
+                        want.append((d, p, str(i), q, n))
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 100
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------------
 
 
