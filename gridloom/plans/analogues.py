@@ -359,7 +359,8 @@ def unique_checks(spark, d):
 
 
 def flow_checks(spark, d):
-    return validate.flow_checks(od.gravity(zones(spark, d)), 1e6).filter("check not in ('flow:total', 'flow:mean_km', 'flow:asymmetry')")
+    figure = np_round(F.col("detail").cast("double"), 4).cast("string")
+    return validate.flow_checks(od.gravity(zones(spark, d)), 1e6).withColumn("detail", F.when(F.col("check") == "flow:non_negative", F.col("detail")).otherwise(figure))
 
 
 def mode_zone(spark, d):

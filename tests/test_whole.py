@@ -8,7 +8,7 @@ import pytest
 from gridloom.operators import cost, distance
 from gridloom.operators.grid import GridSpec
 from gridloom.plans.analogues import QUERIES, cells, sites, targets
-from gridloom.plans.oracles import ORACLES
+from gridloom.plans.oracles import ORACLES, _gravity, _r
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,12 @@ def test_all_sites_travel(spark):
 @pytest.mark.parametrize(("name", "subset"), [("table_s1", " where zone_id <= 7"), ("aoi_cells", " where k < 6")])
 def test_all_zones_and_features_take_part(spark, name, subset):
     same(spark, QUERIES[name], whole(name, subset), SF)
+
+
+@needs_tables
+def test_all_flow_checks(spark):
+    rows = f"""{ORACLES["flow_checks"]} union all select 'flow:total', abs(sum(flow) - 1e6) <= 1, ({_r("sum(flow)", 4)})::varchar from f
+        union all select 'flow:mean_km', true, ({_r("sum(dist_km * flow) / sum(flow)", 4)})::varchar from f
+        union all select 'flow:asymmetry', true, ({_r("avg(abs(a.flow - b.flow))", 4)})::varchar from f a join f b on a.oi = b.dj and a.dj = b.oi"""
+    assert _gravity() in rows
+    same(spark, QUERIES["flow_checks"], rows, SF)
