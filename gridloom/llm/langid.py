@@ -4,10 +4,12 @@ The kernel of two texts is the number of distinct 1-, 2- and 3-grams (bytes, ASC
 that both hold, divided by the root of their own numbers: a blended-spectrum presence kernel. Landmark texts give the
 Nyström map phi(x) = K(x, L) K(L, L)^(-1/2); a one-versus-rest kernel ridge regression is fitted on phi. As the kernel with
 each landmark is a sum over grams, the landmarks and weights fold into one matrix of (grams x languages): a batch of texts is
-scored by one product of its presence matrix with it. Grams are those that the landmarks hold.
+scored by one product of its presence matrix with it. Grams are those that the landmarks hold; of more than `most_grams`
+(30,000) each language in turn gives the one that most of its own landmarks hold.
 
-The model learns from at most `per_language` texts of each language (and `max_rows` in all), chosen by a hash of the ids
-among texts of at most `max_bytes`; every whole text is scored.
+The model learns from at most `per_language` texts of each language (and `max_rows` in all): first texts of at most
+`max_bytes`, chosen by a hash of the ids, then the shortest of the longer ones. All languages get the same part of `TOTAL`
+bytes, and the first text of each is learned whatever its length; every whole text is scored.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text if nothing can be learned; with
 one learned language every other text is that language; null languages are not learned.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.kernel import bounded_batches, slices, tidy, utf8
 
 PER_LANGUAGE, MAX_ROWS, MAX_BYTES, LANDMARKS, MAX_GRAMS = 300, 6000, 20_000, 40, 30_000
+#: Bytes of all texts that are learned from.
+TOTAL = 64 << 20
 #: Symbols: marks and digits (0), folded letters (1-26), bytes from 128 on (27-154).
 SYMBOLS = 155
 
@@ -81,6 +85,25 @@ class Model:
         return (present @ self.weights) / norm + self.bias
 
 
+def _landmark_grams(texts: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, how many texts hold each, and its best place in any language's order of what most of its texts hold."""
+    own = {}
+    for n in sorted(set(languages)):
+        held = [np.zeros(0, np.int64)]
+        for x in (x for x, y in zip(texts, languages, strict=True) if y == n):
+            held.append(np.unique(np.concatenate([np.unique(code) for code, _ in _grams(*utf8(pa.array([x], pa.string())))])))
+        own[n] = np.unique(np.concatenate(held), return_counts=True)
+    codes = np.unique(np.concatenate([c for c, _ in own.values()]))
+    row_counts, best = np.zeros(len(codes), np.int64), np.full(len(codes), len(codes))
+    for c, k in own.values():
+        at = np.searchsorted(codes, c)
+        row_counts[at] += k
+        place = np.empty(len(c), np.int64)
+        place[np.argsort(-k, kind="stable")] = np.arange(len(c))
+        best[at] = np.minimum(best[at], place)
+    return codes, row_counts, best
+
+
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = 0.01, most_grams: int = MAX_GRAMS) -> Model | None:
     names = sorted(set(languages))
     if not names:
@@ -89,12 +112,9 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     chosen: list[int] = []
     for n in names:
         chosen += [i for i, x in enumerate(languages) if x == n][:landmarks]
-    data, offsets = utf8(pa.array([texts[i] for i in chosen], pa.string()))
-    codes, row_counts = np.zeros(0, np.int64), None
-    seen = [np.unique(row.astype(np.int64) * CODES + code) % CODES for code, row in _grams(data, offsets)] if len(data) else [codes]
-    codes, row_counts = np.unique(np.concatenate(seen), return_counts=True)
-    if len(codes) > most_grams:  # the grams that most landmarks hold
-        codes = np.sort(codes[np.argsort(-row_counts, kind="stable")[:most_grams]])
+    codes, row_counts, best = _landmark_grams([texts[i] for i in chosen], [languages[i] for i in chosen])
+    if len(codes) > most_grams:
+        codes = np.sort(codes[np.lexsort((codes, -row_counts, best))[:most_grams]])
     model = Model(names, codes, np.zeros((len(codes), len(names)), np.float32), np.zeros(len(names)))
     index = model.index()
 
@@ -129,18 +149,28 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:
-    """Fit on a bounded sample: the driver holds at most max_rows texts of at most max_bytes, 64 MB in all."""
+    """Fit on a bounded sample: the driver holds at most max_rows texts, TOTAL bytes in all but for a long text of each language."""
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
     # a null id can be told apart from no other, so it is not learned from
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, max_bytes))
-    usable = usable.filter(F.col("text").rlike(r"\p{L}"))
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("n") <= per_language).orderBy("n", *order).limit(max_rows).select("doc_id", "lang")
-    table = usable.join(F.broadcast(ids), ["doc_id", "lang"]).orderBy(*order, "text").limit(max_rows).toArrow()
-    texts, langs, left, total = table["text"].to_pylist(), table["lang"].to_pylist(), 0, 0
-    while left < len(texts) and total < 64 << 20:
-        total += len(texts[left])
-        left += 1
-    return fit(texts[:left], langs[:left])
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
+    key = ["doc_id", "lang", "bytes", "hash"]
+    usable = usable.filter(F.col("text").rlike(r"\p{L}")).withColumns({"bytes": F.octet_length("text"), "hash": F.xxhash64("text")})
+    long = F.when(F.col("bytes") > max_bytes, F.col("bytes")).otherwise(0)
+    ranked = usable.select(*key).distinct().withColumn("part", F.pmod(F.xxhash64(*order, "hash"), F.lit(8)))
+    # the first of eight parts of a language, then of these: no task gets all rows of a language
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(long, *order, "bytes", "hash"))).filter(F.col("n") <= per_language)
+    ids = ranked.orderBy("n", *order, "lang").limit(max_rows).select(*key, "n").collect()
+    spent, chosen = dict.fromkeys((r["lang"] for r in ids), 0), []
+    for r in ids:
+        if r["n"] == 1 or spent[r["lang"]] + r["bytes"] <= TOTAL // len(spent):
+            spent[r["lang"]] += r["bytes"]
+            chosen.append(tuple(r)[:4])
+    if not chosen:
+        return None
+    picked = docs.sparkSession.createDataFrame(chosen, usable.select(*key).schema)
+    table = usable.join(F.broadcast(picked), key).groupBy(*key).agg(F.min("text").alias("text")).orderBy(*order, "text").toArrow()
+    return fit(table["text"].to_pylist(), table["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

@@ -260,6 +260,31 @@ def test_languages_of_odd_rows(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_language_of_long_texts_only(spark):
+    t = ["the house is here and there"] * 8 + ["das haus ist hier und dort " * 1000, "wo ist das haus " * 2000, "das ist hier", "the house"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][: len(t)]
+    r = langid.identify(docs(spark, t, ids=ids, langs=["en"] * 8 + ["de", "de", None, None])).collect()
+    assert [x.lang_pred for x in sorted(r, key=lambda x: x.doc_id)] == ["en"] * 8 + ["de", "de", "de", "en"]
+
+
+def test_learning_keeps_to_its_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: seen.extend(zip(langs, texts, strict=True)))
+    monkeypatch.setattr(langid, "TOTAL", 200)
+    t = ["a" * 300, "b" * 400, "c" * 30, "d" * 60, "e" * 30, "f" * 90] * 2
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:6] * 2
+    langid.train(docs(spark, t, ids=ids, langs=["x", "x", "y", "y", "y", "y"] * 2), max_bytes=50)
+    assert sorted(seen) == [("x", "a" * 300), ("y", "c" * 30), ("y", "e" * 30)]
+
+
+def test_grams_of_a_language_with_few_landmarks():
+    rng = random.Random(5)
+    many = ["".join(rng.choice("abcdefghij") for _ in range(2000)) for _ in range(20)]
+    m = langid.fit([*many, "xyz zyx xxyy"], ["a"] * 20 + ["b"], most_grams=40)
+    index, few = m.index(), langid.utf8(pa.array(["zyx xyz"]))
+    assert len(m.codes) == 40 and m.languages[m.scores(langid._presence(*few, index, 40)).argmax()] == "b" and langid._presence(*few, index, 40).sum() > 5
+
+
 @here
 def test_quality_held_out(spark):
     sf = SF.replace("0.001", "0.01") if os.path.isdir(SF.replace("0.001", "0.01")) else SF
