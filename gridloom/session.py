@@ -39,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write df once to the shared folder and return a reader of it: cuts lineage, survives lost executors.
 
-    The files are removed when the JVM that wrote them ends.
+    The files are removed when the JVM that wrote them ends, the shuffle files behind them at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
