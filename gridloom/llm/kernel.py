@@ -143,6 +143,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like `name` that no column of `taken` has, whatever the case."""
+    used = {c.lower() for c in taken}
+    out = f"_{name}"
+    while out.lower() in used:
+        out = f"_{out}"
+    return out
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small; a setting that the user lowered further stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
