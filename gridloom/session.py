@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str = "table") -> DataFrame:
+def written(df: DataFrame, tag: str = "table", **options: str) -> DataFrame:
     """Write df once to the shared folder and return a reader of it: cuts lineage, survives lost executors.
 
     The files are removed when the JVM that wrote them ends, the shuffle files behind them at once.
@@ -47,7 +47,7 @@ def written(df: DataFrame, tag: str = "table") -> DataFrame:
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     jvm = spark.sparkContext._jvm
