@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontam, mixing, neardup, quality, tokenids
 from gridloom.llm.queries import tokenizer_file
-from gridloom.session import shared_dir
+from gridloom.session import remove_at_end, shared_dir
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/gridloom/pipeline-{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         if (name, stage) == STAGES[-1]:

@@ -30,12 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = f"file:///tmp/gridloom-{getpass.getuser()}-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the JVM remove a folder when it ends; it is made now if need be."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+
+
 def written(df: DataFrame, tag: str = "table", **options: str) -> DataFrame:
     """Write df once to the shared folder and return a reader of it: cuts lineage, survives lost executors.
 
@@ -50,7 +60,5 @@ def written(df: DataFrame, tag: str = "table", **options: str) -> DataFrame:
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
