@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 #: Word: a longest run of digits, ASCII letters and non-ASCII characters; A-Z count as a-z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -35,16 +36,9 @@ IS_WORD = _is_word()
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _BYTE = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(1000))[_FOLD]
-_RADIX = 0x9FB21C651E98DF25
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _RADIX, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POWERS = _powers(256)
+#: A random value for each of the first places and each byte.
+_PLACES = 64
+_TABLE = splitmix(_BYTE[None, :] ^ splitmix(np.arange(_PLACES, dtype=np.uint64) << np.uint64(20))[:, None]).reshape(-1)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,14 +65,21 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def spans_hash(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that lie one after another (none empty), A-Z as a-z."""
+    """64-bit hashes of byte spans that lie one after another (none empty), A-Z as a-z.
+
+    The sum of a random value for each pair of a place and a byte: nothing that the spans' structure could cancel.
+    """
     firsts = np.cumsum(lengths) - lengths
     if not len(lengths):
         return np.zeros(0, np.uint64)
     position = np.arange(len(flat), dtype=np.int64) - np.repeat(firsts, lengths)
-    longest = int(lengths.max())
-    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-    return splitmix(np.add.reduceat(_BYTE[flat] * powers[position], firsts) ^ lengths.astype(np.uint64))
+    if int(lengths.max()) <= _PLACES:
+        values = _TABLE[(position << 8) + flat]
+    else:
+        values = _TABLE[(np.minimum(position, _PLACES - 1) << 8) + flat]
+        far = np.flatnonzero(position >= _PLACES)
+        values[far] = splitmix(_BYTE[flat[far]] ^ splitmix(position[far].astype(np.uint64) << np.uint64(20)))
+    return splitmix(np.add.reduceat(values, firsts) ^ lengths.astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +153,19 @@ def free_name(name: str, taken: list[str]) -> str:
     return out
 
 
+def position(name: str, columns: list[str]) -> int:
+    """Where a column stands, found as Spark finds names: whatever the case."""
+    if name in columns:
+        return columns.index(name)
+    return [c.lower() for c in columns].index(name.lower())
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """16 bytes that tell rows apart by id and whole text; rows equal in both share them."""
+    text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(key, F.lit("null")), F.when(text.isNull(), F.lit("-")).otherwise(F.lit(":")), F.coalesce(text, F.lit("")))))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small; a setting that the user lowered further stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
