@@ -11,7 +11,7 @@ sets are compared and each set's links are counted. Components of verified links
 
 Defined cases: a null text, or one without words, is its own class and links nothing; equal rows are copies and link each
 other; a null id counts as a document, and a class of null ids only has a null class_id; an empty table gives an empty
-result; other columns are ignored by the join and kept by the filter.
+result; other columns are ignored by the join and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.kernel import give_back, bounded_batches, slices, splitmix, tidy, utf8, windows, word_hashes
+from gridloom.llm.kernel import bounded_batches, free_name, give_back, row_key, slices, splitmix, tidy, utf8, windows, word_hashes
 from gridloom.session import written
 
 WIDTH, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 64
@@ -42,10 +42,6 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int =
     raise ValueError("no banding reaches the recall")
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each row, sorted within rows, and their numbers."""
     words, counts = word_hashes(data, offsets)
@@ -87,7 +83,7 @@ def band_hashes(grams: np.ndarray, counts: np.ndarray, bands: int, rows: int) ->
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """One narrow row per document: doc_id, row_key, fp, n (elements), bands."""
     bounded_batches(df.sparkSession)
-    base = df.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +97,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, bands: int,
                     names=["doc_id", "row_key", "fp", "n", "bands"],
                 )
 
-    return base.mapInArrow(tidy(run), "doc_id long, row_key long, fp binary, n long, bands array<long>")
+    return base.mapInArrow(tidy(run), "doc_id long, row_key binary, fp binary, n long, bands array<long>")
 
 
 def compare(fps: list[bytes], mult: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> Iterator[tuple[bytes, int, bytes]]:
@@ -178,8 +174,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.withColumn("block", block).withColumn("other", other)
-    dealt = dealt.select("fp", "mult", "row_key", "bands", "block", F.when(F.col("blocks") > 1, F.concat_ws(":", F.hex("comp"), F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.concat(F.lit("bin"), F.pmod(F.xxhash64("comp"), F.lit(bins)))).alias("task"), (F.col("blocks") > 1).alias("split"))
-    texts = df.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    dealt = dealt.select("fp", "mult", "row_key", "bands", "block", F.when(F.col("blocks") > 1, F.concat_ws(":", F.hex("comp"), F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.concat(F.lit("bin"), F.pmod(F.xxhash64("comp"), F.lit(bins)))).alias("task"), (F.col("blocks") > 1).alias("split"), (F.col("block") != F.col("other")).alias("cross"))
+    texts = df.select(row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with_text = texts.join(_sized(written(dealt, "dealt")), "row_key")
 
     def verify(table: pa.Table) -> pa.Table:
@@ -193,7 +189,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 seen.add(fp)
                 keep.append(i)
         side = table["block"].to_numpy()[keep]
-        cross = bool(table["split"][0].as_py()) and len(set(side.tolist())) > 1
+        cross = bool(table["cross"][0].as_py())  # even if one of the two blocks is empty
         found = list(compare([wanted[i] for i in keep], table["mult"].to_numpy()[keep], np.array(table["bands"].to_pylist(), np.int64)[keep], [grams[ends[i] - counts[i] : ends[i]] for i in keep], side if cross else None, threshold))
         give_back()
         return pa.table([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))] + [pa.array([bool(table["split"][0].as_py())] * len(found), pa.bool_())], names=["fp", "links", "root", "split"])
@@ -227,12 +223,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     in_group = written(docs.select("doc_id", "row_key", "fp").join(_sized(groups.select("fp", "root")), "fp"), "grouped")
     best = in_group.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("kept"))
     per_row = in_group.join(_sized(written(best, "best")), "root").groupBy("row_key", "kept").agg(F.count("*").alias("n"))
-    losers = per_row.filter("row_key <> kept or n > 1").select(F.col("row_key").alias("__nd_key"), (F.col("row_key") == F.col("kept")).alias("__nd_kept"))
-    keyed = df.withColumn("__nd_own", _row_key(id_col, text_col))
-    tagged = keyed.join(_sized(written(losers, "losers")), F.col("__nd_own") == F.col("__nd_key"), "left")
+    key, own, kept, nth = (free_name(c, df.columns) for c in ("key", "own", "kept", "nth"))
+    losers = per_row.filter("row_key <> kept or n > 1").select(F.col("row_key").alias(key), (F.col("row_key") == F.col("kept")).alias(kept))
+    tagged = df.withColumn(own, row_key(id_col, text_col)).join(_sized(written(losers, "losers")), F.col(own) == F.col(key), "left")
     names = [F.col(f"`{c}`") for c in df.columns]
     # equal rows of which one stays: very few rows besides the broadcast key are needed to tell them apart
-    from pyspark.sql import Window
-
-    repeated = tagged.filter("__nd_kept").withColumn("__nd_n", F.row_number().over(Window.partitionBy("__nd_own").orderBy(F.lit(1)))).filter("__nd_n = 1")
-    return tagged.filter("__nd_kept is null").select(*names).unionByName(repeated.select(*names))
+    repeated = tagged.filter(F.col(kept)).withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(F.lit(1)))).filter(F.col(nth) == 1)
+    return tagged.filter(F.col(kept).isNull()).select(*names).unionByName(repeated.select(*names))
