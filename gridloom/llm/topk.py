@@ -8,7 +8,8 @@ dropped, and the pairs that survive are scored exactly. Bounds are batched matri
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of different lengths are
 not compared; two empty vectors score 0; repeated rows count as often as they stand; ties go to the smaller id, nulls last.
-Components are meant to stay below 2**20 in size: beyond that the exact step uses arbitrary-precision integers.
+Where scores could pass 2**52 the exact step uses integers of any size; a score beyond a long's range is the nearest long, and a
+component whose 1024-fold is no finite double counts as non-finite.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SCALE = 1024.0
 #: Segments by level, coarse to fine.
 LEVELS = (1, 4, 16)
 _NULL = np.iinfo(np.int64).max
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _rows(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -71,7 +73,7 @@ def _exact(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.n
         if norm < 2.0**52:
             out[lo : lo + len(a)] = np.einsum("ij,ij->i", q[a], c[b]).astype(np.int64)
         else:
-            out[lo : lo + len(a)] = [int(sum(int(x) * int(y) for x, y in zip(q[i], c[j], strict=True))) for i, j in zip(a, b, strict=True)]
+            out[lo : lo + len(a)] = [max(_LEAST, min(_MOST, sum(int(x) * int(y) for x, y in zip(q[i], c[j], strict=True)))) for i, j in zip(a, b, strict=True)]
     return out
 
 
@@ -95,7 +97,8 @@ class Search:
         floor = self.floor()
         stats = [_statistics(x, s) for s in LEVELS]
         bound = self.stats[0] @ stats[0].T
-        qi, ci = np.nonzero(bound >= (floor - np.abs(floor) * 1e-9 - 1)[:, None]) if np.isfinite(floor).all() else np.indices(bound.shape).reshape(2, -1)
+        # written as "not below": a bound that overflows into no number keeps its pair
+        qi, ci = np.nonzero(~(bound < (floor - np.abs(floor) * 1e-9 - 1)[:, None])) if np.isfinite(floor).all() else np.indices(bound.shape).reshape(2, -1)
         for mine, theirs in zip(self.stats[1:], stats[1:], strict=True):
             if not len(qi):
                 return
@@ -103,7 +106,7 @@ class Search:
                 value = (mine @ theirs.T)[qi, ci]
             else:
                 value = np.einsum("ij,ij->i", mine[qi], theirs[ci])
-            keep = value >= floor[qi] - np.where(np.isfinite(floor[qi]), np.abs(floor[qi]), 0) * 1e-9 - 1
+            keep = ~(value < floor[qi] - np.where(np.isfinite(floor[qi]), np.abs(floor[qi]), 0) * 1e-9 - 1)
             qi, ci = qi[keep], ci[keep]
         if not len(qi):
             return
