@@ -6,10 +6,10 @@ documents. Spark writes and reads the files, so a lost executor's file is writte
 
 Encoding works word by word: the tokenizer's pieces never span a space, a line feed or the place between an ASCII letter or
 digit and a mark after it, so texts are split there, each distinct word is encoded once per worker and looked up after that
-(bounded memory; by 64-bit hashes of words; the ids equal those of whole texts). Another kind of tokenizer needs another word table.
+(bounded memory; by 64-bit hashes of words, whose bytes are then compared; the ids equal those of whole texts). Another kind of tokenizer needs another word table.
 
-Defined cases: a null or empty text is the end id alone; a null id comes first; rows that share an id stay together in text
-order; an empty table writes files of no documents; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; a null id comes first; rows that share an id stay together, in the
+order of their texts' hashes; an empty table writes files of no documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import wavelet
 from gridloom.llm.kernel import bounded_batches, slices, spans_hash, tidy, utf8
-from gridloom.session import shared_dir
+from gridloom.session import remove_at_end, shared_dir, written
 
 #: Bytes of text a partition gets on average, and tokens at which a shard is closed.
 TEXT_BYTES, SHARD_TOKENS = 16 << 20, 1 << 20
+#: Shards up to which their offsets are broadcast (some 50 bytes each); beyond it their join shuffles.
+BROADCAST_SHARDS = 200_000
 FILE_SCHEMA = "part int, segment int, n long, bits int, zeros array<long>, planes array<binary>, ranks array<binary>, documents long, ids binary, null_ids binary, counts binary"
 
 
@@ -43,7 +45,9 @@ _MARK[np.frombuffer(b'.,!?;:*&%$#()"', np.uint8)] = True
 
 
 class WordTable:
-    """Token ids of words by their 64-bit hashes (sorted arrays, some 30 bytes a word); unknown words are encoded together.
+    """Token ids of words by their 64-bit hashes (sorted arrays, some 100 bytes a word); unknown words are encoded together.
+
+    The bytes of a word decide: words that share a hash with another are encoded by themselves, each time.
 
     For a tokenizer that drops white space, folds case and has pieces of letters, single digits or other marks.
     """
@@ -56,9 +60,9 @@ class WordTable:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.index, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
+        self.used, self.byte_lengths = 0, np.zeros(0, np.int64)
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that are one piece each, encoded as one text: a piece ends with an end-of-word token."""
@@ -87,6 +91,17 @@ class WordTable:
                 self.used += len(flat)
         self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
 
+    def _same(self, flat: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> bool:
+        """Whether the words that lie one after another in flat are those of the table at their places, byte for byte."""
+        return b"".join(map(self.words.__getitem__, place.tolist())) == flat.tobytes() and (self.sizes()[place] == lengths).all()
+
+    def sizes(self) -> np.ndarray:
+        """The table's words' lengths in bytes."""
+        known = len(self.byte_lengths)
+        if known < len(self.words):
+            self.byte_lengths = np.concatenate((self.byte_lengths, np.fromiter(map(len, self.words[known:]), np.int64, len(self.words) - known)))
+        return self.byte_lengths
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts (UTF-8 bytes and row offsets), and each text's number of ids.
 
@@ -124,12 +139,16 @@ class WordTable:
             index[unknown] = len(self.keys) + np.arange(len(unknown))
             self.keys = np.insert(self.keys, slot[unknown], distinct[unknown])
             self.index = np.insert(self.index, slot[unknown], index[unknown])
-            self._learn([words[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            fresh = [words[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            self.words += fresh
+            self._learn([w.decode() for w in fresh])
         place = np.empty(len(hashes), np.int64)
         place[order] = index[np.cumsum(new) - 1]
         starts, lengths = self.starts[place], self.lengths[place]
         total = np.concatenate(([0], np.cumsum(lengths)))
         ids = self.flat[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
+        if not self._same(text[inside], end - begin, place):
+            return self._each([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         return ids, np.diff(total[np.searchsorted(begin, edges, "left")], prepend=0)
 
 
@@ -187,16 +206,21 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         if doc_ids:
             yield _pack(part, segment, bits, ids, doc_ids, counts)
 
-    dealt = base.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(tidy(encode), FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    # the texts' hashes part the rows that share an id, or have none
+    dealt = base.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    dealt.mapInArrow(tidy(encode), FILE_SCHEMA).write.mode("append").option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    order = Window.orderBy("part", "segment")  # one row per shard of a million tokens
-    starts = files.select("part", "segment", "n").withColumn("before", F.sum("n").over(order) - F.col("n")).drop("n")
-    with_start = files.drop("ranks").join(F.broadcast(starts), ["part", "segment"])
+    # a part is a file of some 16 MB of text: one task adds up one number a part, many add up the shards within parts
+    totals = files.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = written(totals.withColumn("first", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n"), "starts")
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")
+    shards = written(files.select("part", "segment", "n").withColumn("within", within).join(starts, "part").select("part", "segment", (F.col("first") + F.col("within")).alias("before")), "shards")
+    few = shards.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    with_start = files.drop("ranks").join(F.broadcast(shards) if few else shards, ["part", "segment"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,5 +248,6 @@ def open_shards(spark: SparkSession, path: str, part: int | None = None) -> list
 def token_ids(df: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the files to the shared folder and read them back."""
     path = f"{shared_dir(df.sparkSession)}/gridloom/tokens-{uuid.uuid4().hex}"
+    remove_at_end(df.sparkSession, path)
     write_token_files(df, path, tokenizer, end_id)
     return read_token_files(df.sparkSession, path)
