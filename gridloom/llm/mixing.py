@@ -2,11 +2,11 @@
 
 Every source gets a target number of words: shares of the whole corpus by weight, stopped at three times what the source
 has, the excess shared anew. A source's target is then met by whole epochs of all its documents and one partial epoch: its
-documents are counted by exact length, a proportional part of each count is taken, and what is left of the budget is fitted
-by taking long documents first and a bounded-knapsack dynamic programme at the end. Which documents of a length are taken
-follows from a seeded hash of their ids, so reruns agree.
+documents are counted by exact length, a proportional part of each count is taken (the lengths with the largest fractions get
+one more each), and the last part of the budget is fitted by a bounded-knapsack dynamic programme. Which documents of a length
+are taken follows from a seeded hash of their ids and texts, so reruns agree.
 
-Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; a null id
+Columns are named by arguments. Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; a null id
 hashes as null; equal rows are told apart only by their place in the order; an empty table gives an empty result.
 """
 
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.kernel import free_name
 from gridloom.session import written
 
 #: Weights of the sources in order, repeating, and the most copies of a document.
@@ -45,8 +46,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, cap: int = 1 << 16) -> np.ndarray:
     """How many documents of each length to take so that their total is as near to budget as the programme finds.
 
-    Proportional parts first, then longest lengths greedily until less than `cap` words are left, then an exact
-    bounded-knapsack programme (bitsets over totals up to the rest) over the counts that are still free.
+    Proportional parts first; while more than `cap` words are left, one more of each length in the order of the fractions that
+    were cut off (all lengths' parts stay proportional to within one document); then an exact bounded-knapsack programme
+    (bitsets over totals up to the rest) over the counts that are still free.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -56,14 +58,13 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, cap: int
         return counts.copy()
     taken = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
     left = int(round(budget)) - int((taken * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
+    fraction = counts * (budget / total) - taken
+    for i in np.lexsort((lengths, -fraction)):
         if left <= cap:
             break
-        if lengths[i] > 0:
-            more = min(int(counts[i] - taken[i]), (left - cap // 2) // int(lengths[i]))
-            if more > 0:
-                taken[i] += more
-                left -= more * int(lengths[i])
+        if 0 < lengths[i] <= left and taken[i] < counts[i]:
+            taken[i] += 1
+            left -= int(lengths[i])
     if left <= 0:
         return taken
     # items: (index, number) with numbers in powers of two, so that every count up to the free one can be formed
@@ -95,14 +96,16 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES, share: float = 1.0, seed: int = 7, split: int = 1024) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, copies.
+def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES, share: float = 1.0, seed: int = 7, split: int = 1024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken, copies, hash (of the text).
 
     Only (id, source, size) rows are shuffled. The driver sees one total per source. Documents of one source and length
     are ordered in blocks of about `split` rows: a block's quota follows from the counts of the blocks before it, so a
     length that a third of all rows share is no single task. Memory of a fitting task: one row per distinct length.
     """
-    sized = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes_of(F.col("text")).alias("size")).withColumn("skey", _source_key(F.col("source"))).withColumn("draw", F.xxhash64("doc_id", F.lit(seed))), "sized")
+    text = F.col(f"`{text_col}`").cast("string")
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), sizes_of(text).alias("size"), F.xxhash64(text).alias("hash"))
+    sized = written(base.withColumn("skey", _source_key(F.col("source"))).withColumn("draw", F.xxhash64("doc_id", "hash", F.lit(seed))), "sized")
     hist = sized.groupBy("skey", "size").agg(F.count("*").alias("n"))
     totals = {r["skey"]: int(r["t"]) for r in hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("t")).collect()}
     goal = targets({None if k == "0" else k[1:]: v for k, v in totals.items()}, weights, copies, share)
@@ -123,28 +126,37 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIE
     per_block = dealt.filter("blocks > 1").groupBy("skey", "size", "block", "some").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("skey", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quotas = per_block.select("skey", "size", "block", F.greatest(F.lit(0), F.col("some") - earlier).alias("quota"))
-    place = F.row_number().over(Window.partitionBy("skey", "size", "block").orderBy("draw", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("skey", "size", "block").orderBy("draw", "doc_id", "hash"))
     single = dealt.filter("blocks <= 1").withColumn("quota", F.col("some"))
     many = dealt.filter("blocks > 1").join(quotas, ["skey", "size", "block"])
     rows = single.unionByName(many).withColumn("copies", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.when(place <= F.col("quota"), 1).otherwise(0)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"), "hash")
 
 
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: df's rows and columns, each row as often as the mix takes it; documents of no words stay once.
 
-    The mix's narrow rows (id, size, copies) meet the documents by id and size. Rows that share an id and size are
-    interchangeable to the mix: each gets their mean number of copies, the remainder going to the first of them.
+    The mix's narrow rows meet the documents by id, source and text hash, in one shuffle of the texts. Rows equal in these are
+    interchangeable: each gets their mean number of copies, the remainder going to the first of them.
     """
-    cols, id_, size = df.columns, "__mix_id", "__mix_size"
-    taken = mix(df, **options).filter("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__mix_n"), F.count("*").alias("__mix_rows"))
-    taken = taken.select(F.col("doc_id").alias(id_ + "2"), F.col("source").alias("__mix_src2"), F.col("size").alias(size + "2"), "__mix_n", "__mix_rows")
-    left = df.withColumn(id_, F.col("doc_id").cast("long")).withColumn(size, sizes_of(F.col("text"))).withColumn("__mix_src", F.col("source").cast("string"))
-    joined = left.join(taken, left[id_].eqNullSafe(taken[id_ + "2"]) & left["__mix_src"].eqNullSafe(taken["__mix_src2"]) & (left[size] == taken[size + "2"]), "left")
-    repeated = joined.filter("__mix_rows > 1")
-    place = F.row_number().over(Window.partitionBy(id_, "__mix_src", size).orderBy(F.xxhash64("text"))) - 1
-    repeated = repeated.withColumn("__mix_copies", (F.floor(F.col("__mix_n") / F.col("__mix_rows")) + F.when(place < F.col("__mix_n") % F.col("__mix_rows"), 1).otherwise(0)).cast("int"))
-    lone = joined.filter("__mix_rows is null or __mix_rows = 1").withColumn("__mix_copies", F.when(F.col(size) == 0, 1).otherwise(F.coalesce("__mix_n", F.lit(0))).cast("int"))
-    names = [F.col(f"`{c}`") for c in cols]
-    rows = lone.select(*names, "__mix_copies").unionByName(repeated.select(*names, "__mix_copies")).filter("__mix_copies > 0")
-    return rows.withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*names)
+    names = dict(id_col=id_col, source_col=source_col, text_col=text_col)
+    mine, theirs = ([free_name(f"{side}_{c}", df.columns) for c in ("id", "no_id", "source", "hash")] for side in ("own", "mix"))
+    n, rows, copies, k = (free_name(c, df.columns) for c in ("mix_n", "mix_rows", "mix_copies", "mix_k"))
+
+    def keys(id_: Column, source: Column, hash_: Column) -> list[Column]:
+        return [F.coalesce(id_, F.lit(0).cast("long")), id_.isNull(), _source_key(source), hash_]  # none is null: plain equality joins them
+
+    taken = mix(df, **names, **options).filter("size > 0")
+    taken = taken.select(*(c.alias(t) for c, t in zip(keys(F.col("doc_id"), F.col("source"), F.col("hash")), theirs, strict=True)), "copies")
+    taken = taken.groupBy(*theirs).agg(F.sum("copies").alias(n), F.count("*").alias(rows))
+    text = F.col(f"`{text_col}`").cast("string")
+    own = keys(F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`").cast("string"), F.xxhash64(text))
+    left = df.select("*", *(c.alias(m) for c, m in zip(own, mine, strict=True)))
+    same = F.lit(True)
+    for m, t in zip(mine, theirs, strict=True):
+        same &= F.col(m) == F.col(t)
+    joined = left.join(taken, same, "left")
+    place = F.row_number().over(Window.partitionBy(*mine).orderBy(F.lit(1))) - 1
+    each = F.floor(F.col(n) / F.col(rows)) + F.when(place < F.col(n) % F.col(rows), 1).otherwise(0)
+    counted = joined.withColumn(copies, F.when(F.col(n).isNotNull(), each).otherwise(F.lit(1)).cast("int")).filter(F.col(copies) > 0)
+    return counted.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in df.columns))
