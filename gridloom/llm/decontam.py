@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.kernel import bounded_batches, tidy, utf8, word_hashes
+from gridloom.llm.kernel import bounded_batches, position, tidy, utf8, word_hashes
 from gridloom.session import written
 
 WIDTH = 10
@@ -311,7 +311,7 @@ def _pass(w: Windows, width: int, last: bool):
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """df without its contaminated rows; all columns stay as they are. One filtering pass for each benchmark block."""
     bounded_batches(df.sparkSession)
-    at = df.columns.index(text_col)
+    at = position(text_col, df.columns)
     for block in _blocks(benchmark, item_id, item_text, block_words):
         w = item_windows(*block, width)
 

@@ -9,7 +9,7 @@ Statistics are taken of whole texts over Arrow buffers (one pass over the bytes)
 
 Defined cases: null and empty texts have all statistics 0 and get a score too; null labels are ignored; a row that is
 labelled twice counts twice; one class only, or no labels, gives the constant rate (0.5 without labels); statistics live in
-columns whose names begin with `__q_`.
+columns whose names begin with `__q_`, or with more underscores where the table has such columns.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.kernel import IS_WORD, bounded_batches, slices, splitmix, tidy, utf8, word_hashes
+from gridloom.llm.kernel import IS_WORD, bounded_batches, free_name, position, slices, splitmix, tidy, utf8, word_hashes
 
 STATISTICS = ("bytes", "words", "word_length", "upper", "digit", "space", "comma", "stop", "bang", "pipe", "symbol", "other", "high", "lines", "line_length", "line_repeats", "distinct", "stutter")
 PREFIX = "__q_"
@@ -96,10 +96,10 @@ class Rule:
             out &= (x[:, j] > t) if above else (x[:, j] <= t)
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = PREFIX) -> Column:
         out = F.lit(True)
         for j, above, t in self.terms:
-            c = F.col(PREFIX + STATISTICS[j])
+            c = F.col(prefix + STATISTICS[j])
             out = out & ((c > F.lit(t)) if above else (c <= F.lit(t)))
         return out
 
@@ -115,11 +115,11 @@ class RuleModel:
             z += weight * rule.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
+    def column(self, prefix: str = PREFIX) -> Column:
         """The score as one Spark expression over the statistics' columns."""
         z = F.lit(float(self.bias))
         for rule, weight in self.rules:
-            z = z + F.when(rule.column(), F.lit(float(weight))).otherwise(F.lit(0.0))
+            z = z + F.when(rule.column(prefix), F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
@@ -148,7 +148,7 @@ def _tree(x: np.ndarray, r: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray]
         _tree(x, r, part, cuts, binned, depth - 1, least, chosen, now, rules, fit, rate)
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty: float = 0.002, turns: int = 400, seed: int = 11, most: int = 400) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty: float = 0.002, turns: int = 400, seed: int = 11) -> RuleModel:
     """Boosted trees to rules, then lasso logistic weights by accelerated proximal gradient steps."""
     if not len(y):
         return RuleModel()
@@ -179,8 +179,6 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
             seen.add(key)
             unique.append(rule)
             columns.append(held)
-        if len(unique) >= most:
-            break
     if not unique:
         return RuleModel(base)
     a = np.column_stack(columns).astype(np.float32)
@@ -200,11 +198,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
     return RuleModel(float(b), [(unique[i], float(w[i] / spread[i])) for i in live])
 
 
-def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
+def free_prefix(columns: list[str]) -> str:
+    """PREFIX, or a longer one that no column begins with."""
+    prefix = PREFIX
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = PREFIX) -> DataFrame:
     """df with one double column per statistic."""
     bounded_batches(df.sparkSession)
-    at = df.columns.index(text_col)
-    names = [PREFIX + s for s in STATISTICS]
+    at = position(text_col, df.columns)
+    names = [prefix + s for s in STATISTICS]
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
@@ -235,8 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
 def scored(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
     """docs with the score column; the statistics are dropped again."""
-    out = with_statistics(docs).withColumn(name, model.column())
-    return out.drop(*(PREFIX + s for s in STATISTICS))
+    prefix = free_prefix(docs.columns)
+    out = with_statistics(docs, prefix=prefix).withColumn(name, model.column(prefix))
+    return out.drop(*(prefix + s for s in STATISTICS))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -248,4 +255,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs without the rows that the classifier rejects; columns stay as they are."""
-    return scored(docs, train(docs, labels, max_rows=max_rows), "__q_score").filter(F.col("__q_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = free_name("score", docs.columns)
+    return scored(docs, train(docs, labels, max_rows=max_rows), name).filter(F.col(name) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
