@@ -103,8 +103,8 @@ def quintile(rank: Column, n: Column, parts: int = 5) -> Column:
 
 
 def road_bucket(fclass: Column | str) -> Column:
-    """PRJ-27: major, collector or local by lower-cased class."""
-    c = F.lower(col(fclass))
+    """PRJ-27: major, collector or local by lower-cased class; links count as their roads."""
+    c = F.regexp_replace(F.lower(F.coalesce(col(fclass), F.lit(""))), "_link$", "")
     return F.when(c.isin("motorway", "trunk", "primary"), "major").when(c.isin("secondary", "tertiary"), "collector").otherwise("local")
 
 

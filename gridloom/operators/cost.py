@@ -110,10 +110,10 @@ def isochrone_masks(surface: DataFrame, thresholds, minutes: str = "minutes") ->
 
 
 def catchment_kpis(surface: DataFrame, cells: DataFrame, thresholds, key: str = "site_id") -> DataFrame:
-    """CST-4, AGG-10: per site and threshold: area, people, cropland, mean and people-weighted rwi, mean minutes."""
+    """CST-4, AGG-10: per site and threshold: area, people, cropland, mean and people-weighted rwi (over all people reached), mean minutes."""
     masks = isochrone_masks(surface, thresholds).filter("mask = 1")
     joined = masks.join(cells.select("row", "col", "area_km2", "pop", "crop_frac", "rwi"), ["row", "col"])
-    w = F.when(F.col("rwi").isNotNull(), F.coalesce(F.col("pop"), F.lit(0.0)))
+    w = F.coalesce(F.col("pop"), F.lit(0.0))
     return joined.groupBy(key, "thresh_min").agg(
         F.sum("area_km2").alias("area_km2"),
         F.sum("pop").alias("pop"),

@@ -20,10 +20,10 @@ from gridloom.session import written
 def scenario_score(cells: DataFrame, p: Params, s: dict, overlays: bool = False) -> DataFrame:
     """PRJ-17: core components only (unless overlays), weights divided by their sum plus 1e-9."""
     parts = components(cells, p, s)
-    on = [k for k, use in zip(COMPONENTS, p.use_components, strict=True) if use] + ([k for k in ("pov", "food", "mtt", "rwi") if k in parts] if overlays else [])
+    on = [k for k, use in zip(COMPONENTS, p.use_components, strict=True) if use and k in parts] + ([k for k in ("pov", "food", "mtt", "rwi") if k in parts] if overlays else [])
     total = sum(p.weights[k] for k in on) + 1e-9
     score = sum((F.lit(p.weights[k] / total) * parts[k] for k in on), F.lit(0.0))
-    return focal_mean(cells.withColumn("score", eligible(score, p)), "score", p.smooth_radius)
+    return focal_mean(cells.withColumn("score", eligible(score, p, s)), "score", p.smooth_radius)
 
 
 def scenario_masks(cells: DataFrame, base: Params = Params(), scenarios: tuple[Scenario, ...] = SCENARIOS) -> DataFrame:

@@ -1,7 +1,8 @@
 """Priority scores (PRJ): layers to 0..1 components, weighted blends, eligibility.
 
 Thresholds that need the whole area (percentiles, medians, maxima) come from one aggregate over the cells, then everything
-is a projection. cells: travel_min, pop, veg, ntl, drought, optional pov, food, mtt, rwi; in_aoi is respected by nulls.
+is a projection. cells: travel_min, pop, veg, ntl, drought, pov, food, mtt, rwi, rural, crop_frac. A layer is absent if its
+column is, or holds no value at all: its component or mask is left out then. in_aoi is respected by nulls.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from gridloom.params import COMPONENTS, Params
 #: Weights of the first version's blend.
 V1_WEIGHTS = {"access": 0.35, "pop": 0.25, "veg": 0.20, "ntl": 0.10, "drought": 0.10}
 OVERLAYS = ("pov", "food", "mtt", "rwi")
+LAYERS = {"access": "travel_min", "pop": "pop", "veg": "veg", "ntl": "ntl", "drought": "drought", **{k: k for k in OVERLAYS}, "rural": "rural", "crop_frac": "crop_frac"}
 
 
 def scalars(cells: DataFrame) -> dict[str, float | None]:
-    """All thresholds of the area by one pass."""
+    """All thresholds of the area by one pass, and how many values each layer has (n_<layer>; 0 where it is absent)."""
     has = set(cells.columns)
-    want = {"pop_p95": F.percentile(F.when(F.col("pop") >= 0, F.col("pop")), 0.95), "pop_max": F.max("pop"), "pop_p95_all": F.percentile("pop", 0.95), "drought_median": F.median("drought")}
+    want = {f"n_{c}": F.count(c) if c in has else F.lit(0) for c in LAYERS.values()}
+    if "pop" in has:
+        want |= {"pop_p95": F.percentile(F.when(F.col("pop") >= 0, F.col("pop")), 0.95), "pop_max": F.max("pop"), "pop_p95_all": F.percentile("pop", 0.95)}
+    if "drought" in has:
+        want |= {"drought_median": F.median("drought")}
     if "mtt" in has:
         want |= {"mtt_median": F.median("mtt"), "mtt_lo": F.min("mtt"), "mtt_hi": F.max("mtt")}
     if "rwi" in has:
@@ -44,12 +50,12 @@ def access_v1(travel: str = "travel_min") -> Column:
 def score_v1(cells: DataFrame) -> DataFrame:
     """The first version (PRJ-5..10, PRJ-15): fixed caps and weights; null if any component is."""
     s = scalars(cells)
-    p95 = float(s["pop_p95_all"] or 0.0)
+    p95 = float(s["pop_p95_all"]) if (s["pop_p95_all"] or 0) > 0 else 1.0
     parts = {
         "access": access_v1(),
         "pop": normalize_linear("pop", 0.0, p95),
         "veg": normalize_linear("veg", 0.3, 1.0),
-        "ntl": 1 - normalize_linear("ntl", 0.0, 0.3),
+        "ntl": normalize_linear("ntl", 0.0, 0.3),
         "drought": 1 - normalize_linear("drought", 0.0, 30.0),
     }
     return cells.withColumn("score", sum((V1_WEIGHTS[k] * c for k, c in parts.items()), F.lit(0.0)))
@@ -59,25 +65,20 @@ def components(cells: DataFrame, p: Params = Params(), s: dict | None = None) ->
     """PRJ-6..13, 19: each component in 0..1, larger is more urgent. Units are told by medians: drought above 1 is percent,
     municipal minutes below 6 are hours."""
     s = s or scalars(cells)
-    pop_top = s["pop_p95"] or s["pop_max"] or 1.0
-    drought = F.col("drought") / 100 if (s["drought_median"] or 0) > 1 else F.col("drought")
-    out = {
-        "access": minmax_scale("travel_min", 0.0, float(max(p.iso_thresholds)), invert=True),
-        "pop": minmax_scale("pop", 0.0, float(pop_top)),
-        "veg": minmax_scale("veg", p.veg_min, 1.0),
-        "ntl": minmax_scale("ntl", 0.0, p.ntl_cap, invert=True),
-        "drought": minmax_scale(drought, 0.0, 0.30, invert=True),
+    pop_top = s.get("pop_p95") or s.get("pop_max") or 1.0
+    percent = (s.get("drought_median") or 0) > 1
+    every = {
+        "access": lambda: minmax_scale("travel_min", 0.0, float(max(p.iso_thresholds)), invert=True),
+        "pop": lambda: minmax_scale("pop", 0.0, float(pop_top)),
+        "veg": lambda: minmax_scale("veg", p.veg_min, 1.0),
+        "ntl": lambda: minmax_scale("ntl", 0.0, p.ntl_cap),
+        "drought": lambda: minmax_scale(F.col("drought") / 100 if percent else F.col("drought"), 0.0, 0.30, invert=True),
+        "pov": lambda: clamp("pov", 0.0, 1.0),
+        "food": lambda: clamp("food", 0.0, 1.0),
+        "mtt": lambda: minmax_scale(F.col("mtt") * (60.0 if s["mtt_median"] < 6 else 1.0), 0.0, float(max(p.iso_thresholds)), invert=True),
+        "rwi": lambda: minmax_scale("rwi", s["rwi_p5"], s["rwi_p95"], invert=True),
     }
-    has = set(cells.columns)
-    for name in ("pov", "food"):
-        if name in has:
-            out[name] = clamp(name, 0.0, 1.0)
-    if "mtt" in has and s.get("mtt_median") is not None:
-        unit = 60.0 if s["mtt_median"] < 6 else 1.0
-        out["mtt"] = minmax_scale(F.col("mtt") * unit, 0.0, float(max(p.iso_thresholds)), invert=True)
-    if "rwi" in has and s.get("rwi_p5") is not None:
-        out["rwi"] = minmax_scale("rwi", s["rwi_p5"], s["rwi_p95"], invert=True)
-    return out
+    return {k: make() for k, make in every.items() if s[f"n_{LAYERS[k]}"]}
 
 
 def rwi_to_equity(cells: DataFrame, out: str = "equity") -> DataFrame:
@@ -101,20 +102,21 @@ def blend(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return clamp(sum((F.lit(w) * parts[k] for k, w in weights.items()), F.lit(0.0)), 0.0, 1.0)
 
 
-def eligible(score: Column, p: Params) -> Column:
-    """PRJ-18: the score where the cell is rural and has the cropland asked for, else null."""
+def eligible(score: Column, p: Params, s: dict) -> Column:
+    """PRJ-18: the score where the cell is rural and has the cropland asked for, else null; an absent layer masks nothing."""
     ok = F.lit(True)
-    if p.mask_require_rural:
+    if p.mask_require_rural and s["n_rural"]:
         ok = ok & (F.col("rural") > 0.5)
-    if p.mask_min_cropland > 0:
+    if p.mask_min_cropland > 0 and s["n_crop_frac"]:
         ok = ok & (F.col("crop_frac") >= p.mask_min_cropland)
     return F.when(ok, score)
 
 
 def priority_score(cells: DataFrame, p: Params = Params(), overlays: bool = True) -> DataFrame:
     """Blend, eligibility and smoothing: cells with `score`."""
-    parts = components(cells, p)
-    scored = cells.withColumn("score", eligible(blend(parts, effective_weights(parts, p, overlays)), p))
+    s = scalars(cells)
+    parts = components(cells, p, s)
+    scored = cells.withColumn("score", eligible(blend(parts, effective_weights(parts, p, overlays)), p, s))
     return focal_mean(scored, "score", p.smooth_radius, preserve_nulls=p.smooth_preserve_nulls)
 
 

@@ -87,9 +87,14 @@ def mode_label(rows: DataFrame, group: str, label: str) -> DataFrame:
     return n.groupBy(group).agg(F.min(F.struct(-F.col("n"), F.col(label).alias("v")))["v"].alias(label))
 
 
-def cluster_pack(cells: DataFrame, cluster: str = "cluster_id", thresholds=(30, 60, 120, 240), policy: str = "skip") -> DataFrame:
-    """AGG-8, AGG-32: per cluster the sums, shares, means, centre and main zone; policy `poison`: a missing cell voids a value."""
-    rows = cells.filter(F.col(cluster).isNotNull())
+def cluster_pack(cells: DataFrame, cluster: str = "cluster_id", thresholds=(30, 60, 120, 240), policy: str = "skip", drought_median: float | None = None) -> DataFrame:
+    """AGG-8, AGG-32: per cluster the sums, shares, means, centre and main zone; policy `poison`: a missing cell voids a value.
+
+    Drought is percent if its median over the whole grid is above 1; without that median the cells given stand for the grid.
+    """
+    if drought_median is None:
+        drought_median = cells.agg(F.median("drought")).first()[0]
+    rows = cells.filter(F.col(cluster).isNotNull()).withColumn("drought", F.col("drought") / (100.0 if (drought_median or 0) > 1 else 1.0))
     rows = rows.withColumn("__crop", F.col("crop_frac") * F.col("area_km2"))
     pct = lambda c: F.avg(flag(F.col(c) > 0.5))
     shares = [F.avg(flag(F.col("travel_min") <= t)).alias(f"share_le_{t:g}m") for t in thresholds]

