@@ -7,12 +7,14 @@ hold very many rows are split by Spark's skew handling, as the join is a plain e
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_km
 from gridloom.functions.numeric import dominant
+from gridloom.session import written
 
 KM_DEGREE = 111.1949
 
@@ -73,7 +75,8 @@ def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str =
     """JON-10: per point and target layer the distance to the nearest target and the numbers within the radii.
 
     Rings of growing radius are searched until every point has a nearest target of each layer that has targets at all; a
-    ring holds only the points and layers that are still open. Layers without targets give null and 0.
+    ring holds only the points that are still open, serves all layers in one pass, and is written before the next one.
+    Beyond 2,000 km the few points that are left are compared with all targets. Layers without targets give null and 0.
     """
     layers = list(layers) or [r[0] for r in targets.select(layer).distinct().orderBy(layer).collect()]
     p = points.select(F.col(key).alias("__k"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
@@ -81,28 +84,27 @@ def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str =
     kms = [float(r) for r in radii]
     near = radius_pairs(p, t, max(kms)) if distance is haversine_km else radius_pairs(p, t, max(kms) * 1.01).withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
     counts = near.groupBy("__k").agg(*(F.count_if((F.col("__l") == la) & (F.col("dist_km") <= r)).alias(f"count_{la}_le{r:g}km") for la in layers for r in kms), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"dist_km_nearest_{la}") for la in layers))
-    out = p.join(counts, "__k", "left")
-    for la in layers:
-        name = f"dist_km_nearest_{la}"
-        mine, reach = t.filter(F.col("__l") == la), max(kms) * 4
-        if mine.isEmpty():
-            continue
-        while True:
-            open_ = out.filter(F.col(name).isNull()).select("__k", "p_lon", "p_lat")
-            if open_.isEmpty():
-                break
-            whole = reach > 2000  # bins of this width no longer cut anything off
-            if whole:
-                found = open_.join(mine, F.lit(True)).withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
-            else:
-                found = radius_pairs(open_, mine, reach * (1 if distance is haversine_km else 1.01))
-                if distance is not haversine_km:
-                    found = found.withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
-            best = found.filter(F.col("dist_km") <= (far_km if whole else reach)).groupBy("__k").agg(F.min("dist_km").alias("__d"))
-            out = out.join(best, "__k", "left").withColumn(name, F.coalesce(name, "__d")).drop("__d")
-            if whole:
-                break
-            reach *= 4
+    out = written(p.join(counts, "__k", "left"), "nearest")
+    there = {r[0] for r in t.select("__l").distinct().collect()}  # layers are few
+    names, reach = {la: f"dist_km_nearest_{la}" for la in layers if la in there}, max(kms) * 4
+    while names:
+        lacking = [F.col(n).isNull() for n in names.values()]
+        open_ = out.filter(reduce(lambda a, b: a | b, lacking)).select("__k", "p_lon", "p_lat")
+        if open_.isEmpty():
+            break
+        whole = reach > 2000  # bins of this width no longer cut anything off
+        if whole:
+            found = open_.join(t, F.lit(True)).withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
+        else:
+            found = radius_pairs(open_, t, reach * (1 if distance is haversine_km else 1.01))
+            if distance is not haversine_km:
+                found = found.withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
+        best = found.filter(F.col("dist_km") <= (far_km if whole else reach)).groupBy("__k").agg(*(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"__d_{n}") for la, n in names.items()))
+        out = out.join(best, "__k", "left").withColumns({n: F.coalesce(n, f"__d_{n}") for n in names.values()}).drop(*(f"__d_{n}" for n in names.values()))
+        out = written(out, "nearest")
+        if whole:
+            break
+        reach *= 4
     zero = {f"count_{la}_le{r:g}km": 0 for la in layers for r in kms}
     cols = [F.col("__k").alias(key), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"), *(f"dist_km_nearest_{la}" for la in layers), *zero]
     return out.fillna(zero).select(*cols)

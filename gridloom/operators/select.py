@@ -30,15 +30,16 @@ def top_percent(cells: DataFrame, value: str, percent: float, out: str = "select
 def top_area(cells: DataFrame, value: str, target_km2: float, out: str = "selected", null_is_zero: bool = False, keys: tuple[str, ...] = ("aoi",), slices: int = 64) -> DataFrame:
     """WIN-2: best cells first until their area reaches the target; the cell that crosses it is in, and one cell at least.
 
-    Cells are cut into slices of the value's range; areas of the slices are summed and only the running sum within a slice
-    is ordered, so no task orders all cells. Equal values go by (row, col).
+    Cells are cut into slices of about equal numbers (approximate quantiles of the area, a sketch of bounded size; where
+    they lie does not change the result); areas of the slices are summed and only the running sum within a slice is
+    ordered, so no task orders all cells. Equal values go by (row, col).
     """
     keys = [k for k in keys if k in cells.columns]
-    bounds = cells.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    joined = cells.join(F.broadcast(bounds), keys) if keys else cells.crossJoin(F.broadcast(bounds))
-    width = F.col("__hi") - F.col("__lo")
-    place = F.when(width > 0, F.floor((F.col("__hi") - F.col(value)) / F.when(width > 0, width) * slices)).otherwise(F.lit(0))
-    sliced = joined.withColumn("__slice", F.when(F.col(value).isNotNull(), F.least(place.cast("int"), F.lit(slices - 1))))
+    points = F.array(*(F.lit(k / slices) for k in range(1, slices)))
+    bounds = cells.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(100 * slices)).alias("__cuts"))
+    joined = cells.join(F.broadcast(bounds), keys) if keys else cells.crossJoin(F.broadcast(bounds))  # one row per area
+    above = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c > F.col(value)))
+    sliced = joined.withColumn("__slice", F.when(F.col(value).isNotNull(), above))
     sums = sliced.filter("__slice is not null").groupBy(*keys, "__slice").agg(F.sum("area_km2").alias("__a"))
     over = Window.partitionBy(*keys).orderBy("__slice")
     sums = sums.select(*keys, "__slice", (F.sum("__a").over(over) - F.col("__a")).alias("__before"))
@@ -47,7 +48,7 @@ def top_area(cells: DataFrame, value: str, target_km2: float, out: str = "select
     earlier = F.col("__before") + F.sum("area_km2").over(inside) - F.col("area_km2")
     first = (F.col("__before") == 0) & (F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(F.desc(value), "row", "col")) == 1)
     mask = F.when(F.col(value).isNotNull(), ((earlier < target_km2) | first).cast("int"))
-    return out_rows.withColumn(out, F.coalesce(mask, F.lit(0)) if null_is_zero else mask).drop("__lo", "__hi", "__slice", "__before")
+    return out_rows.withColumn(out, F.coalesce(mask, F.lit(0)) if null_is_zero else mask).drop("__cuts", "__slice", "__before")
 
 
 def select_top(cells: DataFrame, value: str, percent: float | None = None, km2: float | None = None, **options) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,10 +114,12 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
             break
         head[parts[0].lower()] = float(parts[1])
     lines = spark.read.option("wholetext", False).text(path).withColumn("at", F.col("_metadata.file_block_start")).withColumn("id", F.monotonically_increasing_id())
-    values = lines.filter(~F.col("value").rlike("^\\s*[A-Za-z]")).withColumn("v", F.split(F.trim("value"), "\\s+"))
-    from pyspark.sql import Window
-
-    rows = values.withColumn("row", (F.row_number().over(Window.orderBy("at", "id")) - 1).cast("int"))
+    # each block's lines are counted, the counts added up over the blocks: no task sees all lines
+    lines = lines.withColumns({"block": F.shiftright("id", 33), "nth": F.col("id").bitwiseAND((1 << 33) - 1), "data": ~F.col("value").rlike("^\\s*[A-Za-z]")})
+    per = lines.groupBy("block").agg(F.min("at").alias("at"), F.count_if("data").alias("n"), F.count_if(~F.col("data")).alias("heads"))
+    before = per.select("block", "heads", (F.sum("n").over(Window.orderBy("at", "block")) - F.col("n")).alias("before"))
+    values = lines.filter("data").join(F.broadcast(before), "block")  # one row per block of a file
+    rows = values.select((F.col("before") + F.col("nth") - F.col("heads")).cast("int").alias("row"), F.split(F.trim("value"), "\\s+").alias("v"))
     out = rows.select("row", F.posexplode("v").alias("col", "text")).select("row", "col", F.col("text").try_cast("double").alias("value"))
     return out.filter((F.col("value") != head.get("nodata_value", float("nan"))) & F.col("value").isNotNull()), head
 

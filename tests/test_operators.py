@@ -309,6 +309,10 @@ def test_balancing_meets_both_margins(spark):
     for side in ("oi", "dj"):
         for r in z.collect():
             assert sum(x.flow for x in f if x[side] == r.code) == pytest.approx(r.mass / total * 1e6, rel=1e-6)
+    joined = od.ipf(od.gravity(z, p.with_(od_ipf=False)), z, p, local_zones=0).collect()
+    assert {(r.oi, r.dj): r.flow for r in joined} == pytest.approx({(r.oi, r.dj): r.flow for r in f}, rel=1e-6)
+    with pytest.warns(UserWarning, match="margins"):
+        od.balance(np.array([[1.0, 2.0], [3.0, 4.0]]), np.array([1.0, 9.0]), rounds=1)
 
 
 def test_agents_are_the_generators(spark):
