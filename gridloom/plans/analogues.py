@@ -360,7 +360,7 @@ def unique_checks(spark, d):
 
 
 def flow_checks(spark, d):
-    figure = np_round(F.col("detail").cast("double"), 4).cast("string")
+    figure = F.format_string("%.4f", np_round(F.col("detail").cast("double"), 4))
     return validate.flow_checks(od.gravity(zones(spark, d)), 1e6).withColumn("detail", F.when(F.col("check") == "flow:non_negative", F.col("detail")).otherwise(figure))
 
 

@@ -312,8 +312,8 @@ ORACLES: dict[str, str] = {
     "unique_checks": """with a as (select count(*) - count(distinct (l_orderkey, l_linenumber)) as n from lineitem), b as (select count(*) - count(distinct o_custkey) as n from orders)
         select 'key:unique' as "check", n = 0 as ok, n::varchar as detail from a union all select 'cust:unique', n = 0, n::varchar from b""",
     "flow_checks": f"""with {_gravity()}, s as (select count(*) filter (flow < 0) as bad, sum(flow) as total, sum(dist_km * flow) / sum(flow) as km from f), k as (select avg(abs(a.flow - b.flow)) as skew from f a join f b on a.oi = b.dj and a.dj = b.oi)
-        select 'flow:non_negative' as "check", bad = 0 as ok, bad::varchar as detail from s union all select 'flow:total', abs(total - 1e6) <= 1, ({_r('total', 4)})::varchar from s
-        union all select 'flow:mean_km', km is not null, ({_r('km', 4)})::varchar from s union all select 'flow:asymmetry', true, ({_r('skew', 4)})::varchar from k""",
+        select 'flow:non_negative' as "check", bad = 0 as ok, bad::varchar as detail from s union all select 'flow:total', abs(total - 1e6) <= 1, printf('%.4f', {_r('total', 4)}) from s
+        union all select 'flow:mean_km', km is not null, printf('%.4f', {_r('km', 4)}) from s union all select 'flow:asymmetry', true, printf('%.4f', {_r('skew', 4)}) from k""",
     "mode_zone": "select o_custkey, o_orderpriority from (select o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by count(*) desc, o_orderpriority) as k from orders group by 1, 2) where k = 1",
     "dominant_source": """with c as (select user_id, count(*) filter (event_type = 'click') as a, count(*) filter (event_type = 'view') as b, count(*) filter (event_type = 'purchase') as c from events group by 1)
         select user_id, case when greatest(a, b, c) <= 0 then 'none' when (a = greatest(a, b, c))::int + (b = greatest(a, b, c))::int + (c = greatest(a, b, c))::int > 1 then 'mixed'

@@ -294,12 +294,12 @@ def travel_minutes(spark, d):
 
 
 @query(f"""with recursive {_MINUTES}, k as (select site_id, t as thresh_min, g.*, minutes from minutes join g using ("row", col), (select unnest([30.0::double, 60, 120, 240]) as t) where minutes <= t)
-    select site_id, thresh_min, {_r('sum(area_km2)', 3)} as area_km2, {_r('sum(pop)', 3)} as pop, {_r('sum(crop_frac * area_km2)', 3)} as cropland_km2, {_r('avg(rwi)', 5)} as rwi_mean, {_r('sum(rwi * pop) / sum(pop)', 5)} as rwi_pop_weighted,
+    select site_id, thresh_min, {_r('sum(area_km2)', 3)} as area_km2, {_r('sum(pop)', 3)} as pop, {_r('sum(crop_frac * area_km2)', 3)} as cropland_km2, {_r('avg(rwi)', 7)} as rwi_mean, {_r('sum(rwi * pop) / sum(pop)', 5)} as rwi_pop_weighted,
     {_r('avg(minutes)', 3)} as mean_travel_min from k group by 1, 2""")
 def catchment_kpis(spark, d):
     k = cost.catchment_kpis(_surface(spark, d), cells(spark, d), P.iso_thresholds)
-    wide = {"rwi_mean": 5, "rwi_pop_weighted": 5}
-    return k.select("site_id", "thresh_min", *(np_round(c, wide.get(c, 3)).alias(c) for c in ("area_km2", "pop", "cropland_km2", "rwi_mean", "rwi_pop_weighted", "mean_travel_min")))
+    digits = {"rwi_mean": 7, "rwi_pop_weighted": 5}  # means of few thousandths end in a 5
+    return k.select("site_id", "thresh_min", *(np_round(c, digits.get(c, 3)).alias(c) for c in ("area_km2", "pop", "cropland_km2", "rwi_mean", "rwi_pop_weighted", "mean_travel_min")))
 
 
 @query(f"""with recursive {_MINUTES}, r as (select t as thresh_min, "row", col, max(case when minutes <= t then 1 else 0 end) as hit from minutes, (select unnest([30.0::double, 60, 120, 240]) as t) group by 1, 2, 3)
