@@ -64,9 +64,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("area_km2", cell_area_latlon("y", STEP, STEP))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; what a query returns."""
-    return df.select(*((np_round(f"`{c}`", digits).alias(c)) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6, means: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded; what a query returns. Means of few values often end in a 5 where sums are cut: they keep 8 digits."""
+    return df.select(*((np_round(f"`{c}`", 8 if c in means else digits).alias(c)) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def remove_small(spark, d):
 def cluster_kpis(spark, d):
     c = _chosen(spark, d).filter("selected = 1").withColumn("risk", F.col("road") * (F.col("flood_frac") >= 0.25).cast("int"))
     labelled = cluster.prune(c.join(cluster.connected_components(c, 8), ["aoi", "row", "col"]), 3, 0.0)
-    return rounded(zonal.cluster_pack(labelled, policy="poison", drought_median=_chosen(spark, d).agg(F.median("drought")).first()[0]), 4)
+    return rounded(zonal.cluster_pack(labelled, policy="poison", drought_median=_chosen(spark, d).agg(F.median("drought")).first()[0]), 4, ("mean_travel_min", "drought_mean_0_1", "flood_depth_mean_m", "rwi_mean", "centroid_lon", "centroid_lat"))
 
 
 def scenario_sweep(spark, d):

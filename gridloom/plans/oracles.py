@@ -179,10 +179,10 @@ def _grid(n: int, k: int) -> str:
 def _pack() -> str:
     return f"""select cluster_id, {_r('sum(area_km2)', 4)} as area_km2, {_r('case when count(pop) = count(*) then sum(pop) end', 4)} as pop,
         {_r('case when count(crop_frac) = count(*) then sum(crop_frac * area_km2) end', 4)} as cropland_km2, {_r('avg(case when elec > 0.5 then 1 else 0 end)', 4)} as pct_electrified,
-        {_r('avg(case when rural > 0.5 then 1 else 0 end)', 4)} as pct_rural, {_r('case when count(travel_min) = count(*) then avg(travel_min) end', 4)} as mean_travel_min,
-        {_r('case when count(drought) = count(*) then avg(drought / case when (select median(drought) from t) > 1 then 100.0::double else 1.0::double end) end', 4)} as drought_mean_0_1, {_b('sum(case when road * (flood_frac >= 0.25)::int > 0.5 then 1 else 0 end)')} as risk_roadcells,
-        {_r('case when count(flood_max) = count(*) then avg(flood_max) end', 4)} as flood_depth_mean_m, {_r('case when count(rwi) = count(*) then avg(rwi) end', 4)} as rwi_mean,
-        {_r('avg(x)', 4)} as centroid_lon, {_r('avg(y)', 4)} as centroid_lat, {', '.join(f"{_r(f'avg(case when travel_min <= {t} then 1 else 0 end)', 4)} as share_le_{t}m" for t in (30, 60, 120, 240))}"""
+        {_r('avg(case when rural > 0.5 then 1 else 0 end)', 4)} as pct_rural, {_r('case when count(travel_min) = count(*) then avg(travel_min) end', 8)} as mean_travel_min,
+        {_r('case when count(drought) = count(*) then avg(drought / case when (select median(drought) from t) > 1 then 100.0::double else 1.0::double end) end', 8)} as drought_mean_0_1, {_b('sum(case when road * (flood_frac >= 0.25)::int > 0.5 then 1 else 0 end)')} as risk_roadcells,
+        {_r('case when count(flood_max) = count(*) then avg(flood_max) end', 8)} as flood_depth_mean_m, {_r('case when count(rwi) = count(*) then avg(rwi) end', 8)} as rwi_mean,
+        {_r('avg(x)', 8)} as centroid_lon, {_r('avg(y)', 8)} as centroid_lat, {', '.join(f"{_r(f'avg(case when travel_min <= {t} then 1 else 0 end)', 4)} as share_le_{t}m" for t in (30, 60, 120, 240))}"""
 
 
 def _shortlist_part(c: str, invert: bool = False) -> str:
