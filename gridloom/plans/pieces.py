@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import geo
+from gridloom.functions import geo, projection
 from gridloom.functions import numeric as num
 from gridloom.functions.numeric import np_round
 from gridloom.operators import cluster, cost, distance, filters, grid, od, profile, raster, report, score, select, tabular, validate, zonal
@@ -20,7 +20,7 @@ from gridloom.plans import steps
 from gridloom.plans.analogues import SEGMENTS, SPEC, STEP, P, _boxes, _chosen, _wide, cells, indicators, rounded, sites, table, targets, zones
 from gridloom.plans.oracles import AREA_G, BOXES, CELLS, EIGHT, FOUR, SCALARS, SITES, TOP, WIDE, WITH, ZONES, _blend, _components, _eligible, _gravity, _grid, _hav, _i, _r, _smoothed
 from gridloom.session import remove_at_end, shared_dir, written
-from gridloom.sources import readers, sinks
+from gridloom.sources import geofiles, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -565,6 +565,24 @@ def ascii_round_trip(spark, d):
     return out.filter(F.lit(header["ncols"] == 40))
 
 
+@query(f"with {CELLS} select \"row\", col, n::double as value, 40 as height, 'EPSG:4326' as crs from g")
+def geotiff_round_trip(spark, d):
+    """SRC-1, SNK-1: a GeoTIFF file written and read."""
+    path = folder(spark) + "/grid.tif"
+    geofiles.write_geotiff(cells(spark, d), "n", path, SPEC)
+    out, spec = geofiles.read_geotiff(spark, path)
+    return out.select("row", "col", "value", F.lit(spec.height).alias("height"), F.lit(spec.crs).alias("crs"))
+
+
+@query(f"""with {CELLS} select "row", col, {_r('radians(x) * 6378137.0', 3)} as east, {_r('ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0', 3)} as north, {_r('x')} as lon, {_r('y')} as lat from g""")
+def projected_cells(spark, d):
+    """GEO-3: cell centres in Web Mercator, and taken to a UTM zone and back."""
+    c = cells(spark, d)
+    east, north = projection.transform_xy("x", "y", "EPSG:4326", "EPSG:3857")
+    lon, lat = projection.transform_xy(*projection.transform_xy("x", "y", "EPSG:4326", "EPSG:32635"), "EPSG:32635")
+    return c.select("row", "col", np_round(east, 3).alias("east"), np_round(north, 3).alias("north"), np_round(lon, 6).alias("lon"), np_round(lat, 6).alias("lat"))
+
+
 @query(f"with {BOXES} select k::bigint as feature_id, 'polygon' as kind, 'primary' as fclass, k::double as value, 4 as vertices, {_r('x1', 7)} as x, {_r('y1', 7)} as y from box")
 def geojson_round_trip(spark, d):
     """SRC-2: features of a GeoJSON document."""
