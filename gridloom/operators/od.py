@@ -1,4 +1,4 @@
-"""Gravity flows between zones (GRV). zones: code, lon, lat, mass; all pairs are the model, so they are formed once."""
+"""Gravity flows between zones (GRV). zones: code, lon, lat, mass; the model has all pairs, or those within the cutoff."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_km
 from gridloom.functions.numeric import cutoff, equity_mass, impedance
+from gridloom.operators.distance import radius_pairs
 from gridloom.operators.raster import polygon_cells
 from gridloom.operators.zonal import weighted_mean, weighted_median
 from gridloom.params import Params
@@ -35,6 +36,18 @@ def distances(zones: DataFrame, code: str = "code") -> DataFrame:
     return a.crossJoin(b).withColumn("dist_km", haversine_km("o_lon", "o_lat", "d_lon", "d_lat"))
 
 
+def near_distances(zones: DataFrame, km: float, code: str = "code") -> DataFrame:
+    """JON-12 within a distance: the ordered pairs at most `km` apart, by tiles, across 180 degrees too. Longitudes are from
+    -180 to 180; zones without a place have no pairs."""
+    a = zones.select(F.col(code).alias("oi"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), F.col("mass").alias("o_mass"))
+    b = zones.select(F.col(code).alias("dj"), F.col("lon").alias("d_lon"), F.col("lat").alias("t_lat"), F.col("mass").alias("d_mass"), F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("turn"))
+    both = radius_pairs(a, b.withColumn("t_lon", F.col("d_lon") + F.col("turn")), km * (1 + 1e-9))
+    # of a zone's three places one is within half a turn
+    both = both.filter((F.col("t_lon") - F.col("p_lon") > -180) & (F.col("t_lon") - F.col("p_lon") <= 180))
+    both = both.withColumnsRenamed({"p_lon": "o_lon", "p_lat": "o_lat", "t_lat": "d_lat"}).drop("t_lon", "turn")
+    return both.withColumn("dist_km", haversine_km("o_lon", "o_lat", "d_lon", "d_lat")).filter(F.col("dist_km") <= km)
+
+
 def bilateral(pairs: DataFrame, weights: DataFrame | None) -> DataFrame:
     """JON-18: pair weights (oi, dj, w), 1 where there is none."""
     if weights is None:
@@ -42,11 +55,16 @@ def bilateral(pairs: DataFrame, weights: DataFrame | None) -> DataFrame:
     return pairs.join(weights.select("oi", "dj", F.col("w").cast("double").alias("w")), ["oi", "dj"], "left").fillna(1.0, ["w"])
 
 
-def gravity(zones: DataFrame, p: Params = Params(), code: str = "code", weights: DataFrame | None = None, min_pop: float | None = None) -> DataFrame:
-    """GRV-2, GRV-7: flows oi, dj, flow, dist_km that sum to the trips; an error if nothing can flow."""
+def gravity(zones: DataFrame, p: Params = Params(), code: str = "code", weights: DataFrame | None = None, min_pop: float | None = None, beyond_cutoff: bool = True) -> DataFrame:
+    """GRV-2, GRV-7: flows oi, dj, flow, dist_km that sum to the trips; an error if nothing can flow.
+
+    Pairs beyond the cutoff carry nothing; without `beyond_cutoff` they are never formed, which takes a tile join instead of
+    all pairs and leaves the other rows as they are.
+    """
     if min_pop is not None:
         zones = zones.filter(F.col("pop") >= min_pop)
-    d = bilateral(distances(zones, code), weights)
+    pairs = distances(zones, code) if beyond_cutoff or p.od_cutoff_km is None else near_distances(zones, p.od_cutoff_km, code)
+    d = bilateral(pairs, weights)
     f = impedance("dist_km", p.od_impedance, p.od_lambda, p.od_beta)
     raw = F.pow(F.greatest("o_mass", F.lit(0.0)), F.lit(p.od_alpha)) * F.pow(F.greatest("d_mass", F.lit(0.0)), F.lit(p.od_gamma)) * f * F.col("w")
     raw = F.greatest(F.lit(0.0), cutoff(raw, "dist_km", p.od_cutoff_km))

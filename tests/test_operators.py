@@ -296,6 +296,17 @@ def test_gravity_total_symmetry_cutoff(spark):
         numeric.impedance("d", "none")
 
 
+def test_gravity_within_the_cutoff(spark):
+    rows = [(f"z{k}", -180.0 + k * 47 % 361, -60.0 + k * 31 % 121, 1.0 + k % 7) for k in range(60)] + [("none", None, 3.0, 1.0), ("east", 179.9, 0.0, 2.0), ("west", -179.9, 0.0, 3.0)]
+    z = spark.createDataFrame(rows, "code string, lon double, lat double, mass double")
+    for km in (30.0, 1500.0, 9000.0):
+        p = Params(od_cutoff_km=km)
+        whole = [r for r in od.gravity(z, p).collect() if r.dist_km is not None and r.dist_km <= km]
+        near = od.gravity(z, p, beyond_cutoff=False).collect()
+        assert len(near) == len(whole) and {(r.oi, r.dj): (r.flow, r.dist_km) for r in near} == {(r.oi, r.dj): (pytest.approx(r.flow, rel=1e-9), r.dist_km) for r in whole}
+        assert any((r.oi, r.dj) == ("east", "west") for r in near)
+
+
 def test_tilt_sign(spark):
     m = lambda s: {r.code: r.mass for r in od.with_mass(zones3(spark), Params(tilt_sign=s)).collect()}
     assert m(1)["A"] > m(1)["C"] == 5.0 > m(1)["B"] and m(-1)["A"] < 5.0
@@ -408,6 +419,22 @@ def test_profile(spark):
     assert profile.profile_rows(df.unionByName(df.limit(1))).first().duplicate_rows == 1
 
 
+def test_profile_counts_by_plain_python(spark):
+    import statistics
+
+    rows = [(k * k % 97 if k % 10 else None, float(k % 13) - 6 if k % 4 else -0.0, f"t{k % 31}", (1 << 60) + k % 3) for k in range(400)]
+    df = spark.createDataFrame(rows, "a int, b double, c string, d long").repartition(7)
+    got = {r["column"]: r for r in profile.profile_columns(df).collect()}
+    for i, c in enumerate("abcd"):
+        held = [r[i] for r in rows if r[i] is not None]
+        assert (got[c].rows, got[c].nulls, got[c].distinct) == (400, 400 - len(held), len(set(held)))
+        assert got[c].median == (statistics.median(float(x) for x in held) if c != "c" else None)
+    none = {r["column"]: r for r in profile.profile_columns(df.limit(0)).collect()}
+    assert set(none) == set("abcd") and none["a"].distinct == 0 and none["a"].median is None and none["a"].null_pct is None
+    wide = {r["column"]: r for r in profile.profile_columns(spark.createDataFrame([(1.0,), (2.0,)], "`x.y` double")).collect()}
+    assert wide["x.y"].median == 1.5
+
+
 def test_validation(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 2], [2, 3, 4]))
     assert {r["check"]: r.detail for r in validate.same_keys(a, b, "k").collect()} == {"keys:left_only": "1", "keys:right_only": "2"}
