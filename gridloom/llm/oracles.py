@@ -123,4 +123,33 @@ select c.doc_id, c.size, c.text_crc32, 'key' as law, shard::int as shard,
 from c join place using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9}
+OP13 = r"""
+with smallest as (select coalesce(text, '') as body, min(doc_id) as least from documents group by 1),
+mark as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+body as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), flagged as (
+    select part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) as c,
+        regexp_matches(t, '[#$%&*|]') as d, coalesce(body.doc_id > s.least, false) as e, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+    from body join smallest s on s.body = body.t left join mark on mark.doc_id = body.doc_id
+), class as (
+    select part, [a, b, c, d, e] as f, good, toxic, count(*) as n from flagged group by all
+), letter as (select unnest(range(1, 6)) as k), orders as (
+    select [a.k, b.k, c.k, d.k, e.k] as o from letter a, letter b, letter c, letter d, letter e
+    where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), fate as (
+    select part, o, s.k as step, n, good, toxic, f[o[s.k]] as fails, len(list_filter(o[1:s.k - 1], lambda x: f[x])) > 0 as earlier, len(list_filter(f, lambda x: x)) as failing
+    from class, orders, letter s
+), summed as (
+    select part, o, step, sum(n)::bigint as total, coalesce(sum(n) filter (fails and not earlier), 0)::bigint as removed, coalesce(sum(n) filter (fails and earlier), 0)::bigint as redundant,
+        coalesce(sum(n) filter (fails and failing = 1), 0)::bigint as unique_fails,
+        coalesce(sum(n) filter (fails and not earlier and good = 1), 0)::bigint as good_lost, coalesce(sum(n) filter (fails and not earlier and toxic = 1), 0)::bigint as toxic_lost
+    from fate group by 1, 2, 3
+)
+select part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') as filter_order, step::int as step,
+    (total - sum(removed) over (partition by part, o order by step))::bigint as kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, o[step]))::bigint as shapley
+from summed
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9, "op13_filter_audit": OP13}

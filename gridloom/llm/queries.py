@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, with production parameters, and the SQL that checks them."""
+"""Queries of the operators over their whole tables, with production parameters, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, licenses, linededup, mixing, neardup, quality, sharding, tokenids, topk
+from gridloom.llm import decontam, filteraudit, langid, licenses, linededup, mixing, neardup, quality, sharding, tokenids, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -72,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_sharding": op9_sharding,
     "op10_token_ids": op10_token_ids,
+    "op13_filter_audit": op13_filter_audit,
 }
