@@ -152,4 +152,34 @@ select part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)),
 from summed
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9, "op13_filter_audit": OP13}
+OP11 = r"""
+with own as (
+    select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+    from conversations where conv_id is not null group by 1
+), bit(k, v) as (
+    select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, _: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) from range(256) t(i)
+), coded as (select list(v order by k) as crc_of from bit), shared as (
+    select o.conv_id, o.turns, f.turns as head,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(o.conv_id::varchar) + 1), lambda i: ascii(substr(o.conv_id::varchar, i::int, 1))::bigint)),
+            lambda c, x: xor(c // 256, crc_of[xor(c, x) % 256 + 1])), 4294967295) % 4 as h
+    from own o cross join coded left join own f on f.conv_id = o.conv_id - o.conv_id % 20
+), rebuilt as (
+    select conv_id, list_concat(coalesce(head[1:h], []), coalesce(turns[h + 1:], [])) as turns from shared
+), prefix as (
+    select conv_id, d, turns[1:d] as k, d = len(turns) as ends from (select conv_id, turns, unnest(range(len(turns) + 1)) as d from rebuilt)
+), node as (
+    select k, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ids from prefix group by 1, 2
+), counted as (
+    select n.*, p.conv_id as parent_conv_id, case when n.d = 0 then 0 else (n.n_convs - 1) * len(regexp_extract_all(n.k[-1].text, '[^\x20\x09-\x0D]+')) end as saved
+    from node n left join node p on n.d > 0 and p.d = n.d - 1 and p.k = n.k[1:n.d - 1]
+), kids as (select k[1:d - 1] as k, count(*) as n from node where d > 0 group by 1),
+below as (
+    select top.k, sum(c.saved) as saved, count(*) filter (kids.n is null) as leaves
+    from (select *, unnest(range(d + 1)) as up from counted) c join node top on top.d = c.up and top.k = c.k[1:c.up] left join kids on kids.k = c.k group by 1
+)
+select c.conv_id, c.d::bigint as depth, c.parent_conv_id, c.n_convs::bigint as n_convs, coalesce(kids.n, 0)::bigint as n_children, below.leaves::bigint as n_leaves,
+    below.saved::bigint as saved_tokens, sha256(c.ids) as ends_sha256
+from counted c join below on below.k = c.k left join kids on kids.k = c.k
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_decontamination": OP2, "op7_licenses": OP7, "op8_topk": OP8, "op9_sharding": OP9, "op11_prefix_trie": OP11, "op13_filter_audit": OP13}

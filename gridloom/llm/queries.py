@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, filteraudit, langid, licenses, linededup, mixing, neardup, quality, sharding, tokenids, topk
+from gridloom.llm import decontam, filteraudit, langid, licenses, linededup, mixing, neardup, prefixtrie, quality, sharding, tokenids, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -76,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_sharding": op9_sharding,
     "op10_token_ids": op10_token_ids,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }

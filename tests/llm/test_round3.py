@@ -1,10 +1,15 @@
 """Operators 11 to 13: brute force, SQL, and odd tables."""
 
+import hashlib
+import itertools
 import os
+import random
+import zlib
 
+import numpy as np
 import pytest
 
-from gridloom.llm import filteraudit, oracles, queries
+from gridloom.llm import filteraudit, oracles, prefixtrie, queries
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +18,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
-@pytest.mark.parametrize("name", ["op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_filter_audit"])
 def test_query(spark, name):
     same(spark, queries.QUERIES[name], oracles.ORACLES[name], SF)
 
@@ -69,3 +74,66 @@ def test_filter_audit_tables(spark):
 def test_word_figures_pieces():
     text = b" ".join(b"abcdefghijklmnopqrstuvwxyz"[i % 17 :][:7] for i in range(3000)) + b"\x0b\x0c\r  end"
     assert filteraudit.word_figures(text, 100) == (len(text.split()), len(set(text.split())))
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+FIELDS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def trie(rows):
+    """Nodes by their whole sequences of turns."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    node = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        whole = tuple([*own.get(int(c - np.fmod(c, 20)), [])[:h], *turns[h:]])
+        for d in range(len(whole) + 1):
+            node.setdefault(whole[:d], [[], []])[0].append(c)
+        node[whole][1].append(c)
+    kids = {}
+    for k in node:
+        if k:
+            kids.setdefault(k[:-1], []).append(k)
+    leaves, saved = {}, {}
+    for k in sorted(node, key=len, reverse=True):
+        below = kids.get(k, [])
+        leaves[k] = sum(leaves[x] for x in below) or 1
+        saved[k] = sum(saved[x] for x in below) + (len(node[k][0]) - 1) * (len(k[-1][1].encode().split()) if k else 0)
+    return sorted((min(m), len(k), min(node[k[:-1]][0]) if k else -(1 << 62), len(m), len(kids.get(k, [])), leaves[k], saved[k], hashlib.sha256(",".join(map(str, sorted(e))).encode()).hexdigest()) for k, (m, e) in node.items())
+
+
+def check_trie(spark, rows, **limits):
+    got = prefixtrie.prefix_trie(spark.createDataFrame(rows, TURNS), **limits).collect()
+    assert sorted(tuple(-(1 << 62) if f == "parent_conv_id" and r[f] is None else r[f] for f in FIELDS) for r in got) == trie(rows)
+
+
+@pytest.mark.parametrize("seed, block_rows", [(0, 1), (1, 2), (2, 3), (3, 7), (4, 1000)])
+def test_trie_brute_force(spark, seed, block_rows):
+    draw = random.Random(seed)
+    rows = [(c, t, draw.choice(["user", "assistant"]), " ".join("ab"[: draw.randint(1, 2)] for _ in range(draw.randint(0, 2)))) for c in draw.sample(range(-30, 200), 150) for t in range(draw.randint(1, 6))]
+    check_trie(spark, rows, block_rows=block_rows)
+
+
+def test_trie_odd_tables(spark):
+    assert prefixtrie.prefix_trie(spark.createDataFrame([], TURNS)).count() == 0
+    check_trie(spark, [(7, None, None, None)])
+    check_trie(spark, [(None, 1, "user", "x"), (21, 1, "user", "x")])  # 21 takes its first turn from the absent 20
+    odd = [(40, 2, "u", "b c"), (40, None, None, None), (40, 1, "u", "a\x0bb\x1fc"), (20, 0, "u", "x" * 200_000), (20, 1, "u", "w " * 50_000)]
+    odd += [(c, t, "u", "same") for c in range(100, 260) for t in range(3)] + [(60, t, "u", "long") for t in range(700)] + [(61, t, "u", "long") for t in range(701)]
+    check_trie(spark, odd, block_rows=16)
+    check_trie(spark, odd, block_turns=40)
+    clash = spark.createDataFrame([(1, 0, "u", "a", 5, "k"), (1, 1, "u", "b", 6, "l")], TURNS + ", block int, codes string")
+    assert prefixtrie.prefix_trie(clash).count() == len(trie([(1, 0, "u", "a"), (1, 1, "u", "b")]))
+
+
+def test_nearest_smaller():
+    draw = np.random.default_rng(1)
+    for n in itertools.chain(range(40), [300]):
+        x = np.concatenate(([-1], draw.integers(0, 5, n), [-1]))
+        before, after = prefixtrie.nearest_smaller(x)
+        for i in range(1, n + 1):
+            assert before[i - 1] == max(j for j in range(i) if x[j] < x[i]) and after[i - 1] == min(j for j in range(i + 1, n + 2) if x[j] < x[i])
