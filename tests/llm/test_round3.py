@@ -7,9 +7,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from gridloom.llm import filteraudit, oracles, prefixtrie, queries
+from gridloom.llm import filteraudit, oracles, prefixtrie, queries, suffixdedup
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +138,102 @@ def test_nearest_smaller():
         before, after = prefixtrie.nearest_smaller(x)
         for i in range(1, n + 1):
             assert before[i - 1] == max(j for j in range(i) if x[j] < x[i]) and after[i - 1] == min(j for j in range(i + 1, n + 2) if x[j] < x[i])
+
+
+def repeats(rows, length):
+    """Every window against all earlier ones; rows of equal id and text are one document."""
+    out, seen = {}, set()
+    last = 1 << 63
+    key = {}
+    for i, t in rows:
+        key.setdefault((i, t or ""), len(key))
+    # texts of one id come in an order of their own, so tests keep ids apart unless the texts share nothing
+    for i, t in sorted(key, key=lambda r: (last if r[0] is None else r[0], r[1])):
+        b = t.encode()
+        hit = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            if w in seen:
+                hit[s : s + length] = True
+            seen.add(w)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(int)) == 1)
+        out[i, t] = (len(b), int(hit.sum()), len(edges), hashlib.sha256(np.frombuffer(b, np.uint8)[~hit].tobytes()).hexdigest())
+    return sorted(((last if i is None else i), *out[i, t or ""]) for i, t in rows)
+
+
+def check_repeats(spark, rows, length=100, **limits):
+    got = suffixdedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=length, **limits).collect()
+    assert sorted(((1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats(rows, length)
+
+
+def passages(seed, n=120):
+    draw = random.Random(seed)
+    text = lambda size: "".join(draw.choice("abcdeé ") for _ in range(size))
+    shared = [text(draw.choice([60, 99, 100, 101, 130, 260, 700])) for _ in range(12)]
+    rows = []
+    for i in range(n):
+        parts = [draw.choice(shared) if draw.random() < 0.4 else text(draw.randint(0, 160)) for _ in range(draw.randint(0, 6))]
+        rows.append((3 * i - 40, draw.choice(["", "x" * draw.randint(0, 400), "ab" * draw.randint(0, 200)]).join(parts) if draw.random() < 0.2 else "".join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("seed, limits", [(0, {}), (1, {"most_runs": 2}), (2, {"sort_bytes": 1000}), (3, {"most_runs": 0})])
+def test_suffix_dedup_brute_force(spark, seed, limits):
+    rows = passages(seed)
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 120, 7)] + [rows[3], rows[3], rows[10]]
+    check_repeats(spark, rows, **limits)
+
+
+def test_suffix_dedup_short_strings(spark):
+    check_repeats(spark, passages(5), length=20)
+
+
+def test_suffix_dedup_odd_texts(spark):
+    line = "GNU General Public License, version 3, with all of its sections and exceptions that hold here, and one more word."
+    rows = [(1, None), (2, ""), (3, "a" * 99), (4, "a" * 100), (5, "a" * 5000), (6, line), (6, None), (None, line), (None, "b" * 300), (7, line + line), (-9, "x" + line), (8, ("word " * 3000) + line)]
+    rows += [(100 + i, f"{i} some lead that differs {i * 7919} " + line + f" and a tail {i * 104729}") for i in range(60)]
+    check_repeats(spark, rows)
+    check_repeats(spark, rows, most_runs=5)
+    assert suffixdedup.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = spark.createDataFrame([(1, line, 5, "k", 1.5, b"z"), (2, line, 6, "l", 2.5, b"y")], "doc_id long, text string, id int, sub string, lo double, windows binary")
+    got = suffixdedup.remove_repeats(clash).orderBy("doc_id").collect()
+    assert [r.kept.decode() for r in got] == [line, ""] and [(r.id, r["sub"]) for r in got] == [(5, "k"), (6, "l")]
+    assert [[(x.start, x.end) for x in r.spans] for r in got] == [[], [(0, len(line))]]
+
+
+def test_suffix_dedup_tiles():
+    """Runs of windows cover every window once, whatever the tiles, and long texts need no more than a tile."""
+    texts = [t.encode() for _, t in passages(8, 40)] + [b"", b"q" * 3000]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = sorted((d, s) for d, t in enumerate(texts) for s in range(len(t) - 99))
+    for tile in (1, 37, 1000, suffixdedup.TILE):
+        before, suffixdedup.TILE = suffixdedup.TILE, tile
+        try:
+            got = [(int(d), s) for run in suffixdedup.runs(data, offsets, 100) for d, lo, hi in zip(run[0], run[5], run[6], strict=True) for s in range(lo, hi + 1)]
+        finally:
+            suffixdedup.TILE = before
+        assert sorted(got) == want and len(set(got)) == len(got)
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_merge_sort_and_collisions(monkeypatch, broken):
+    draw = np.random.default_rng(2)
+    data = draw.integers(97, 99, 4000).astype(np.uint8)
+    group = np.sort(draw.integers(0, 40, 900))
+    start = draw.integers(0, 3990, 900)
+    if broken:  # hashes that say nothing: the bytes decide
+        monkeypatch.setattr(suffixdedup, "span_hash", lambda prefix, start, size: np.zeros(len(start), np.uint64))
+    order, equal = suffixdedup.verified(data, start, group, suffixdedup.merge_sort(data, start, group, 10), 10)
+    text = [data[s : s + 10].tobytes() for s in start]
+    want = sorted(range(900), key=lambda i: (group[i], text[i], i))
+    assert order.tolist() == want
+    assert equal.tolist() == [k > 0 and (group[want[k]], text[want[k]]) == (group[want[k - 1]], text[want[k - 1]]) for k in range(900)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_op12_brute_force(spark):
+    path = f"{SF}/documents.parquet"
+    t = pq.read_table(path, columns=["doc_id", "text"]).to_pylist()
+    got = sorted(tuple(r) for r in queries.QUERIES["op12_suffix_dedup"](spark, SF).collect())
+    assert got == repeats([(r["doc_id"], r["text"]) for r in t], 100)
+    assert sum(r[2] for r in got) > 0
