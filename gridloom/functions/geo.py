@@ -18,18 +18,76 @@ WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 
 
 def haversine_km(lon1, lat1, lon2, lat2) -> Column:
-    """GEO-6: great-circle distance; the root is held to 1."""
+    """GEO-6: great-circle distance; the root is held to 1. Null where a coordinate is missing or no number."""
     lon1, lat1, lon2, lat2 = map(col, (lon1, lat1, lon2, lat2))
     f1, f2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((f2 - f1) / 2), 2) + F.cos(f1) * F.cos(f2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() would take 1 for a null, and 1 is below NaN
+    return F.when(a.isNotNull() & ~F.isnan(a), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
+
+
+def unit_vector(lon, lat) -> tuple[Column, Column, Column]:
+    """A place on the sphere of radius 1: no seam at 180 degrees, none at the poles."""
+    lon, lat = F.radians(col(lon)), F.radians(col(lat))
+    return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+
+
+def chord(km: float) -> float:
+    """The straight way through the sphere of radius 1 between places `km` apart on the Earth."""
+    return 2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2))
+
+
+def antipodal_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """Inverse geodesic by the azimuth at the place further from the equator, for pairs that the fixed-point iteration doesn't settle.
+
+    With that place in the south and the other one no further north, the longitude that a geodesic gains until it meets the
+    other latitude on its way north grows with its azimuth, so bisection finds the azimuth for any pair. Longitude and length
+    are integrals along the auxiliary sphere of smooth functions, taken by Gauss-Legendre quadrature.
+    """
+    f, b = WGS84_F, WGS84_A * (1 - WGS84_F)
+    swap = np.abs(lat1) < np.abs(lat2)
+    south, north = np.where(swap, lat2, lat1), np.where(swap, lat1, lat2)
+    turn = np.where(south > 0, -1.0, 1.0)
+    b1, b2 = (np.arctan((1 - f) * np.tan(np.radians(x * turn))) for x in (south, north))
+    b1 = np.minimum(b1, -1e-200)  # on the equator the way starts just south of it
+    goal = np.radians(np.abs((lon2 - lon1 + 180) % 360 - 180))
+    node, weight = np.polynomial.legendre.leggauss(32)
+    e2 = f * (2 - f) / (1 - f) ** 2
+
+    def way(azimuth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sa, ca = np.sin(azimuth), np.cos(azimuth)
+        s0 = sa * np.cos(b1)
+        c0 = np.hypot(ca, sa * np.sin(b1))
+        c2 = np.sqrt(np.maximum((ca * np.cos(b1)) ** 2 + np.cos(b2) ** 2 - np.cos(b1) ** 2, 0)) / np.cos(b2)
+        s1, w1 = np.arctan2(np.sin(b1), ca * np.cos(b1)), np.arctan2(s0 * np.sin(b1), ca * np.cos(b1))
+        s2, w2 = np.arctan2(np.sin(b2), c2 * np.cos(b2)), np.arctan2(s0 * np.sin(b2), c2 * np.cos(b2))
+        half, middle = (s2 - s1) / 2, (s2 + s1) / 2
+        root = np.sqrt(1 + e2 * c0[:, None] ** 2 * np.sin(middle[:, None] + half[:, None] * node) ** 2)
+        gained = w2 - w1 - f * s0 * half * (((2 - f) / (1 + (1 - f) * root)) @ weight)
+        return gained, b * half * (root @ weight)
+
+    lo, hi = np.zeros(len(goal)), np.full(len(goal), np.pi)
+    for _ in range(60):
+        middle = (lo + hi) / 2
+        short = way(middle)[0] < goal
+        lo, hi = np.where(short, middle, lo), np.where(short, hi, middle)
+    return way((lo + hi) / 2)[1] / 1000
+
+
+def inverse_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """Inverse geodesic for all pairs; NaN only where a coordinate is."""
+    out = vincenty_km(lon1, lat1, lon2, lat2)
+    left = np.flatnonzero(np.isnan(out) & np.isfinite(lon1) & np.isfinite(lat1) & np.isfinite(lon2) & np.isfinite(lat2))
+    if len(left):
+        out[left] = antipodal_km(*(x[left] for x in (lon1, lat1, lon2, lat2)))
+    return out
 
 
 def vincenty_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
     """Inverse geodesic on the ellipsoid by fixed-point iteration; NaN where it doesn't settle (near antipodes)."""
     b = WGS84_A * (1 - WGS84_F)
     u1, u2 = (np.arctan((1 - WGS84_F) * np.tan(np.radians(x))) for x in (lat1, lat2))
-    d = np.radians(lon2 - lon1)
+    d = np.radians((lon2 - lon1 + 180) % 360 - 180)
     lam = d.copy()
     settled = np.zeros(len(d), bool)
     with np.errstate(all="ignore"):
@@ -51,16 +109,17 @@ def vincenty_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.n
         big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
         small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
         delta = small * ss * (cm + small / 4 * (cs * (2 * cm**2 - 1) - small / 6 * cm * (4 * ss**2 - 3) * (4 * cm**2 - 3)))
-        return np.where(settled | (ss == 0), b * big * (sigma - delta) / 1000, np.nan)
+        # beyond half a turn the iteration has left the shortest way
+        return np.where((settled & (np.abs(lam) <= np.pi)) | ((ss == 0) & (cs > 0)), b * big * (sigma - delta) / 1000, np.nan)
 
 
 def geodesic_km(lon1, lat1, lon2, lat2) -> Column:
-    """GEO-7: WGS84 geodesic distance, batch-wise over Arrow; null where a coordinate is."""
+    """GEO-7: WGS84 geodesic distance of any two places, batch-wise over Arrow; null where a coordinate is missing or no number."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b, c, d in batches:
-            out = vincenty_km(*(x.to_numpy(dtype=float) for x in (a, b, c, d)))
+            out = inverse_km(*(x.to_numpy(dtype=float) for x in (a, b, c, d)))
             yield pd.Series([None if math.isnan(v) else v for v in out], dtype="float64")
 
     return F.when(col(lon1).isNotNull() & col(lat1).isNotNull() & col(lon2).isNotNull() & col(lat2).isNotNull(), run(*map(col, (lon1, lat1, lon2, lat2))))
@@ -100,13 +159,6 @@ def with_geometry(df: DataFrame, parts: str = "parts") -> DataFrame:
     return df.filter(F.col(parts).isNotNull() & F.exists(parts, lambda p: F.size(p) > 0))
 
 
-def require_crs(source: str | None, target: str = "EPSG:4326") -> str:
-    """GEO-3: a missing reference system is taken for the target; transforming between two is out of scope."""
-    if source and source.upper() != target.upper():
-        raise ValueError(f"cannot transform {source} to {target}")
-    return target
-
-
 def ring_edges(ring: Column) -> Column:
     """Consecutive vertex pairs of a ring, closed if it isn't."""
     closed = F.when(F.element_at(ring, 1) != F.element_at(ring, -1), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)

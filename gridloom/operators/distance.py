@@ -1,7 +1,7 @@
-"""Distance joins (JON-9..12, 14) by tiles: an equi-join on bins at least a radius wide, then one exact distance.
+"""Distance joins (JON-9..12, 14) by cubes of the unit sphere's space: an equi-join on cubes, then one exact distance.
 
-The side that is multiplied is the smaller one (9 tiles a point); a tile's cells meet its points in one task, and tiles that
-hold very many rows are split by Spark's skew handling, as the join is a plain equi-join.
+The side that is multiplied is the smaller one; a cube's cells meet its points in one task, and cubes that hold very many rows
+are split by Spark's skew handling, as the join is a plain equi-join.
 """
 
 from __future__ import annotations
@@ -9,36 +9,71 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import haversine_km
+from gridloom.functions.geo import chord, finite_points, haversine_km, unit_vector
 from gridloom.functions.numeric import dominant
 from gridloom.session import written
 
-KM_DEGREE = 111.1949
+#: Exponents of the cubes' sides in the search for the nearest target: 1/4 of the Earth's radius, then a quarter each time, down to 6 km.
+LEVELS = (3, 5, 7, 9, 11)
 
 
-def tiles(lon: Column, lat: Column, radius_km: float, most_lat: float) -> tuple[Column, Column]:
-    """Bins of latitude and longitude, each at least radius_km wide up to the latitude `most_lat`."""
-    step = radius_km / KM_DEGREE * 1.001
-    return F.floor(lat / step).cast("long"), F.floor(lon / (step / math.cos(math.radians(most_lat)))).cast("long")
+def _placed(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Rows that have a place, with it on the unit sphere."""
+    x, y, z = unit_vector(lon, lat)
+    return finite_points(df, lon, lat).withColumns({"__x": x, "__y": y, "__z": z})
 
 
-def radius_pairs(points: DataFrame, targets: DataFrame, radius_km: float, most_lat: float | None = None) -> DataFrame:
-    """All pairs within the radius with dist_km. points: p_lon, p_lat; targets: t_lon, t_lat. Bins are made wide enough for
-    the points' largest latitude (one scalar job, unless it is given). Longitudes are not wrapped."""
-    if most_lat is None:
-        most_lat = points.agg(F.max(F.abs("p_lat"))).first()[0] or 0.0
-    most_lat = min(89.9, most_lat + radius_km / KM_DEGREE)
-    pr, pc = tiles(F.col("p_lon"), F.col("p_lat"), radius_km, most_lat)
-    tr, tc = tiles(F.col("t_lon"), F.col("t_lat"), radius_km, most_lat)
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = points.withColumns({"__i": F.explode(around)}).withColumns({"__j": F.explode(around)})
-    left = left.withColumns({"__r": pr + F.col("__i"), "__c": pc + F.col("__j")}).drop("__i", "__j")
-    right = targets.withColumns({"__r": tr, "__c": tc})
-    both = left.join(right, ["__r", "__c"]).drop("__r", "__c").withColumn("dist_km", haversine_km("p_lon", "p_lat", "t_lon", "t_lat"))
-    return both.filter(F.col("dist_km") <= radius_km)
+def radius_pairs(points: DataFrame, targets: DataFrame, radius_km: float, measure=haversine_km) -> DataFrame:
+    """All pairs within the radius with dist_km, anywhere on the Earth. points: p_lon, p_lat; targets: t_lon, t_lat.
+
+    Places are put into cubes of the unit sphere's space, twice as wide as the radius' chord, so that nothing depends on
+    180 degrees or the poles; a point goes to the cubes that its ball touches, 3.4 of them on average. Rows without a place
+    have no pairs.
+    """
+    reach = chord(radius_km * (1.0 if measure is haversine_km else 1.01)) * (1 + 1e-9) + 1e-12
+    side = 2 * reach
+    cube = lambda c, by=0.0: F.floor((F.col(c) + by) / side)
+    left = _placed(points, "p_lon", "p_lat")
+    for c in ("__x", "__y", "__z"):
+        left = left.withColumn(f"{c}c", F.explode(F.sequence(cube(c, -reach), cube(c, reach))))
+    right = _placed(targets, "t_lon", "t_lat").withColumns({f"{c}c": cube(c) for c in ("__x", "__y", "__z")}).drop("__x", "__y", "__z")
+    both = left.drop("__x", "__y", "__z").join(right, ["__xc", "__yc", "__zc"]).drop("__xc", "__yc", "__zc")
+    return both.withColumn("dist_km", measure("p_lon", "p_lat", "t_lon", "t_lat")).filter(F.col("dist_km") <= radius_km)
+
+
+def nearest(points: DataFrame, targets: DataFrame, measure=haversine_km) -> DataFrame:
+    """The distance to each point's nearest target of each layer, however far: __k, __l, dist_km.
+
+    points: __k, p_lon, p_lat; targets: __l, t_lon, t_lat. The targets' cubes form a tree. From its top each point keeps, of the
+    cubes of a layer that hold a target, those that may be nearer than some target surely is (a cube's centre tells both
+    bounds), and goes on to their parts; only the last cubes' targets are measured. A layer has some 400 cubes at the top, a cube 64 parts
+    at most, and a point keeps the few around its nearest ones.
+    """
+    t = _placed(targets.select("__l", "t_lon", "t_lat").distinct(), "t_lon", "t_lat")
+    side = lambda k: 2.0 / (1 << k)
+    cube = lambda k: [F.floor((F.col(c) + 1) / side(k)).alias(f"{c}{k}") for c in ("__x", "__y", "__z")]
+    slack = 1e-9 if measure is haversine_km else 0.01  # of a distance, between the sphere's and the measure's
+    held = _placed(points.select("__k", "p_lon", "p_lat"), "p_lon", "p_lat")
+    # the top is one join on the layer; every point meets every layer there
+    there = targets.agg(F.collect_set("__l")).first()[0]
+    if not there:
+        return held.select("__k", F.lit(None).cast(targets.schema["__l"].dataType).alias("__l"), F.lit(None).cast("double").alias("dist_km")).limit(0)
+    held = held.withColumn("__l", F.explode(F.array(*(F.lit(x) for x in sorted(there)))))
+    above, keys = 0, []
+    for k in LEVELS:
+        parts = t.select("__l", *(cube(above) if above else []), *cube(k)).distinct()
+        held = held.join(parts if above else F.broadcast(parts), ["__l", *keys]).drop(*keys)
+        above, keys = k, [f"{c}{k}" for c in ("__x", "__y", "__z")]
+        way = F.sqrt(sum((F.pow(F.col(c) - ((F.col(c + str(k)) + 0.5) * side(k) - 1), 2) for c in ("__x", "__y", "__z")), F.lit(0.0)))
+        half = side(k) * math.sqrt(3) / 2 * (1 + 1e-9)
+        # chords grow with distances, so bounds on the one serve the other
+        best = F.min(F.least(way + half, F.lit(2.0))).over(Window.partitionBy("__k", "__l"))
+        held = held.withColumns({"__way": way, "__best": best}).filter((F.col("__way") - half) * (1 - slack) <= F.col("__best") * (1 + slack)).drop("__way", "__best")
+    last = t.select("__l", "t_lon", "t_lat", *cube(LEVELS[-1]))
+    return held.join(last, ["__l", *keys]).groupBy("__k", "__l").agg(F.min(measure("p_lon", "p_lat", "t_lon", "t_lat")).alias("dist_km"))
 
 
 def radius_kpis(points: DataFrame, cells: DataFrame, radii, key: str = "project_id", households: float = 5.0) -> DataFrame:
@@ -71,42 +106,26 @@ def pivot_radii(kpis: DataFrame, radii, key: str = "project_id") -> DataFrame:
     return kpis.groupBy(key).agg(*(F.max(F.when(F.col("radius_km") == float(r), F.col(m))).alias(f"{m}_{r:g}km") for r in radii for m in metrics))
 
 
-def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str = "site_id", layer: str = "layer", layers: list[str] = (), distance=haversine_km, far_km: float = 20_100.0) -> DataFrame:
+def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str = "site_id", layer: str = "layer", layers: list[str] = (), distance=haversine_km) -> DataFrame:
     """JON-10: per point and target layer the distance to the nearest target and the numbers within the radii.
 
-    Rings of growing radius are searched until every point has a nearest target of each layer that has targets at all; a
-    ring holds only the points that are still open, serves all layers in one pass, and is written before the next one.
-    Beyond 2,000 km the few points that are left are compared with all targets. Layers without targets give null and 0.
+    One join within the largest radius counts, and finds the nearest target of most points; the others, written once, search
+    the tree of cubes. Layers without targets, and points without a place, have null and 0; targets without a place count nowhere.
     """
     layers = list(layers) or [r[0] for r in targets.select(layer).distinct().orderBy(layer).collect()]
-    p = points.select(F.col(key).alias("__k"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
-    t = targets.select(F.col(layer).alias("__l"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+    p = points.select(F.col(key).alias("__k"), F.col("lon").cast("double").alias("p_lon"), F.col("lat").cast("double").alias("p_lat"))
+    t = targets.select(F.col(layer).alias("__l"), F.col("lon").cast("double").alias("t_lon"), F.col("lat").cast("double").alias("t_lat")).filter(F.col("__l").isin(layers))
     kms = [float(r) for r in radii]
-    near = radius_pairs(p, t, max(kms)) if distance is haversine_km else radius_pairs(p, t, max(kms) * 1.01).withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
-    counts = near.groupBy("__k").agg(*(F.count_if((F.col("__l") == la) & (F.col("dist_km") <= r)).alias(f"count_{la}_le{r:g}km") for la in layers for r in kms), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"dist_km_nearest_{la}") for la in layers))
+    near = radius_pairs(p, t, max(kms), distance)
+    names = {la: f"dist_km_nearest_{la}" for la in layers}
+    counts = near.groupBy("__k").agg(*(F.count_if((F.col("__l") == la) & (F.col("dist_km") <= r)).alias(f"count_{la}_le{r:g}km") for la in layers for r in kms), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(n) for la, n in names.items()))
     out = written(p.join(counts, "__k", "left"), "nearest")
-    there = {r[0] for r in t.select("__l").distinct().collect()}  # layers are few
-    names, reach = {la: f"dist_km_nearest_{la}" for la in layers if la in there}, max(kms) * 4
-    while names:
-        lacking = [F.col(n).isNull() for n in names.values()]
-        open_ = out.filter(reduce(lambda a, b: a | b, lacking)).select("__k", "p_lon", "p_lat")
-        if open_.isEmpty():
-            break
-        whole = reach > 2000  # bins of this width no longer cut anything off
-        if whole:
-            found = open_.join(t, F.lit(True)).withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
-        else:
-            found = radius_pairs(open_, t, reach * (1 if distance is haversine_km else 1.01))
-            if distance is not haversine_km:
-                found = found.withColumn("dist_km", distance("p_lon", "p_lat", "t_lon", "t_lat"))
-        best = found.filter(F.col("dist_km") <= (far_km if whole else reach)).groupBy("__k").agg(*(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"__d_{n}") for la, n in names.items()))
-        out = out.join(best, "__k", "left").withColumns({n: F.coalesce(n, f"__d_{n}") for n in names.values()}).drop(*(f"__d_{n}" for n in names.values()))
-        out = written(out, "nearest")
-        if whole:
-            break
-        reach *= 4
+    far = reduce(lambda a, b: a.unionByName(b), (out.filter(F.col(n).isNull()).select("__k", "p_lon", "p_lat") for n in names.values())).distinct()
+    if not far.isEmpty():
+        best = nearest(far, t, distance).groupBy("__k").agg(*(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"__d_{n}") for la, n in names.items()))
+        out = out.join(best, "__k", "left").withColumns({n: F.coalesce(n, f"__d_{n}") for n in names.values()})
     zero = {f"count_{la}_le{r:g}km": 0 for la in layers for r in kms}
-    cols = [F.col("__k").alias(key), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"), *(f"dist_km_nearest_{la}" for la in layers), *zero]
+    cols = [F.col("__k").alias(key), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"), *names.values(), *zero]
     return out.fillna(zero).select(*cols)
 
 

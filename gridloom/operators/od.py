@@ -37,15 +37,10 @@ def distances(zones: DataFrame, code: str = "code") -> DataFrame:
 
 
 def near_distances(zones: DataFrame, km: float, code: str = "code") -> DataFrame:
-    """JON-12 within a distance: the ordered pairs at most `km` apart, by tiles, across 180 degrees too. Longitudes are from
-    -180 to 180; zones without a place have no pairs."""
+    """JON-12 within a distance: the ordered pairs at most `km` apart, anywhere on the Earth; zones without a place have none."""
     a = zones.select(F.col(code).alias("oi"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), F.col("mass").alias("o_mass"))
-    b = zones.select(F.col(code).alias("dj"), F.col("lon").alias("d_lon"), F.col("lat").alias("t_lat"), F.col("mass").alias("d_mass"), F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("turn"))
-    both = radius_pairs(a, b.withColumn("t_lon", F.col("d_lon") + F.col("turn")), km * (1 + 1e-9))
-    # of a zone's three places one is within half a turn
-    both = both.filter((F.col("t_lon") - F.col("p_lon") > -180) & (F.col("t_lon") - F.col("p_lon") <= 180))
-    both = both.withColumnsRenamed({"p_lon": "o_lon", "p_lat": "o_lat", "t_lat": "d_lat"}).drop("t_lon", "turn")
-    return both.withColumn("dist_km", haversine_km("o_lon", "o_lat", "d_lon", "d_lat")).filter(F.col("dist_km") <= km)
+    b = zones.select(F.col(code).alias("dj"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"), F.col("mass").alias("d_mass"))
+    return radius_pairs(a, b, km).withColumnsRenamed({"p_lon": "o_lon", "p_lat": "o_lat", "t_lon": "d_lon", "t_lat": "d_lat"})
 
 
 def bilateral(pairs: DataFrame, weights: DataFrame | None) -> DataFrame:

@@ -218,22 +218,24 @@ def point_cells(spark, d):
     return geo.finite_points(p).select("site_id", r.alias("row"), c.alias("col"))
 
 
-#: The inverse geodesic by its published iteration, 60 turns for every pair (it settles within ten for these).
-_GEODESIC = f"""{ZONES}, c as (select 6378137.0::double as a, 1 / 298.257223563::double as f), start as (select o.code as oi, d.code as dj, radians(d.lon - o.lon) as l, atan((1 - f) * tan(radians(o.lat))) as u, atan((1 - f) * tan(radians(d.lat))) as v, a, f
-    from z o, z d, c where o.code < d.code and abs(d.lon - o.lon) < 150), turn(i, oi, dj, l, u, v, a, f, lam) as (select 0, oi, dj, l, u, v, a, f, l from start union all
-    select i + 1, oi, dj, l, u, v, a, f, l + (1 - cc) * f * sa * (sigma + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) from (select *, f / 16 * c2 * (4 + f * (4 - 3 * c2)) as cc from (
-    select *, case when c2 = 0 then 0 else cs - 2 * sin(u) * sin(v) / c2 end as cm from (select *, 1 - sa * sa as c2, atan2(ss, cs) as sigma from (select *, case when ss = 0 then 0 else cos(u) * cos(v) * sin(lam) / ss end as sa from (
-    select *, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) as ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs from turn where i < 60))))))"""
-
-
-@query(f"""with recursive {_GEODESIC}, last as (select *, case when c2 = 0 then 0 else cs - 2 * sin(u) * sin(v) / c2 end as cm, c2 * (a * a - pow(a * (1 - f), 2)) / pow(a * (1 - f), 2) as q from (select *, 1 - sa * sa as c2, atan2(ss, cs) as sigma from (
-    select *, case when ss = 0 then 0 else cos(u) * cos(v) * sin(lam) / ss end as sa from (select *, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) as ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs from turn where i = 60)))),
-    series as (select *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) as big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) as small from last)
-    select oi, dj, {_r('a * (1 - f) * big * (sigma - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000', 5)} as km from series""")
+def _inverse(pairs: str, turns: int) -> str:
+    """CTEs up to `geodesic` (oi, dj, km): the inverse geodesic by its published iteration. pairs: select of oi, dj, x1, y1, x2, y2."""
+    angles = """select *, case when c2 = 0 then 0 else cs - 2 * sin(u) * sin(v) / c2 end as cm from (select *, 1 - sa * sa as c2, atan2(ss, cs) as sigma from (select *, case when ss = 0 then 0 else cos(u) * cos(v) * sin(lam) / ss end as sa from (
+    select *, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) as ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs from turn where {})))"""
+    return f"""c as (select 6378137.0::double as a, 1 / 298.257223563::double as f), start as (select oi, dj, radians(((x2 - x1 + 540) % 360) - 180) as l, atan((1 - f) * tan(radians(y1))) as u, atan((1 - f) * tan(radians(y2))) as v, a, f
+    from ({pairs}), c), turn(i, oi, dj, l, u, v, a, f, lam) as (select 0, oi, dj, l, u, v, a, f, l from start union all
+    select i + 1, oi, dj, l, u, v, a, f, l + (1 - cc) * f * sa * (sigma + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) from (select *, f / 16 * c2 * (4 + f * (4 - 3 * c2)) as cc from ({angles.format(f'i < {turns}')}))),
+    last as (select *, c2 * (a * a - pow(a * (1 - f), 2)) / pow(a * (1 - f), 2) as q from ({angles.format(f'i = {turns}')})),
+    series as (select *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) as big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) as small from last), geodesic as (
+    select oi, dj, a * (1 - f) * big * (sigma - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000 as km from series)"""
+
+
+@query(f"""with recursive {ZONES}, {_inverse('select o.code as oi, d.code as dj, o.lon as x1, o.lat as y1, d.lon as x2, d.lat as y2 from z o, z d where o.code < d.code', 60)}
+    select oi, dj, {_r('km', 5)} as km from geodesic""")
 def geodesic_pairs(spark, d):
     z = zones(spark, d)
     a, b = z.select(F.col("code").alias("oi"), F.col("lon").alias("x1"), F.col("lat").alias("y1")), z.select(F.col("code").alias("dj"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    pairs = a.join(b, (F.col("oi") < F.col("dj")) & (F.abs(F.col("x2") - F.col("x1")) < 150))
+    pairs = a.join(b, F.col("oi") < F.col("dj"))
     return rounded(pairs.select("oi", "dj", geo.geodesic_km("x1", "y1", "x2", "y2").alias("km")), 5)
 
 
@@ -396,12 +398,13 @@ def metadata_by_position(spark, d):
     return distance.by_position(s, table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "k").select("s_suppkey", "n_name")
 
 
-@query(f"""with {SITES}, e as (select site_id, layer, {_hav('p.lon', 'p.lat', 'q.lon', 'q.lat')} as d from p, q)
-    select site_id, {_r("min(d) filter (layer = 'gov')", 1)} as dist_km_nearest_gov, count(*) filter (layer = 'gov' and d <= 1) as count_gov_le1km, {_r(_hav('13.2344::double', '-8.8383::double', 'any_value(lon)', 'any_value(lat)'))} as capital_km from e join p using (site_id) group by 1""")
+@query(f"""with recursive {SITES}, {_inverse("select site_id as oi, row_number() over () as dj, p.lon as x1, p.lat as y1, q.lon as x2, q.lat as y2 from p, q where layer = 'gov'", 12)}
+    select oi as site_id, {_r("min(km)", 1)} as dist_km_nearest_gov, count(*) filter (km <= 1) as count_gov_le1km, {_r(_hav('13.2344::double', '-8.8383::double', 'any_value(lon)', 'any_value(lat)'))} as capital_km from geodesic join p on p.site_id = oi group by 1""")
 def synergy_table(spark, d):
-    """Q13 with SRC-10."""
+    """Q13 by the geodesic, with SRC-10."""
     s = steps.synergies(sites(spark, d), targets(spark, d), ["gov"], P.with_(radii_km=(1.0,)))
-    s = report.to_reference_point(s, 13.2344, -8.8383, "capital_km")
+    capital = readers.inline_points(spark, [{"name": "capital", "lon": 13.2344, "lat": -8.8383}]).first()
+    s = report.to_reference_point(s, capital.lon, capital.lat, "capital_km")
     return s.select("site_id", "dist_km_nearest_gov", "count_gov_le1km", np_round("capital_km", 6).alias("capital_km"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import haversine_km, representative_points, row_col
+from gridloom.functions.geo import geodesic_km, haversine_km, row_col
 from gridloom.functions.numeric import flag, np_round, safe_div
 from gridloom.operators import cluster, cost, distance, focal, grid, od, raster, scenario, score, select, tabular, zonal
 from gridloom.operators.grid import GridSpec
@@ -131,18 +131,13 @@ def catchments(sites: DataFrame, cells: DataFrame, roads: DataFrame, spec: GridS
     return surface, cost.catchment_kpis(surface, cells, p.iso_thresholds)
 
 
-def synergies(points: DataFrame, projects: DataFrame, layers: list[str], p: Params = Params(), key: str = "site_id", measure=haversine_km) -> DataFrame:
-    """Q13: nearest projects and counts within radii; distances with one decimal."""
+def synergies(points: DataFrame, projects: DataFrame, layers: list[str], p: Params = Params(), key: str = "site_id", measure=geodesic_km) -> DataFrame:
+    """Q13: nearest projects and counts within radii, by the geodesic; distances with one decimal."""
     radii = sanitize_radii(p.radii_km)
     out = distance.nearest_and_counts(points, projects, radii, key, layers=layers, distance=measure)
     return out.withColumns({f"dist_km_nearest_{la}": np_round(f"dist_km_nearest_{la}", 1) for la in layers})
 
 
-def project_points(features: DataFrame) -> DataFrame:
-    """Points of projects of any geometry."""
-    return representative_points(features).select(F.col("feature_id").cast("string").alias("project_id"), "layer", "lon", "lat")
-
-
 def od_model(zones: DataFrame, p: Params = Params(), code: str = "code") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Q14: (flows, zone attributes, agents)."""
     massed = od.with_mass(zones, p) if "mass" not in zones.columns else zones
