@@ -1,8 +1,9 @@
 """Operator 7: license scan, DataFrame functions only.
 
 Two scans of whole texts. Phrases: places where the words of a known phrase stand one after another. Templates: text blocks
-(lines, and runs of words across line ends, so that wrapped notices are met: up to the template's words / threshold, repeats
-counted, from each of its words on) that contain at least `threshold` of a license notice's distinct words, as an exact set-similarity join. The words of
+(runs of words, inside a line or across line ends: up to the template's words / threshold, repeats counted, from each of its
+words on) that contain at least `threshold` of a license notice's distinct words, as an exact set-similarity join. A block is
+never longer than that, so common words that lie scattered over a long line make no notice. The words of
 the templates are counted over the whole corpus and ordered from the rarest; of a template of t words that needs a shared ones,
 the first t - a + 1 are its prefix, and so for a block. A run is formed only where a of the template's words stand within
 it, repeats counted. A block is compared with a template only if their prefixes share a
@@ -67,7 +68,7 @@ def run_lengths(templates: dict[str, str], threshold: float = THRESHOLD) -> dict
 
 def word_counts(df: DataFrame, words: list[str], text_col: str = "text") -> dict[str, int]:
     """How often each of a bounded list of words stands in all texts; the driver gets one row per word."""
-    tokens = df.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), WORD_LOWER.replace("[^", "["))).alias("w"))
+    tokens = df.select(F.explode(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), WORD_LOWER.replace("[^", "["))).alias("w"))
     return {r["w"]: r["n"] for r in tokens.filter(F.col("w").isin(words)).groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
@@ -87,11 +88,12 @@ def _containment(template: list[int], prefix: list[int], need: int):
 
 
 def _best_run(template: list[int], prefix: list[int], need: int, length: int):
-    """A function of a text's words (place, rank): the largest containment of the template in `length` words on end, else 0.
+    """A function of a text's words (at, rank): (share, -place of the first word) of the best block of `length` words, the first of equals.
 
     A best run can be moved to start at one of the template's words; one is formed if the need-th such word lies within it.
     """
     share = _containment(template, prefix, need)
+    none = F.struct(F.lit(0.0).alias("share"), F.lit(0).alias("back"))
 
     def of(words: Column) -> Column:
         own = F.filter(words, lambda w: F.array_contains(F.lit(template), w["rank"]))
@@ -101,9 +103,11 @@ def _best_run(template: list[int], prefix: list[int], need: int, length: int):
 
             def run(j: Column) -> Column:
                 near = F.filter(F.slice(hits, j + 1, F.lit(length)), lambda w: w["at"] < F.get(hits, j)["at"] + length)
-                return F.array_sort(F.array_distinct(F.transform(near, lambda w: w["rank"])))
+                ranks = F.array_sort(F.array_distinct(F.transform(near, lambda w: w["rank"])))
+                return F.struct(ranks.alias("ranks"), (-F.get(hits, j)["at"]).alias("back"))
 
-            return F.when(F.size(hits) >= need, F.coalesce(F.array_max(F.transform(F.transform(starts, run), share)), F.lit(0.0))).otherwise(0.0)
+            found = F.transform(F.transform(starts, run), lambda b: F.struct(share(b["ranks"]).alias("share"), b["back"].alias("back")))
+            return F.when(F.size(hits) >= need, F.coalesce(F.array_max(found), none)).otherwise(none)
 
         # a one-element array binds the words to a variable, so that they are filtered once
         return F.get(F.transform(F.array(own), best), F.lit(0))
@@ -112,9 +116,10 @@ def _best_run(template: list[int], prefix: list[int], need: int, length: int):
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    The score is 1 where a phrase stands, else the largest containment of a template that meets the threshold, else 0.
+    The score is 1 where a phrase stands, else the largest containment of a template that meets the threshold, else 0. blocks:
+    of each template found, the best block's share, first word and length.
     """
     sets = template_words(templates)
     vocabulary = sorted(set().union(*sets.values()))
@@ -127,7 +132,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
     rare = sorted({order[i - 1] for p in prefix.values() for i in p})
     words_of_phrases = sorted({p.split()[0] for p in phrases})
 
-    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     # Lower-casing beyond A-Z changes no boundary of words and only adds to what these gates let through.
     tokens = F.split(F.lower("text"), WORD_LOWER.replace("[^", "["))
     base = base.withColumn("tokens", tokens).select(
@@ -150,27 +155,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
     marks = F.array(*(F.when(F.col("text").rlike(_phrase_pattern(ps)), F.lit(label)) for label, ps in sorted(by_label.items())))
     base = base.withColumn("base", F.when(found, F.array_compact(marks)).otherwise(F.array().cast("array<string>")))
 
-    # blocks: for each line with a prefix word, the ranks of its template words in rising order
-    line_pattern = f"(?i)(?<!{_IN})(?:{'|'.join(rare)})(?!{_IN})"
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(line_pattern))
-
-    def ranks(line: Column) -> Column:
-        own = F.array_distinct(F.regexp_extract_all(F.translate(line, UPPER, LOWER), F.lit(WORD_LOWER), F.lit(0)))
-        return F.array_sort(F.filter(F.transform(own, lambda w: F.array_position(F.lit(order), w).cast("int")), lambda r: r > 0))
-
-    base = base.withColumn("blocks", F.when(F.col("may_block"), F.transform(lines, ranks)).otherwise(F.array().cast("array<array<int>>")))
-    # runs across line ends: places and ranks of all template words, of texts of several lines
+    # places and ranks of all template words, of texts that hold a prefix word
     every_word = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD_LOWER), F.lit(0))
     placed = F.filter(F.transform(every_word, lambda w, i: F.struct(i.alias("at"), F.array_position(F.lit(order), w).cast("int").alias("rank"))), lambda w: w["rank"] > 0)
-    base = base.withColumn("words", F.when(F.col("may_block") & F.contains("text", F.lit("\n")), placed))
+    base = base.withColumn("words", F.when(F.col("may_block"), placed))
     length = run_lengths(templates, threshold)
-    held = {}
-    for name, r in ranked.items():
-        best_of = _containment(r, prefix[name], need[name])
-        lined = F.when(F.size("blocks") > 0, F.array_max(F.transform("blocks", best_of))).otherwise(0.0)
-        held[name] = F.greatest(lined, F.coalesce(_best_run(r, prefix[name], need[name], length[name])(F.col("words")), F.lit(0.0)))
-    base = base.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", *(c.alias(f"t_{k}") for k, c in held.items()))
+    held = {k: _best_run(r, prefix[k], need[k], length[k])(F.col("words")) for k, r in ranked.items()}
+    base = base.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", *(F.coalesce(c["share"], F.lit(0.0)).alias(f"t_{k}") for k, c in held.items()), *(c["back"].alias(f"b_{k}") for k, c in held.items()))
     own = F.array_compact(F.array(*(F.when(F.col(f"`t_{k}`") > 0, F.lit(k)) for k in held)))
+    block = lambda k: F.struct(F.lit(k).alias("label"), F.col(f"`t_{k}`").alias("share"), (-F.col(f"`b_{k}`")).cast("long").alias("first_word"), F.lit(length[k]).cast("long").alias("n_words"))
+    blocks = F.array_compact(F.array(*(F.when(F.col(f"`t_{k}`") > 0, block(k)) for k in held)))
     best = F.greatest(*(F.col(f"`t_{k}`") for k in held))
     return base.select(
         "doc_id",
@@ -181,4 +175,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("base", own))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(best).cast("double").alias("score"),
+        blocks.alias("blocks"),
     )

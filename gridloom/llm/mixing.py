@@ -44,11 +44,12 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, cap: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take so that their total is as near to budget as the programme finds.
+    """How many documents of each length to take so that their total is as near to budget as the programme finds, on either side.
 
     Proportional parts first; while more than `cap` words are left, one more of each length in the order of the fractions that
     were cut off (all lengths' parts stay proportional to within one document); then an exact bounded-knapsack programme
-    (bitsets over totals up to the rest) over the counts that are still free.
+    (bitsets over totals up to twice the rest, beyond which taking nothing more is nearer) over the counts that are still free.
+    Of two totals that are equally near the smaller one is taken.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -57,7 +58,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, cap: int
     if budget >= total:
         return counts.copy()
     taken = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
-    left = int(round(budget)) - int((taken * lengths).sum())
+    left = budget - int((taken * lengths).sum())
     fraction = counts * (budget / total) - taken
     for i in np.lexsort((lengths, -fraction)):
         if left <= cap:
@@ -67,20 +68,26 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float, cap: int
             left -= int(lengths[i])
     if left <= 0:
         return taken
+    most = int(2 * left)
     # items: (index, number) with numbers in powers of two, so that every count up to the free one can be formed
     items: list[tuple[int, int]] = []
-    for i in np.flatnonzero((lengths > 0) & (lengths <= left) & (counts > taken)):
-        free, part = int(min(counts[i] - taken[i], left // lengths[i])), 1
+    for i in np.flatnonzero((lengths > 0) & (lengths <= most) & (counts > taken)):
+        free, part = int(min(counts[i] - taken[i], most // lengths[i])), 1
         while free > 0:
             items.append((int(i), min(part, free)))
             free, part = free - min(part, free), part * 2
-    mask, reach, history = (1 << (left + 1)) - 1, 1, []
+    mask, reach, history = (1 << (most + 1)) - 1, 1, []
     for i, number in items:
         history.append(reach)
         reach |= (reach << (int(lengths[i]) * number)) & mask
-        if reach >> left & 1:
+        if reach >> round(left) & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (int(left) + 1)) - 1)).bit_length() - 1
+    above = reach >> (below + 1)  # the totals beyond
+    at = below
+    if above:
+        next_ = below + (above & -above).bit_length()
+        at = next_ if next_ - left < left - below else below
     for (i, number), before in zip(reversed(items[: len(history)]), reversed(history), strict=True):
         if not before >> at & 1:
             taken[i] += number

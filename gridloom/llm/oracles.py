@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
-from gridloom.llm.sharding import MULTIPLIER
+from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, run_lengths, template_words
+from gridloom.llm.sharding import BLOCK_MULTIPLIER, MULTIPLIER
 
 OP8 = """
 with v as (
@@ -71,11 +71,12 @@ def _phrase_rows() -> str:
 
 
 def _template_rows() -> str:
-    return ", ".join(f"('{k}', {ws})" for k, ws in template_words(TEMPLATES).items())
+    length = run_lengths(TEMPLATES)
+    return ", ".join(f"('{k}', {ws}, {length[k]})" for k, ws in template_words(TEMPLATES).items())
 
 
 OP7 = f"""
-with phrase(phrase, label) as (values {_phrase_rows()}), template(name, t) as (values {_template_rows()}), doc as (
+with phrase(phrase, label) as (values {_phrase_rows()}), template(name, t, n) as (values {_template_rows()}), doc as (
     select doc_id, {_words("text")} as w, coalesce(text, '') as text from documents
 ), place as (
     select doc_id, i - 1 as pos, label
@@ -83,11 +84,10 @@ with phrase(phrase, label) as (values {_phrase_rows()}), template(name, t) as (v
     where array_to_string(list_slice(w, i, i + k - 1), ' ') = phrase
 ), base as (
     select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as marks from place group by doc_id
-), line as (
-    select doc_id, {_words("line")} as w from (select doc_id, unnest(string_split(text, chr(10))) as line from doc)
 ), own as (
     select doc_id, name, max(share) as share
-    from (select doc_id, name, len(list_intersect(list_distinct(w), t))::double / len(t) as share from line, template)
+    from (select doc_id, name, len(list_intersect(list_distinct(list_slice(w, i, i + n - 1)), t))::double / len(t) as share
+        from (select doc_id, w, name, t, n, unnest(range(1, len(w) + 1)) as i from doc, template) where list_contains(t, w[i]))
     where share >= {THRESHOLD} group by doc_id, name
 ), more as (select doc_id, list(name) as names, max(share) as best from own group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
@@ -119,7 +119,7 @@ with recursive crc_table as ({_CRC}), d as (
     select doc_id, max(b) filter (n = 8) as shard, max(b) filter (n = 9) as grown_shard from jump where j >= n group by doc_id
 )
 select c.doc_id, c.size, c.text_crc32, 'key' as law, shard::int as shard,
-    row_number() over (partition by shard order by c.doc_id % 256, c.doc_id) - 1 as slot, grown_shard::int as grown_shard
+    row_number() over (partition by shard order by (((c.doc_id::hugeint * {BLOCK_MULTIPLIER}::hugeint) % 18446744073709551616::hugeint + 18446744073709551616::hugeint) % 18446744073709551616::hugeint) >> 56, c.doc_id) - 1 as slot, grown_shard::int as grown_shard
 from c join place using (doc_id)
 """
 

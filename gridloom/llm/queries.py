@@ -46,7 +46,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 
 from gridloom.session import written
 
-#: The multiplier of the published generator, in 16-bit limbs from the lowest.
+#: The multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
-_LIMBS = [(MULTIPLIER >> (16 * i)) & 0xFFFF for i in range(4)]
+#: Another one, of which the highest bits deal keys into blocks: whatever the keys' steps, they fall into all blocks.
+BLOCK_MULTIPLIER = 11400714819323198485
 
 
-def _next_key(key: Column) -> Column:
-    """key * MULTIPLIER + 1 modulo 2**64: products of limbs, as a long multiplication would overflow under ANSI rules."""
+def _times(key: Column, multiplier: int, plus: int) -> Column:
+    """key * multiplier + plus modulo 2**64: products of 16-bit limbs, as a long multiplication would overflow under ANSI rules."""
     k = [F.shiftrightunsigned(key, 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    limbs, carry = [], F.lit(1)
+    m = [(multiplier >> (16 * i)) & 0xFFFF for i in range(4)]
+    limbs, carry = [], F.lit(plus)
     for i in range(4):
         total = carry
         for j in range(i + 1):
-            total = total + k[j] * F.lit(_LIMBS[i - j])
+            total = total + k[j] * F.lit(m[i - j])
         limbs.append(F.shiftleft(total.bitwiseAND(0xFFFF), 16 * i))
         carry = F.shiftright(total, 16)
     out = limbs[0]
@@ -46,7 +48,7 @@ def jump_hash(key: Column, buckets: int, steps: int = 128) -> Column:
         raise ValueError("buckets must be positive")
 
     def jump(state: Column, _: Column) -> Column:
-        key = _next_key(state["key"])
+        key = _times(state["key"], MULTIPLIER, 1)
         there = ((state["at"] + 1) * (F.lit(2147483648.0) / (F.shiftrightunsigned(key, 33) + 1).cast("double"))).cast("long")
         moved = F.struct(state["at"].alias("from"), there.alias("at"), key.alias("key"))
         return F.when(state["at"] < buckets, moved).otherwise(state)
@@ -56,16 +58,16 @@ def jump_hash(key: Column, buckets: int, steps: int = 128) -> Column:
     return F.aggregate(turns, start, jump, lambda s: F.when(s["at"] < buckets, s["at"]).otherwise(s["from"])).cast("int")
 
 
-def assign_shards(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", blocks: int = 256) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", block_bits: int = 8) -> DataFrame:
     """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard.
 
-    The text is read once and never shuffled. `blocks` splits the numbering of each shard; the offsets are at most
+    The text is read once and never shuffled. Each shard is numbered in 2**block_bits blocks of keys; the offsets are at most
     shards * blocks rows, which bounds what is broadcast.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = df.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    base = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
     stable = F.coalesce("doc_id", "text_crc32")
-    placed = written(base.select("*", jump_hash(stable, shards).alias("shard"), jump_hash(stable, shards + 1).alias("grown_shard"), F.pmod(stable, F.lit(blocks)).cast("int").alias("block")), "shards")
+    placed = written(base.select("*", jump_hash(stable, shards).alias("shard"), jump_hash(stable, shards + 1).alias("grown_shard"), F.shiftrightunsigned(_times(stable.cast("long"), BLOCK_MULTIPLIER, 0), 64 - block_bits).cast("int").alias("block")), "shards")
     counted = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     offsets = counted.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
@@ -74,5 +76,5 @@ def assign_shards(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, key: str = "doc_id", text: str = "text") -> None:
     """Write whole rows into path/shard=N/; each shard is written by as many tasks as its rows came from."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df.withColumn("shard", jump_hash(F.coalesce(F.col(key).cast("long"), F.crc32(body)), shards)).write.partitionBy("shard").parquet(path)
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    df.withColumn("shard", jump_hash(F.coalesce(F.col(f"`{key}`").cast("long"), F.crc32(body)), shards)).write.partitionBy("shard").parquet(path)

@@ -135,13 +135,19 @@ def test_fit_against_brute_force(seed):
     lengths, counts = np.unique(rng.integers(1, 40, 6)), None
     counts = rng.integers(1, 4, len(lengths))
     budget = int(rng.integers(1, (lengths * counts).sum()))
-    reach = {0}
-    for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+    part = np.floor(counts * (budget / (lengths * counts).sum())).astype(int)
+    reach = {int((part * lengths).sum())}
+    for n, c in zip(lengths.tolist(), (counts - part).tolist(), strict=True):
         reach = {x + k * n for x in reach for k in range(c + 1)}
     got = mixing.fit_counts(lengths, counts, budget)
-    assert (got >= 0).all() and (got <= counts).all()
+    assert (got >= part).all() and (got <= counts).all()
     total = int((got * lengths).sum())
-    assert total <= budget and total in reach and budget - total <= lengths.min() + 3
+    assert total in reach and abs(total - budget) == min(abs(x - budget) for x in reach)
+
+
+@pytest.mark.parametrize("lengths, counts, budget, total", [([10], [1], 9.0, 10), ([10], [1], 5.0, 0), ([200_000, 300_000], [1, 1], 190_000, 200_000), ([200_000], [1], 90_000, 0), ([10], [500], 785.7, 790), ([200], [1], 114.3, 200), ([3, 5], [0, 2], 6.2, 5)])
+def test_targets_from_either_side(lengths, counts, budget, total):
+    assert int((mixing.fit_counts(np.array(lengths), np.array(counts), budget) * np.array(lengths)).sum()) == total
 
 
 def test_mix(spark):

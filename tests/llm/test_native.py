@@ -131,13 +131,12 @@ def wrapped(text, width):
 
 
 def brute_licenses(text):
-    """(labels without phrases, score) by all lines and all runs of words."""
+    """(labels without phrases, score) by all runs of words."""
     sets, own = licenses.template_words(licenses.TEMPLATES), {}
     w = re.findall(kernel.WORD_LOWER, text.translate(str.maketrans(kernel.UPPER, kernel.LOWER)))
-    lines = [re.findall(kernel.WORD_LOWER, x.translate(str.maketrans(kernel.UPPER, kernel.LOWER))) for x in text.split("\n")]
     for name, t in sets.items():
         n = licenses.run_lengths(licenses.TEMPLATES)[name]
-        share = max(len(set(t) & set(b)) / len(t) for b in lines + [w[i : i + n] for i in range(max(1, len(w)))])
+        share = max(len(set(t) & set(b)) / len(t) for b in (w[i : i + n] for i in range(max(1, len(w)))))
         own |= {name: share} if share >= licenses.THRESHOLD else {}
     return ",".join(sorted(own)), max(own.values(), default=0.0)
 
@@ -169,3 +168,24 @@ def test_wrapped_notices_by_brute_force(spark):
     got = licenses.scan(docs(spark, texts), phrases={"no such phrase": "none"}).orderBy("doc_id").collect()
     want = [brute_licenses(t) for t in texts]
     assert [(r.labels, r.score) for r in got] == [(a, pytest.approx(b)) for a, b in want] and 20 < sum(b == 0 for _, b in want) < 130
+
+
+def test_scattered_words_are_no_notice(spark):
+    common = ["this", "is", "free", "and", "software", "into", "the", "public", "released"]
+    long_line = " ".join(w + " filler" * 400 for w in common)
+    inside = "x " * 3000 + licenses.TEMPLATES["mpl"].lower() + " y" * 3000
+    t = [long_line, long_line.replace(" filler", "\nfiller"), inside, inside.replace("source", "source one two three four five six seven")]
+    got = licenses.scan(docs(spark, t), phrases={"no such phrase": "none"}).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [(a, pytest.approx(b)) for a, b in map(brute_licenses, t)]
+    assert [r.labels for r in got][:3] == ["", "", "mpl"]
+    assert [(b.label, b.first_word, b.share) for b in got[2].blocks] == [("mpl", 3000, 1.0)] and not got[0].blocks
+
+
+def test_stepped_ids_use_all_blocks(spark):
+    df = spark.range(2000).selectExpr("id * 256 as doc_id", "'a' as text")
+    block = F.shiftrightunsigned(sharding._times(F.col("doc_id"), sharding.BLOCK_MULTIPLIER, 0), 56)
+    assert df.select(block).distinct().count() == 256
+    got = sharding.assign_shards(df).collect()
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
