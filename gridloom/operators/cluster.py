@@ -1,4 +1,4 @@
-"""Connected cells (CLU) by contraction of the neighbour graph, and what is done with the groups."""
+"""Connected cells (CLU): groups of each tile by itself, border equivalences contracted once, and what is done with the groups."""
 
 from __future__ import annotations
 
@@ -6,88 +6,111 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.session import written
+from gridloom.session import sized, written
 
 _HALF = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
+_ROW = 1 << 32
+
+
+def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n things' groups, given pairs that belong together: the roots of all pairs are hooked
+    to the smaller one and paths are halved, all at once, until no pair differs."""
+    parent = np.arange(n)
+    while len(a):
+        pa, pb = parent[a], parent[b]
+        differ = pa != pb
+        a, b, pa, pb = a[differ], b[differ], pa[differ], pb[differ]
+        np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return parent
+
+
+def _tile_groups(row: np.ndarray, col: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct cells in scan order, and for each the place of the first cell of its group."""
+    width = int(col.max() - col.min()) + 3
+    code = np.unique((row - row.min()) * width + (col - col.min()) + 1)
+    a, b = [], []
+    for i, j in _HALF[connectivity]:
+        there = code + i * width + j
+        at = np.minimum(np.searchsorted(code, there), len(code) - 1)
+        met = np.flatnonzero(code[at] == there)
+        a.append(met)
+        b.append(at[met])
+    return code // width + row.min(), code % width - 1 + col.min(), unite(len(code), np.concatenate(a), np.concatenate(b))
+
+
+def _contract(edges: DataFrame, keys: list[str], local_edges: int, most_rounds: int = 60) -> DataFrame:
+    """(keys, root, least): of all nodes that have an edge (root, other) the smallest node of their group.
+
+    Up to local_edges edges one task per key unites them. More are contracted in rounds: each node points to the least of
+    itself and its neighbours by a hash that is another one each round, edges are redrawn between those, and about half of a
+    group's nodes go in a round, whatever its shape.
+    """
+    if edges.limit(local_edges + 1).count() <= local_edges:
+        schema = T.StructType([*(edges.schema[k] for k in keys), T.StructField("root", T.LongType()), T.StructField("least", T.LongType())])
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            names, at = np.unique(pdf[["root", "other"]].to_numpy().ravel(), return_inverse=True)
+            at = at.reshape(-1, 2)
+            found = pd.DataFrame({"root": names, "least": names[unite(len(names), at[:, 0], at[:, 1])]})
+            return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "root", "least"]]
+
+        return written(edges.groupBy(*(keys or [F.lit(1).alias("all")])).applyInPandas(lambda pdf: run(pdf), schema), "united")
+    node = lambda c: F.struct(*keys, F.col(c).alias("root"))
+    left = written(edges.select(node("root").alias("a"), node("other").alias("b")), "edges")
+    labels = left.select(F.col("a").alias("node")).unionAll(left.select("b")).distinct().withColumn("to", F.col("node"))
+    for done in range(most_rounds):
+        ranked = lambda c, done=done: F.struct(F.xxhash64(c, F.lit(done)).alias("h"), F.col(c).alias("node"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = written(both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("from"), F.least(ranked("a"), "m")["node"].alias("next")), "pointers")
+        labels = written(labels.join(step.withColumnRenamed("from", "to"), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "labels")
+        pa, pb = step.select(F.col("from").alias("a"), F.col("next").alias("ta")), step.select(F.col("from").alias("b"), F.col("next").alias("tb"))
+        left = written(left.join(pa, "a").join(pb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct(), "edges")
+        if left.isEmpty():
+            least = labels.groupBy("to").agg(F.min("node.root").alias("least"))
+            return written(labels.join(least, "to").select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.root").alias("root"), "least"), "united")
+    raise RuntimeError("connected_components: contraction did not end")
+
+
+def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",), tile: int = 512, local_edges: int = 2_000_000, local_groups: int = 200_000) -> DataFrame:
+    """CLU-1: selected cells (keys, row, col) with cluster_id 1..K per key in the order of their first cells by scan.
 
-
-def neighbour_edges(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
-    """Pairs (a, b) of neighbouring selected cells, each once; node: struct of the keys, row and col."""
+    Every tile joins its own cells, vectorised; groups that touch across tile borders are equivalent, and these equivalences,
+    far fewer than cells, are contracted once. The number of rounds doesn't depend on the groups' shape or length.
+    """
     if connectivity not in _HALF:
         raise ValueError("connectivity is 4 or 8")
     keys = [k for k in keys if k in selected.columns]
-    node = lambda r, c: F.struct(*(F.col(k) for k in keys), r.alias("row"), c.alias("col"))
-    r, c = F.col("row"), F.col("col")
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _HALF[connectivity])))
-    there = selected.select(node(r, c).alias("a"), *keys, "row", "col", steps.alias("o")).select("a", node(F.col("row") + F.col("o.i"), F.col("col") + F.col("o.j")).alias("b"))
-    return there.join(selected.select(node(r, c).alias("b")), "b").select("a", "b")
+    cells = selected.select(*keys, "row", "col").withColumns({"__r": F.floor(F.col("row") / tile), "__c": F.floor(F.col("col") / tile)})
+    schema = T.StructType([*(selected.schema[k] for k in keys), *(T.StructField(c, T.IntegerType()) for c in ("row", "col")), T.StructField("root", T.LongType())])
 
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col, first = _tile_groups(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), connectivity)
+        out = pd.DataFrame({"row": row.astype(np.int32), "col": col.astype(np.int32), "root": row[first] * _ROW + col[first]})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "row", "col", "root"]]
 
-def connected_components(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",), most_rounds: int = 60, local_cells: int = 200_000) -> DataFrame:
-    """CLU-1: selected cells (keys, row, col) with cluster_id 1..K per key in the order of their first cells by scan.
-
-    Up to local_cells selected cells are joined in one task per key. Beyond that, each round every cell points to the least of itself and its neighbours by a hash that is another one each round, and the edges are redrawn
-    between those; so about half of the cells of an edge go in a round, whatever the shape. When no edge is left, all cells of
-    a group point to the same one; edges left after most_rounds raise. Each round is written to the shared folder, so the
-    lineage stays short.
-    """
-    keys = tuple(k for k in keys if k in selected.columns)
-    node = F.struct(*(F.col(k) for k in keys), F.col("row"), F.col("col"))
-    cells = written(selected.select(*keys, "row", "col").distinct().withColumn("node", node), "selected")
-    if cells.limit(local_cells + 1).count() <= local_cells:
-        return connected_components_local(cells.drop("node"), connectivity, keys)
-    edges = written(neighbour_edges(cells.drop("node"), connectivity, keys), "edges")
-    labels = cells.select("node", F.col("node").alias("root"))
-    done = 0
-    while not edges.isEmpty():
-        if done == most_rounds:
-            raise RuntimeError("connected_components: contraction did not end")
-        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(done)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("from"), F.least(ranked("a"), "m")["node"].alias("to")), "pointers")
-        labels = labels.join(to.select(F.col("from").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = written(labels, "labels")
-        pa, pb = to.select(F.col("from").alias("a"), F.col("to").alias("ta")), to.select(F.col("from").alias("b"), F.col("to").alias("tb"))
-        edges = written(edges.join(pa, "a").join(pb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct(), "edges")
-        done += 1
-    firsts = labels.groupBy("root").agg(F.min("node").alias("first"))
-    order = Window.partitionBy(*(f"first.{k}" for k in keys)).orderBy("first.row", "first.col") if keys else Window.orderBy("first.row", "first.col")
-    numbered = firsts.select("root", F.row_number().over(order).alias("cluster_id"))
-    return labels.join(numbered, "root").select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.row").alias("row"), F.col("node.col").alias("col"), "cluster_id")
-
-
-def connected_components_local(selected: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
-    """The same by union-find in one task per key: for small grids, or many of them."""
-    use = [k for k in keys if k in selected.columns]
-    cells = selected.select(*use, "row", "col")
-    steps = _HALF[connectivity]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["row", "col"]).sort_values(["row", "col"], ignore_index=True)
-        at = {rc: i for i, rc in enumerate(zip(pdf["row"], pdf["col"], strict=True))}
-        parent = np.arange(len(pdf))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (r, c), i in at.items():
-            for dr, dc in steps:
-                j = at.get((r + dr, c + dc))
-                if j is not None:
-                    a, b = find(i), find(j)
-                    parent[max(a, b)] = min(a, b)
-        roots = [find(i) for i in range(len(pdf))]
-        number = {r: k + 1 for k, r in enumerate(sorted(set(roots)))}
-        return pdf.assign(cluster_id=[number[r] for r in roots]).astype({"cluster_id": "int32"})
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    schema = StructType([*cells.schema.fields, StructField("cluster_id", IntegerType())])
-    return cells.groupBy(*(use or [F.lit(1)])).applyInPandas(lambda pdf: run(pdf), schema)
+    labels = written(cells.groupBy(*keys, "__r", "__c").applyInPandas(lambda pdf: local(pdf), schema), "labels")
+    inside = lambda c: F.pmod(F.col(c), F.lit(tile)).between(1, tile - 2)
+    border = labels.filter(~(inside("row") & inside("col")))
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _HALF[connectivity])))
+    there = border.select(*keys, "row", "col", "root", steps.alias("o")).select(*keys, "root", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
+    edges = there.join(border.withColumnRenamed("root", "other"), [*keys, "row", "col"]).filter("root <> other").select(*keys, "root", "other")
+    if not edges.isEmpty():
+        united = _contract(written(edges.distinct(), "edges"), keys, local_edges)
+        labels = labels.join(sized(united), [*keys, "root"], "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+    firsts = labels.select(*keys, "root").distinct()
+    if labels.limit(local_groups + 1).count() <= local_groups:
+        numbered = firsts.withColumn("cluster_id", F.row_number().over(Window.partitionBy(*keys).orderBy("root")))
+    else:  # ranges of groups are counted, and numbered on from the sum of those before
+        ranged = written(firsts.repartitionByRange(*keys, "root").withColumn("__p", F.spark_partition_id()), "ranges")
+        per = ranged.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+        per = per.select(*keys, "__p", (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__p")) - F.col("__n")).alias("__before"))
+        numbered = ranged.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy("root"))).join(per, [*keys, "__p"])
+        numbered = numbered.select(*keys, "root", (F.col("__before") + F.col("__k")).cast("int").alias("cluster_id"))
+    return labels.join(numbered, [*keys, "root"]).select(*keys, "row", "col", "cluster_id")
 
 
 def prune(labelled: DataFrame, min_cells: int = 1, min_km2: float = 0.0, area: str | None = "area_km2", keys: tuple[str, ...] = ("aoi",)) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.ordered import scalar_quantiles
+
 
 def any_of(column: str, values: list, ignore_case: bool = False) -> Column:
     """FLT-1: equality with one of some values; no values let everything through."""
@@ -40,11 +40,6 @@ def off_diagonal(flows: DataFrame, a: str = "oi", b: str = "dj") -> DataFrame:
     return flows.filter(F.col(a) != F.col(b))
 
 
-def slice_of(df: DataFrame, column: str, value) -> DataFrame:
-    """FLT-8: one value's rows, such as one threshold's."""
-    return df.filter(F.col(column) == value)
-
-
 def sort_nulls_last(df: DataFrame, *keys: tuple[str, bool]) -> DataFrame:
     """SET-4: keys as (column, descending), nulls last in either direction."""
     return df.orderBy(*(F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys))
@@ -66,9 +61,6 @@ def lock_order(df: DataFrame, first: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
-    """AGG-16: one row of exact quantiles, linear between neighbours: p25, p75, ..."""
-    return df.agg(*(F.percentile(column, p).alias(f"p{p * 100:g}") for p in points))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    """AGG-16: one row of exact quantiles, linear between neighbours: p25, p75, ...; null without any value."""
+    found = scalar_quantiles(df, {f"p{p * 100:g}": (column, p) for p in points})
+    return df.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(k) for k, v in found.items()))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import warnings
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_km
 from gridloom.functions.numeric import cutoff, equity_mass, impedance
 from gridloom.operators.distance import radius_pairs
+from gridloom.operators.ordered import scalar_quantiles
 from gridloom.operators.raster import polygon_cells
-from gridloom.operators.zonal import weighted_mean, weighted_median
+from gridloom.operators.zonal import weighted_mean
 from gridloom.params import Params
-from gridloom.session import written
+from gridloom.session import sized, written
 
 
 def zone_population(cells: DataFrame, zones: DataFrame, spec, value: str = "pop") -> DataFrame:
@@ -53,8 +57,8 @@ def bilateral(pairs: DataFrame, weights: DataFrame | None) -> DataFrame:
 def gravity(zones: DataFrame, p: Params = Params(), code: str = "code", weights: DataFrame | None = None, min_pop: float | None = None, beyond_cutoff: bool = True) -> DataFrame:
     """GRV-2, GRV-7: flows oi, dj, flow, dist_km that sum to the trips; an error if nothing can flow.
 
-    Pairs beyond the cutoff carry nothing; without `beyond_cutoff` they are never formed, which takes a tile join instead of
-    all pairs and leaves the other rows as they are.
+    All pairs have a row, as in the published tables; those beyond the cutoff carry nothing. Without `beyond_cutoff` they are
+    never formed: a join by cubes gives the others, and their rows are the same.
     """
     if min_pop is not None:
         zones = zones.filter(F.col("pop") >= min_pop)
@@ -63,7 +67,7 @@ def gravity(zones: DataFrame, p: Params = Params(), code: str = "code", weights:
     f = impedance("dist_km", p.od_impedance, p.od_lambda, p.od_beta)
     raw = F.pow(F.greatest("o_mass", F.lit(0.0)), F.lit(p.od_alpha)) * F.pow(F.greatest("d_mass", F.lit(0.0)), F.lit(p.od_gamma)) * f * F.col("w")
     raw = F.greatest(F.lit(0.0), cutoff(raw, "dist_km", p.od_cutoff_km))
-    flows = d.withColumn("raw", raw)
+    flows = written(d.select("oi", "dj", "dist_km", raw.alias("raw")), "flows")
     total = flows.agg(F.sum("raw")).first()[0]
     if not total or total <= 0:
         raise ValueError("the flows sum to nothing")
@@ -78,57 +82,59 @@ def ipf_step(flows: DataFrame, targets: DataFrame, side: str) -> DataFrame:
     return flows.join(factor, side, "left").withColumn("flow", F.col("flow") * F.coalesce("__f", F.lit(1.0))).drop("__f")
 
 
-def balance(matrix: np.ndarray, targets: np.ndarray, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:
-    """Rows, then columns, scaled to the targets until both margins are met; sums of 0 are left alone."""
-    for _ in range(rounds):
-        for axis in (1, 0):
-            sums = matrix.sum(axis=axis)
-            matrix = matrix * np.expand_dims(np.where(sums > 0, targets / np.where(sums > 0, sums, 1), 1.0), axis)
-        gap = max(np.abs(matrix.sum(axis=axis) - targets).max(initial=0.0) for axis in (1, 0))
-        if gap < tolerance:
-            return matrix
-    warnings.warn(f"ipf: margins are off by up to {gap:.4g} after {rounds} rounds", stacklevel=2)
-    return matrix
-
-
-def ipf(flows: DataFrame, zones: DataFrame, p: Params = Params(), code: str = "code", rounds: int = 200, tolerance: float = 1e-6, write_every: int = 4, local_zones: int = 1000) -> DataFrame:
+def ipf(flows: DataFrame, zones: DataFrame, p: Params = Params(), code: str = "code", rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """GRV-3: rows and columns in turn until both margins are met; targets are the zones' shares of mass times the trips.
 
-    Up to local_zones zones (a matrix of 8 MB) one task balances the matrix; more are balanced by joins, with the same result.
-    Warns if the margins are not met within the rounds.
+    Balancing multiplies each flow by a factor of its origin and one of its destination, so only these two vectors, a number
+    a zone, are iterated: a round reads the flows once where they lie, with the destinations' factors at hand, and adds up columns over
+    partial sums; the flows are scaled once, at the end. No task holds more than an origin's flows. Sums of 0 are left alone. Warns if the margins are not met within the rounds.
     """
     total = zones.agg(F.sum("mass")).first()[0]
-    targets = written(zones.select(F.col(code).alias("node"), (F.col("mass") / F.lit(float(total)) * p.od_trips).alias("target")), "targets")
-    if targets.limit(local_zones + 1).count() <= local_zones:
-        goal = flows.join(F.broadcast(targets.withColumnsRenamed({"node": "oi", "target": "t"})), "oi")
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            wide = pdf.pivot(index="oi", columns="dj", values="flow").fillna(0.0)
-            t = pdf.drop_duplicates("oi").set_index("oi")["t"]
-            wide = wide.reindex(index=t.index.sort_values(), columns=t.index.sort_values(), fill_value=0.0)
-            out = balance(wide.to_numpy(), t.sort_index().to_numpy(), rounds, tolerance)
-            rows, cols = wide.index.get_indexer(pdf["oi"]), wide.columns.get_indexer(pdf["dj"])
-            return pdf[["oi", "dj"]].assign(flow=out[rows, cols], dist_km=pdf["dist_km"])
-
-        kinds = {f.name: f.dataType.simpleString() for f in flows.schema.fields}
-        return goal.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: run(pdf), f"oi {kinds['oi']}, dj {kinds['dj']}, flow double, dist_km double")
-    for k in range(rounds):
-        flows = ipf_step(ipf_step(flows, targets, "oi"), targets, "dj")
-        if k % write_every == write_every - 1 or k == rounds - 1:
-            flows = written(flows, "ipf")
-            gaps = [flows.groupBy(s).agg(F.sum("flow").alias("s")).join(targets.withColumnRenamed("node", s), s).agg(F.max(F.abs(F.col("s") - F.col("target")))).first()[0] or 0.0 for s in ("oi", "dj")]
-            if max(gaps) < tolerance:
-                break
+    goal = zones.select(F.col(code).alias("node"), (F.col("mass") / F.lit(float(total)) * p.od_trips).alias("target")).orderBy("node").toArrow()  # a row a zone
+    nodes, target = goal["node"].to_pylist(), goal["target"].to_numpy().astype(float)
+    places = flows.sparkSession.createDataFrame(pa.table({"node": goal["node"], "at": pa.array(np.arange(len(nodes), dtype=np.int32))}))
+    numbered = flows.join(sized(places.select(F.col("node").alias("oi"), F.col("at").alias("i"))), "oi").join(sized(places.select(F.col("node").alias("dj"), F.col("at").alias("j"))), "dj")
+    lines = written(numbered.groupBy("i").agg(F.collect_list(F.struct("j", "flow")).alias("to")), "lines")
+    a, b, gap = np.ones(len(nodes)), np.ones(len(nodes)), np.inf
+    for _ in range(rounds + 1):
+
+        def sums(batches: Iterator[pa.RecordBatch], a: np.ndarray = a, b: np.ndarray = b) -> Iterator[pa.RecordBatch]:
+            """Of each origin its new factor and how far the old one misses (j = -1 - i); of each destination the new column sum."""
+            columns = np.zeros(len(b))
+            for batch in batches:
+                of, to = batch.column(0).to_numpy(), batch.column(1)
+                j, flow = (to.flatten().field(k).to_numpy() for k in (0, 1))
+                row = np.repeat(np.arange(len(of)), to.value_lengths().to_numpy())
+                reached = np.bincount(row, flow * b[j], len(of))
+                factor = np.where(reached > 0, target[of] / np.where(reached > 0, reached, 1), a[of])
+                columns += np.bincount(j, flow * factor[row], len(b))
+                yield pa.record_batch([pa.array(-1 - of.astype(np.int64)), pa.array(factor), pa.array(np.abs(a[of] * reached - target[of]))], names=["j", "x", "gap"])
+            some = np.flatnonzero(columns)
+            yield pa.record_batch([pa.array(some), pa.array(columns[some]), pa.array(np.zeros(len(some)))], names=["j", "x", "gap"])
+
+        found = lines.mapInArrow(sums, "j long, x double, gap double").groupBy("j").agg(F.sum("x").alias("x"), F.max("gap").alias("gap")).toArrow()  # two rows a zone
+        at, x = found["j"].to_numpy(), found["x"].to_numpy()
+        # columns were met by the last factors, so the rows' misses are all that is left
+        gap = float(found["gap"].to_numpy().max(initial=0.0))
+        if gap < tolerance:
+            break
+        a, b = a.copy(), b.copy()
+        a[-1 - at[at < 0]] = x[at < 0]
+        met = at[at >= 0]
+        b[met] = np.where(x[at >= 0] > 0, target[met] / x[at >= 0], b[met])
     else:
-        warnings.warn(f"ipf: margins are off by up to {max(gaps):.4g} after {rounds} rounds", stacklevel=2)
-    return flows.select("oi", "dj", "flow", "dist_km")
+        warnings.warn(f"ipf: margins are off by up to {gap:.4g} after {rounds} rounds", stacklevel=2)
+    factors = flows.sparkSession.createDataFrame(pa.table({"node": goal["node"], "a": pa.array(a), "b": pa.array(b)}))
+    out = flows.join(sized(factors.select(F.col("node").alias("oi"), "a")), "oi").join(sized(factors.select(F.col("node").alias("dj"), "b")), "dj")
+    return out.select("oi", "dj", (F.col("flow") * F.col("a") * F.col("b")).alias("flow"), "dist_km")
 
 
-def agents_exact(flows: DataFrame, zones: DataFrame, p: Params = Params(), code: str = "code", most: int | None = None) -> DataFrame:
+def agents_exact(flows: DataFrame, zones: DataFrame, p: Params = Params(), code: str = "code", most: int | None = None, most_zones: int = 2000) -> DataFrame:
     """GRV-4: draws of pairs by their flows from numpy's default generator, in row-major order of the codes; at most one per
-    pair of zones unless `most` says otherwise. One task: the matrix is a table of zones squared."""
+    pair of zones unless `most` says otherwise. For at most most_zones zones, as one task holds the matrix; agents_drawn has no such bound."""
+    if zones.limit(most_zones + 1).count() > most_zones:
+        raise ValueError(f"more than {most_zones} zones: use agents_drawn")
     kind = zones.schema[code].dataType.simpleString()
-    coords = zones.select(F.col(code).alias("code"), "lon", "lat")
     n_agents, seed = p.od_agents, p.od_seed
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,23 +151,65 @@ def agents_exact(flows: DataFrame, zones: DataFrame, p: Params = Params(), code:
         return pd.DataFrame({"agent": np.arange(len(draws)), "oi": i, "dj": j, "o_code": [codes[k] for k in i], "d_code": [codes[k] for k in j]})
 
     drawn = flows.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: run(pdf), f"agent long, oi int, dj int, o_code {kind}, d_code {kind}")
-    o = coords.select(F.col("code").alias("o_code"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
-    d = coords.select(F.col("code").alias("d_code"), F.col("lon").alias("d_lon"), F.col("lat").alias("d_lat"))
-    return drawn.join(o, "o_code").join(d, "d_code").select("agent", "oi", "dj", "o_code", "d_code", "o_lon", "o_lat", "d_lon", "d_lat")
+    return _with_places(drawn, zones, code).select("agent", "oi", "dj", "o_code", "d_code", "o_lon", "o_lat", "d_lon", "d_lat")
+
+
+def _with_places(drawn: DataFrame, zones: DataFrame, code: str) -> DataFrame:
+    for side in "od":
+        drawn = drawn.join(zones.select(F.col(code).alias(f"{side}_code"), F.col("lon").alias(f"{side}_lon"), F.col("lat").alias(f"{side}_lat")), f"{side}_code")
+    return drawn
 
 
-def agents_scaled(flows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """GRV-4 for any number of zones: each pair gets its expected number of agents, the fraction by a hashed draw."""
-    share = F.col("flow") / F.sum("flow").over(Window.partitionBy()) * n
-    draw = F.pmod(F.xxhash64("oi", "dj", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    counts = flows.withColumn("agents", (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("long"))
-    return counts.filter("agents > 0").select("oi", "dj", "agents")
+#: Whole units that the largest flow is cut into, and agents of an origin that are placed together.
+_UNITS, _TOGETHER = 1 << 40, 1 << 16
+
+
+def agents_drawn(flows: DataFrame, zones: DataFrame, n: int, seed: int = 42, code: str = "code") -> DataFrame:
+    """GRV-4 for any number of zones and agents: exactly n draws of pairs, with replacement, by their flows.
+
+    Flows are cut into whole units, so that sums don't depend on their order. Agent k draws a unit by a hash of the seed and k:
+    the same agents under any partitioning. The unit falls to an origin by the running sums over origins (a number a
+    zone), and inside it to a destination by those over the origin's flows; an origin's agents are placed in blocks.
+    """
+    largest = flows.agg(F.max("flow")).first()[0]
+    if not largest or largest <= 0:
+        raise ValueError("the flows sum to nothing")
+    scale = _UNITS / 2.0 ** math.ceil(math.log2(largest))
+    units = written(flows.select("oi", "dj", F.round(F.col("flow") * scale).cast("long").alias("units")).filter("units > 0"), "units")
+    origins = units.groupBy("oi").agg(F.sum("units").alias("u")).orderBy("oi").toArrow()  # a row a zone
+    ends = np.cumsum(origins["u"].to_numpy())
+    names, total = origins["oi"], int(ends[-1])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, low = (batch.column(k).to_numpy().view(np.uint64) for k in (1, 2))
+            # a unit from 0 to total - 1: the hashes' 128 bits times total, the whole part
+            unit = np.array([(((int(h) << 64) | int(w)) * total) >> 128 for h, w in zip(high, low, strict=True)], np.int64)
+            at = np.searchsorted(ends, unit, "right")
+            yield pa.record_batch([batch.column(0), names.combine_chunks().take(pa.array(at)), pa.array(unit - np.concatenate(([0], ends))[at]), pa.array(batch.column(0).to_numpy() // _TOGETHER)], names=["agent", "oi", "unit", "block"])
+
+    kind = {f.name: f.dataType.simpleString() for f in flows.schema.fields}
+    agents = flows.sparkSession.range(n).select(F.col("id").alias("agent"), F.xxhash64(F.lit(seed), "id").alias("h"), F.xxhash64("id", F.lit(seed), F.lit(1)).alias("w"))
+    placed = agents.mapInArrow(draw, f"agent long, oi {kind['oi']}, unit long, block long").groupBy("oi", "block").agg(F.collect_list(F.struct("agent", "unit")).alias("agents"))
+    lists = units.groupBy("oi").agg(F.sort_array(F.collect_list(F.struct("dj", "units"))).alias("to"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                who, to = (batch.column(c).slice(k, 1).flatten() for c in (1, 2))
+                at = np.searchsorted(np.cumsum(to.field(1).to_numpy()), who.field(1).to_numpy(), "right")
+                yield pa.record_batch([who.field(0), batch.column(0).take(pa.array(np.full(len(at), k))), to.field(0).take(pa.array(at))], names=["agent", "o_code", "d_code"])
+
+    drawn = placed.join(lists, "oi").select("oi", "agents", "to").mapInArrow(choose, f"agent long, o_code {kind['oi']}, d_code {kind['dj']}")
+    return _with_places(drawn, zones, code).select("agent", "o_code", "d_code", "o_lon", "o_lat", "d_lon", "d_lat")
 
 
 def diagnostics(flows: DataFrame, cutoff_km: float = 1500.0) -> DataFrame:
     """GRV-5: flow-weighted mean and median distance off the diagonal, and the share of flow within the cutoff."""
     off = flows.filter(F.col("oi") != F.col("dj"))
-    return off.agg(weighted_mean("dist_km", "flow").alias("mean_km"), weighted_median("dist_km", "flow").alias("median_km"), (F.sum(F.when(F.col("dist_km") <= cutoff_km, F.col("flow")).otherwise(0.0)) / F.sum("flow")).alias("share_within"))
+    median = scalar_quantiles(off, {"m": ("dist_km", 0.5)}, "flow")["m"]
+    within = F.sum(F.when(F.col("dist_km") <= cutoff_km, F.col("flow")).otherwise(0.0)) / F.sum("flow")
+    return off.agg(weighted_mean("dist_km", "flow").alias("mean_km"), F.lit(median).cast("double").alias("median_km"), within.alias("share_within"))
 
 
 def zone_attributes(zones: DataFrame, code: str = "code") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import ring_edges, with_geometry
 from gridloom.operators.grid import GridSpec
+from gridloom.session import sized
 
 
 def pick_field(df: DataFrame, candidates: list[str], required: bool = False) -> str | None:
@@ -112,7 +113,7 @@ def coverage_fraction(features: DataFrame, spec: GridSpec, k: int = 10) -> DataF
 def indicator_layers(cells: DataFrame, indicators: DataFrame, names: list[str], zone: str = "zone_id") -> DataFrame:
     """RST-7: zone indicators as layers: one row per zone joins the cells."""
     values = indicators.select(zone, *(F.when(~F.isnan(F.col(f"`{n}`").cast("double")), F.col(f"`{n}`")).alias(n) for n in names))
-    return cells.join(F.broadcast(values), zone, "left")
+    return cells.join(sized(values), zone, "left")
 
 
 def class_max(features: DataFrame, spec: GridSpec, speeds: dict[str, float], classes: tuple[str, ...] = (), all_touched: bool = True) -> DataFrame:

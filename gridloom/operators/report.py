@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_km
 from gridloom.functions.numeric import format_site, np_round, poverty_rate, quadrant, safe_div
-from gridloom.operators.select import percentile_of, quantile_band, rank_by, top_n
+from gridloom.operators.ordered import scalar_quantiles
+from gridloom.operators.select import quantile_band, rank_by, top_n
 from gridloom.operators.tabular import one_to_one, with_names
 from gridloom.operators.zonal import collapse_pairs, throughput
+from gridloom.session import sized
 
 QUADRANTS = ("High score & high poverty", "High score & lower poverty", "Lower score & high poverty", "Lower score & lower poverty")
 
@@ -45,7 +47,9 @@ def table_s2(rank: DataFrame, indicators: DataFrame, n: int = 5, code: str = "AD
 
 def quadrant_stats(rows: DataFrame, score: str = "score", poverty: str = "poverty_rural", rural_pop: str = "rural_pop_est") -> DataFrame:
     """PRJ-29, AGG-25: zones, rural poor and their share by quadrant against the medians, in a fixed order."""
-    medians = rows.filter(F.col(score).isNotNull() & F.col(poverty).isNotNull()).agg(F.median(score), F.median(poverty), F.max(poverty)).first()
+    both = rows.filter(F.col(score).isNotNull() & F.col(poverty).isNotNull())
+    found = scalar_quantiles(both, {"score": (score, 0.5), "poverty": (poverty, 0.5), "most": (poverty, 1.0)})
+    medians = found["score"], found["poverty"], found["most"]
     if medians[0] is None:
         return rows.limit(0).select(F.lit("").alias("quadrant"), F.lit(0).cast("long").alias("zones"), F.lit(0.0).alias("rural_poor"), F.lit(0.0).alias("share_pct"))
     labelled = rows.withColumn("quadrant", quadrant(score, poverty, F.lit(float(medians[0])), F.lit(float(medians[1]))))
@@ -83,7 +87,7 @@ def table_s5(flows: DataFrame, names: DataFrame | None = None, flags: DataFrame
     if flags is not None:
         f = flags.select(F.col("code"), F.col("in_priority_mask").alias("__p"))
         for side in ("oi", "dj"):
-            out = out.join(F.broadcast(f.withColumnsRenamed({"code": side, "__p": f"__{side}"})), side, "left")
+            out = out.join(sized(f.withColumnsRenamed({"code": side, "__p": f"__{side}"})), side, "left")
         out = out.withColumn("both_priority", F.coalesce(F.col("__oi") & F.col("__dj"), F.lit(False))).drop("__oi", "__dj")
     return top_n(out, n, F.desc("flow"), "oi", "dj")
 
@@ -123,7 +127,3 @@ def to_reference_point(rows: DataFrame, lon: float, lat: float, out: str) -> Dat
 def movement_view(flows: DataFrame, attributes: DataFrame, code: str = "code") -> DataFrame:
     """JON-16, AGG-21: node totals with the zones' attributes."""
     return attributes.join(throughput(flows).withColumnRenamed("node", code), code, "left").fillna(0.0, ["out_flow", "in_flow", "throughput"])
-
-
-def score_median(rows: DataFrame, score: str = "score") -> float | None:
-    return percentile_of(rows, score, 0.5)

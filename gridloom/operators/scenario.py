@@ -4,41 +4,54 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import np_round
 from gridloom.operators.cluster import remove_small
 from gridloom.operators.focal import focal_mean
 from gridloom.operators.score import components, eligible, scalars
-from gridloom.operators.select import select_top
+from gridloom.operators.select import top_area, top_percent
 from gridloom.operators.zonal import overlap
 from gridloom.params import COMPONENTS, SCENARIOS, Params, Scenario
 from gridloom.session import written
 
 
-def scenario_score(cells: DataFrame, p: Params, s: dict, overlays: bool = False) -> DataFrame:
+def scenario_score(cells: DataFrame, p: Params, s: dict, overlays: bool = False) -> Column:
     """PRJ-17: core components only (unless overlays), weights divided by their sum plus 1e-9."""
     parts = components(cells, p, s)
     on = [k for k, use in zip(COMPONENTS, p.use_components, strict=True) if use and k in parts] + ([k for k in ("pov", "food", "mtt", "rwi") if k in parts] if overlays else [])
     total = sum(p.weights[k] for k in on) + 1e-9
-    score = sum((F.lit(p.weights[k] / total) * parts[k] for k in on), F.lit(0.0))
-    return focal_mean(cells.withColumn("score", eligible(score, p, s)), "score", p.smooth_radius)
+    return eligible(sum((F.lit(p.weights[k] / total) * parts[k] for k in on), F.lit(0.0)), p, s)
 
 
 def scenario_masks(cells: DataFrame, base: Params = Params(), scenarios: tuple[Scenario, ...] = SCENARIOS) -> DataFrame:
-    """One row per scenario and cell: scenario_id, row, col, selected (no data counts as 0). Cells are read once."""
+    """One row per scenario and cell: scenario_id, row, col, selected (no data counts as 0).
+
+    One plan for all scenarios: a cell's scores are an array of one projection, the scenario is part of the grid's key from
+    then on, so smoothing, selection and the removal of small groups run once each (smoothing once for each radius).
+    """
     cells = written(cells, "cells")
     s = scalars(cells)
-    out = []
-    for sc in scenarios:
-        p = sc.params(base)
-        chosen = select_top(scenario_score(cells, p, s), "score", p.top_pct_cells, p.top_km2, null_is_zero=True)
-        out.append(chosen.withColumn("scenario_id", F.lit(sc.scenario_id)))
-    masks = written(reduce(DataFrame.unionByName, out), "chosen")
-    # one pass over all scenarios' groups: the scenario is part of the grid's key
-    least = F.create_map(*(F.lit(x) for sc in scenarios for x in (sc.scenario_id, sc.params(base).min_cluster_cells)))
-    return remove_small(masks, "selected", least[F.col("scenario_id")], base.prune_connectivity, ("scenario_id", "aoi"))
+    params = {sc.scenario_id: sc.params(base) for sc in scenarios}
+    keys = ("scenario_id", "aoi")
+
+    def of(figure) -> Column:
+        return F.create_map(*(F.lit(x) for k, p in params.items() for x in (k, figure(p))))[F.col("scenario_id")]
+
+    smoothed = []
+    for radius in sorted({p.smooth_radius for p in params.values()}):
+        each = F.array(*(F.struct(F.lit(k).alias("scenario_id"), scenario_score(cells, p, s).cast("double").alias("score")) for k, p in params.items() if p.smooth_radius == radius))
+        smoothed.append(focal_mean(cells.withColumn("__each", F.explode(each)).select("*", "__each.*").drop("__each"), "score", radius, keys=keys))
+    scored = written(reduce(DataFrame.unionByName, smoothed), "scored")
+    by_area = [k for k, p in params.items() if p.top_km2 is not None]
+    parts = []
+    if len(by_area) < len(params):
+        parts.append(top_percent(scored.filter(~F.col("scenario_id").isin(by_area)), "score", of(lambda p: float(p.top_pct_cells)), null_is_zero=True, keys=keys))
+    if by_area:
+        parts.append(top_area(scored.filter(F.col("scenario_id").isin(by_area)), "score", of(lambda p: float(p.top_km2 or 0)), null_is_zero=True, keys=keys))
+    masks = reduce(DataFrame.unionByName, parts)  # a projection of what is written
+    return remove_small(masks, "selected", of(lambda p: int(p.min_cluster_cells)), base.prune_connectivity, keys)
 
 
 def scenario_metrics(masks: DataFrame, baseline: str | DataFrame = "baseline") -> DataFrame:

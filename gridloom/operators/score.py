@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import clamp, minmax_scale, normalize_linear
 from gridloom.operators.focal import focal_mean
-from gridloom.operators.select import select_top, top_percent
+from gridloom.operators.ordered import scalar_quantiles
+from gridloom.operators.select import percentile_of, select_top, top_percent
 from gridloom.params import COMPONENTS, Params
+from gridloom.session import written
 
 #: Weights of the first version's blend.
 V1_WEIGHTS = {"access": 0.35, "pop": 0.25, "veg": 0.20, "ntl": 0.10, "drought": 0.10}
@@ -22,23 +24,29 @@ LAYERS = {"access": "travel_min", "pop": "pop", "veg": "veg", "ntl": "ntl", "dro
 
 
 def scalars(cells: DataFrame) -> dict[str, float | None]:
-    """All thresholds of the area by one pass, and how many values each layer has (n_<layer>; 0 where it is absent)."""
+    """All thresholds of the area in the same passes, and how many values each layer has (n_<layer>; 0 where it is absent)."""
     has = set(cells.columns)
     want = {f"n_{c}": F.count(c) if c in has else F.lit(0) for c in LAYERS.values()}
+    places: dict[str, tuple[str, float]] = {}
     if "pop" in has:
-        want |= {"pop_p95": F.percentile(F.when(F.col("pop") >= 0, F.col("pop")), 0.95), "pop_max": F.max("pop"), "pop_p95_all": F.percentile("pop", 0.95)}
+        want |= {"pop_max": F.max("pop")}
+        places |= {"pop_p95": ("__pop", 0.95), "pop_p95_all": ("pop", 0.95)}
     if "drought" in has:
-        want |= {"drought_median": F.median("drought")}
+        places |= {"drought_median": ("drought", 0.5)}
     if "mtt" in has:
-        want |= {"mtt_median": F.median("mtt"), "mtt_lo": F.min("mtt"), "mtt_hi": F.max("mtt")}
+        want |= {"mtt_lo": F.min("mtt"), "mtt_hi": F.max("mtt")}
+        places |= {"mtt_median": ("mtt", 0.5)}
     if "rwi" in has:
-        want |= {"rwi_p5": F.percentile("rwi", 0.05), "rwi_p95": F.percentile("rwi", 0.95), "rwi_p1": F.percentile("rwi", 0.01), "rwi_p99": F.percentile("rwi", 0.99)}
-    return cells.agg(*(c.cast("double").alias(k) for k, c in want.items())).first().asDict()
+        places |= {"rwi_p5": ("rwi", 0.05), "rwi_p95": ("rwi", 0.95), "rwi_p1": ("rwi", 0.01), "rwi_p99": ("rwi", 0.99)}
+    out = cells.agg(*(c.cast("double").alias(k) for k, c in want.items())).first().asDict()
+    if places:
+        out |= scalar_quantiles(cells.withColumn("__pop", F.when(F.col("pop") >= 0, F.col("pop"))) if "pop" in has else cells, places)
+    return out
 
 
 def percentile_cap(cells: DataFrame, value: str, p: float, out: str) -> tuple[DataFrame, float]:
     """PRJ-4: values capped at their percentile, and the percentile; without any value: zeros and 0."""
-    cut = cells.agg(F.percentile(value, p)).first()[0]
+    cut = percentile_of(cells, value, p)
     return (cells.withColumn(out, clamp(value, None, float(cut))), float(cut)) if cut is not None else (cells.withColumn(out, F.lit(0.0)), 0.0)
 
 
@@ -129,6 +137,6 @@ def priority_mask(cells: DataFrame, p: Params = Params()) -> DataFrame:
     """Q07 up to the mask: score, top cells, without small groups."""
     from gridloom.operators.cluster import remove_small
 
-    scored = priority_score(cells, p)
+    scored = written(priority_score(cells, p), "scored")
     chosen = select_top(scored, "score", p.top_pct_cells, p.top_km2)
     return remove_small(chosen, "selected", p.min_cluster_cells, p.prune_connectivity)

@@ -6,49 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import quintile, safe_div
-from gridloom.session import written
+from gridloom.operators.ordered import MOST, locate, quantiles, scalar_quantiles
+from gridloom.session import settled
 
 
 def percentile_of(df: DataFrame, value: str, p: float) -> float | None:
     """AGG-15: exact percentile (linear between neighbours) of the values there are; a scalar on the driver."""
-    return df.agg(F.percentile(value, p)).first()[0]
+    return scalar_quantiles(df, {"p": (value, p)})["p"]
 
 
-def top_percent(cells: DataFrame, value: str, percent: float, out: str = "selected", null_is_zero: bool = False, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
-    """WIN-1: 1 where the value reaches the (100 - percent)th percentile, ties included; null stays, or is 0 (WIN-3)."""
+def _masked(cells: DataFrame, value: str, reached: Column, out: str, null_is_zero: bool) -> DataFrame:
+    mask = F.when(F.col(value).isNotNull(), F.coalesce(reached, F.lit(False)).cast("int"))
+    return cells.withColumn(out, F.coalesce(mask, F.lit(0)) if null_is_zero else mask)
+
+
+def top_percent(cells: DataFrame, value: str, percent: float | Column, out: str = "selected", null_is_zero: bool = False, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
+    """WIN-1: 1 where the value reaches the (100 - percent)th percentile, ties included; null stays, or is 0 (WIN-3).
+
+    percent may be a column over the keys. cells are read again for the percentile: write a costly plan first.
+    """
     keys = [k for k in keys if k in cells.columns]
-    cut = F.percentile(value, 1 - percent / 100)
+    wanted = {"__cut": (value, 1 - percent / 100)}
     if keys:
-        cuts = cells.groupBy(*keys).agg(cut.alias("__cut"))
-        joined = cells.join(F.broadcast(cuts), keys, "left")  # one row per area
+        joined = cells.join(settled(quantiles(cells, wanted, keys), "cuts"), keys, "left")  # one row per area
     else:
-        joined = cells.withColumn("__cut", F.lit(cells.agg(cut).first()[0]))
-    mask = (F.col(value) >= F.col("__cut")).cast("int")
-    return joined.withColumn(out, F.coalesce(mask, F.lit(0)) if null_is_zero else mask).drop("__cut")
+        joined = cells.withColumn("__cut", F.lit(scalar_quantiles(cells, wanted)["__cut"]).cast("double"))
+    return _masked(joined, value, F.col(value) >= F.col("__cut"), out, null_is_zero).drop("__cut")
 
 
-def top_area(cells: DataFrame, value: str, target_km2: float, out: str = "selected", null_is_zero: bool = False, keys: tuple[str, ...] = ("aoi",), slices: int = 64) -> DataFrame:
+def top_area(cells: DataFrame, value: str, target_km2: float | Column, out: str = "selected", null_is_zero: bool = False, keys: tuple[str, ...] = ("aoi",), most: int = MOST) -> DataFrame:
     """WIN-2: best cells first until their area reaches the target; the cell that crosses it is in, and one cell at least.
 
-    Cells are cut into slices of about equal numbers (approximate quantiles of the area, a sketch of bounded size; where
-    they lie does not change the result); areas of the slices are summed and only the running sum within a slice is
-    ordered, so no task orders all cells. Equal values go by (row, col).
+    Cells stand in the order of (value falling, row, col), so the selection is all up to one cell. That cell is found by areas
+    summed over slices of this order, first of the values, among equal ones of the rows and then of the columns; no task
+    orders more than `most` cells, ties or not. The target may be a column over the keys.
     """
     keys = [k for k in keys if k in cells.columns]
-    points = F.array(*(F.lit(k / slices) for k in range(1, slices)))
-    bounds = cells.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(100 * slices)).alias("__cuts"))
-    joined = cells.join(F.broadcast(bounds), keys) if keys else cells.crossJoin(F.broadcast(bounds))  # one row per area
-    above = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c > F.col(value)))
-    sliced = joined.withColumn("__slice", F.when(F.col(value).isNotNull(), above))
-    sums = sliced.filter("__slice is not null").groupBy(*keys, "__slice").agg(F.sum("area_km2").alias("__a"))
-    over = Window.partitionBy(*keys).orderBy("__slice")
-    sums = sums.select(*keys, "__slice", (F.sum("__a").over(over) - F.col("__a")).alias("__before"))
-    inside = Window.partitionBy(*keys, "__slice").orderBy(F.desc(value), "row", "col").rowsBetween(Window.unboundedPreceding, 0)
-    out_rows = sliced.join(F.broadcast(sums), [*keys, "__slice"], "left")
-    earlier = F.col("__before") + F.sum("area_km2").over(inside) - F.col("area_km2")
-    first = (F.col("__before") == 0) & (F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(F.desc(value), "row", "col")) == 1)
-    mask = F.when(F.col(value).isNotNull(), ((earlier < target_km2) | first).cast("int"))
-    return out_rows.withColumn(out, F.coalesce(mask, F.lit(0)) if null_is_zero else mask).drop("__cuts", "__slice", "__before")
+    target = target_km2 if isinstance(target_km2, Column) else F.lit(float(target_km2))
+    rows = cells.filter(F.col(value).isNotNull()).select(*keys, (-F.col(value).cast("double")).alias("__v"), F.col("row").cast("double").alias("__row"), F.col("col").cast("double").alias("__col"), F.coalesce(F.col("area_km2"), F.lit(0.0)).alias("__w"))
+    last = settled(locate(rows, keys, ["__v", "__row", "__col"], [(0, target)], most).drop("t", "__total"), "crossing")  # one row per area
+    if keys:
+        joined = cells.join(last, keys, "left")
+    else:
+        found = last.first()
+        joined = cells.withColumns({c: F.lit(found[c] if found else None).cast("double") for c in ("__v", "__row", "__col")})
+    v, r, c = -F.col(value), F.col("row"), F.col("col")
+    reached = (v < F.col("__v")) | ((v == F.col("__v")) & ((r < F.col("__row")) | ((r == F.col("__row")) & (c <= F.col("__col")))))
+    return _masked(joined, value, reached, out, null_is_zero).drop("__v", "__row", "__col")
 
 
 def select_top(cells: DataFrame, value: str, percent: float | None = None, km2: float | None = None, **options) -> DataFrame:
@@ -111,10 +115,5 @@ def contiguous(rows: DataFrame, value: str, start: int | None = 1) -> DataFrame:
 
 def quantile_band(rows: DataFrame, high: str, low: str, p_high: float = 0.75, p_low: float = 0.25) -> DataFrame:
     """FLT-6: rows at or above one column's upper quantile and at or below the other's lower one."""
-    cuts = rows.agg(F.percentile(high, p_high), F.percentile(low, p_low)).first()
-    return rows.filter((F.col(high) >= cuts[0]) & (F.col(low) <= cuts[1])) if None not in cuts else rows.limit(0)
-
-
-def frozen(df: DataFrame, tag: str = "step") -> DataFrame:
-    """A step's result, written to the shared folder and read again."""
-    return written(df, tag)
+    cuts = scalar_quantiles(rows, {"high": (high, p_high), "low": (low, p_low)})
+    return rows.filter((F.col(high) >= cuts["high"]) & (F.col(low) <= cuts["low"])) if None not in cuts.values() else rows.limit(0)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.numeric import theme_and_variable, to_number
 from gridloom.operators.select import add_quintile
+from gridloom.session import sized
 
 KEYS = ("ADM2CD_c", "NAM_2", "NAM_1")
 
@@ -102,7 +103,7 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
 def with_names(df: DataFrame, names: DataFrame, code: str, out: str) -> DataFrame:
     """JON-2, JON-13: name of a code, the code itself where there is none. names: code, name."""
     n = names.select(F.col("code").alias("__c"), F.col("name").alias("__n"))
-    return df.join(F.broadcast(n), F.col(code) == F.col("__c"), "left").withColumn(out, F.coalesce("__n", F.col(code).cast("string"))).drop("__c", "__n")
+    return df.join(sized(n), F.col(code) == F.col("__c"), "left").withColumn(out, F.coalesce("__n", F.col(code).cast("string"))).drop("__c", "__n")
 
 
 def code_maps(base: DataFrame, maps: dict[int, DataFrame]) -> DataFrame:
@@ -174,8 +175,3 @@ def profiles(wide: DataFrame, columns: list[str], poverty: str, order: str = "AD
     """Q06's profile table: keys, chosen columns and the quintile of poverty."""
     base = keep_first(wide.select(*(k for k in KEYS if k in wide.columns), *(c for c in columns if c in wide.columns)), [order], order)
     return add_quintile(base, poverty, order, "poverty_quintile")
-
-
-def matching(df: DataFrame, prefix: str) -> list[str]:
-    """Columns by prefix."""
-    return [c for c in df.columns if c.startswith(prefix)]

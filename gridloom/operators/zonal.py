@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import flag, np_round, percent_guard, safe_div
+from gridloom.operators.ordered import quantiles, scalar_quantiles
 
 
 def poison(aggregate: Column, value: Column | str) -> Column:
@@ -93,7 +94,7 @@ def cluster_pack(cells: DataFrame, cluster: str = "cluster_id", thresholds=(30,
     Drought is percent if its median over the whole grid is above 1; without that median the cells given stand for the grid.
     """
     if drought_median is None:
-        drought_median = cells.agg(F.median("drought")).first()[0]
+        drought_median = scalar_quantiles(cells, {"m": ("drought", 0.5)})["m"]
     rows = cells.filter(F.col(cluster).isNotNull()).withColumn("drought", F.col("drought") / (100.0 if (drought_median or 0) > 1 else 1.0))
     rows = rows.withColumn("__crop", F.col("crop_frac") * F.col("area_km2"))
     pct = lambda c: F.avg(flag(F.col(c) > 0.5))
@@ -124,9 +125,9 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.when(F.sum(w) > 0, F.sum(F.col(value) * w) / F.when(F.sum(w) > 0, F.sum(w)))
 
 
-def weighted_median(value: str, weight: str) -> Column:
-    """AGG-28: the median of values repeated by the whole part of their weights."""
-    return F.expr(f"percentile(`{value}`, 0.5, cast(`{weight}` as bigint))")
+def weighted_medians(rows: DataFrame, value: str, weight: str, keys: tuple[str, ...] = (), out: str = "median") -> DataFrame:
+    """AGG-28: per group the median of values repeated by the whole part of their weights; groups without weight have no row."""
+    return quantiles(rows, {out: (value, 0.5)}, keys, weight)
 
 
 def collapse_pairs(flows: DataFrame, order: str | None = None) -> DataFrame:

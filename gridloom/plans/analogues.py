@@ -200,7 +200,7 @@ def remove_small(spark, d):
 def cluster_kpis(spark, d):
     c = _chosen(spark, d).filter("selected = 1").withColumn("risk", F.col("road") * (F.col("flood_frac") >= 0.25).cast("int"))
     labelled = cluster.prune(c.join(cluster.connected_components(c, 8), ["aoi", "row", "col"]), 3, 0.0)
-    return rounded(zonal.cluster_pack(labelled, policy="poison", drought_median=_chosen(spark, d).agg(F.median("drought")).first()[0]), 4, ("mean_travel_min", "drought_mean_0_1", "flood_depth_mean_m", "rwi_mean", "centroid_lon", "centroid_lat"))
+    return rounded(zonal.cluster_pack(labelled, policy="poison", drought_median=select.percentile_of(cells(spark, d), "drought", 0.5)), 4, ("mean_travel_min", "drought_mean_0_1", "flood_depth_mean_m", "rwi_mean", "centroid_lon", "centroid_lat"))
 
 
 def scenario_sweep(spark, d):
@@ -282,7 +282,9 @@ def haversine_pairs(spark, d):
 
 
 def weighted_mean_median(spark, d):
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(zonal.weighted_mean("l_discount", "l_quantity").alias("mean_discount"), zonal.weighted_median("l_discount", "l_quantity").alias("median_discount")))
+    li = table(spark, d, "lineitem")
+    means = li.groupBy("l_returnflag").agg(zonal.weighted_mean("l_discount", "l_quantity").alias("mean_discount"))
+    return rounded(means.join(zonal.weighted_medians(li, "l_discount", "l_quantity", ("l_returnflag",), "median_discount"), "l_returnflag", "left"))
 
 
 def quadrant_stats(spark, d):

@@ -5,7 +5,6 @@ The SQL says what the surveyed steps compute, in terms of the tables; it is not
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,7 +135,6 @@ def coarsen_others(spark, d):
     return _coarse_all(spark, d)
 
 
-_A = "abs(x)"
 _KERNELS = {
     "cubic": "case when abs({x}) < 1 then 1.5 * pow(abs({x}), 3) - 2.5 * pow({x}, 2) + 1 when abs({x}) < 2 then -0.5 * pow(abs({x}), 3) + 2.5 * pow({x}, 2) - 4 * abs({x}) + 2 else 0 end",
     "cubic_spline": "case when abs({x}) < 1 then (4 - 6 * pow({x}, 2) + 3 * pow(abs({x}), 3)) / 6 when abs({x}) < 2 then pow(2 - abs({x}), 3) / 6 else 0 end",
@@ -276,13 +274,21 @@ def friction_surface(spark, d):
 
 #: Least minutes from the nations' cells: 150 rounds of relaxing all cells with their eight neighbours, which more than settles.
 _DY, _DX = f"(110.574::double * {STEP}::double)", f"(111.320::double * cos(radians(-10.0::double + {STEP}::double / 2 - {STEP}::double * 20)) * {STEP}::double)"
-_MINUTES = f"""{CELLS}, land as (select "row", col, case when road > 0 then 1.5::double else 15.0::double end as f from g), nb as (
+def _minutes(seeds: str) -> str:
+    """CTEs up to `minutes` (site_id, row, col, minutes) from seeds (site_id, row, col)."""
+    return f"""{CELLS}, land as (select "row", col, case when road > 0 then 1.5::double else 15.0::double end as f from g), nb as (
     select a."row" as r0, a.col as c0, b."row", b.col, sqrt(pow((a."row" - b."row") * {_DY}, 2) + pow((a.col - b.col) * {_DX}, 2)) * (a.f + b.f) / 2 as w from land a join land b on {EIGHT}), turn(i, site_id, "row", col, m) as (
-    select 0, n_nationkey, "row", col, 0.0::double from nation join land on "row" = n_nationkey * 13 % 40 and col = n_nationkey * 7 % 40 union all
+    select 0, site_id, "row", col, 0.0::double from ({seeds}) join land using ("row", col) union all
     select any_value(i) + 1, site_id, nb."row", nb.col, min(m + w) from turn join nb on r0 = turn."row" and c0 = turn.col where i < 150 group by site_id, nb."row", nb.col), minutes as (
     select site_id, "row", col, m as minutes from turn where i = 150)"""
 
 
+_MINUTES = _minutes('select n_nationkey as site_id, n_nationkey * 13 % 40 as "row", n_nationkey * 7 % 40 as col from nation')
+#: The suppliers stand on 40 cells.
+ORACLES["cost_distance"] = f"""with recursive {_minutes('select k as site_id, k * 13 % 40 as "row", k * 7 % 40 as col from range(40) t(k)')}
+    select s_suppkey as site_id, "row", col, {_r('minutes', 4)} as minutes from minutes join supplier on s_suppkey % 40 = site_id where minutes <= 300"""
+
+
 def _surface(spark, d):
     c = cells(spark, d).withColumn("friction", num.friction(F.when(F.col("road") > 0, 40.0)))
     k = F.col("n_nationkey")
@@ -296,11 +302,11 @@ def travel_minutes(spark, d):
 
 
 @query(f"""with recursive {_MINUTES}, k as (select site_id, t as thresh_min, g.*, minutes from minutes join g using ("row", col), (select unnest([30.0::double, 60, 120, 240]) as t) where minutes <= t)
-    select site_id, thresh_min, {_r('sum(area_km2)', 3)} as area_km2, {_r('sum(pop)', 3)} as pop, {_r('sum(crop_frac * area_km2)', 3)} as cropland_km2, {_r('avg(rwi)', 7)} as rwi_mean, {_r('sum(rwi * pop) / sum(pop)', 5)} as rwi_pop_weighted,
+    select site_id, thresh_min, {_r('sum(area_km2)', 3)} as area_km2, {_r('sum(pop)', 3)} as pop, {_r('sum(crop_frac * area_km2)', 3)} as cropland_km2, {_r('avg(rwi)', 9)} as rwi_mean, {_r('sum(rwi * pop) / sum(pop)', 5)} as rwi_pop_weighted,
     {_r('avg(minutes)', 3)} as mean_travel_min from k group by 1, 2""")
 def catchment_kpis(spark, d):
     k = cost.catchment_kpis(_surface(spark, d), cells(spark, d), P.iso_thresholds)
-    digits = {"rwi_mean": 7, "rwi_pop_weighted": 5}  # means of few thousandths end in a 5
+    digits = {"rwi_mean": 9, "rwi_pop_weighted": 5}  # means of few thousandths end in a 5
     return k.select("site_id", "thresh_min", *(np_round(c, digits.get(c, 3)).alias(c) for c in ("area_km2", "pop", "cropland_km2", "rwi_mean", "rwi_pop_weighted", "mean_travel_min")))
 
 
@@ -606,5 +612,3 @@ def profile_round_trip(spark, d):
     sinks.write_profile(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
     return spark.read.json(path).select("column", "rows", "distinct")
 
-
-del _A, os, SEGMENTS, profile, indicators

@@ -119,7 +119,7 @@ def priority_clusters(masked: DataFrame, p: Params = Params(), policy: str = "sk
     ids = cluster.connected_components(chosen, p.cluster_connectivity)
     keys = [k for k in ("aoi", "row", "col") if k in masked.columns]
     cells = written(cluster.prune(chosen.join(ids, keys), p.min_cluster_cells, p.min_cluster_km2), "clusters")
-    median = masked.agg(F.median("drought")).first()[0]  # of the whole grid
+    median = select.percentile_of(masked, "drought", 0.5)  # of the whole grid
     return cells, cluster.order_clusters(zonal.cluster_pack(cells, thresholds=p.iso_thresholds, policy=policy, drought_median=median if median is not None else 0.0))
 
 

@@ -7,6 +7,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str = "local[8]", app: str = "gridloom", **conf: str) -> SparkSession:
@@ -62,3 +63,17 @@ def written(df: DataFrame, tag: str = "table", **options: str) -> DataFrame:
         spark.conf.set(cleanup, before)
     remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, tag: str = "settled", most_rows: int = 20_000) -> DataFrame:
+    """A result that is expected to be small, computed once: up to most_rows rows become a local table that joins broadcast,
+    more are written to the shared folder and join as Spark sees fit."""
+    found = df.limit(most_rows + 1).toArrow()
+    if found.num_rows > most_rows:
+        return written(df, tag)
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema) if found.num_rows else df.sparkSession.createDataFrame([], df.schema))
+
+
+def sized(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df, to be broadcast where its rows are counted to be few enough; df is counted, so a costly plan is better written first."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

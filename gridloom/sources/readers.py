@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.numeric import nan_to_null
 from gridloom.schema import FEATURES
+from gridloom.session import sized
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -118,7 +119,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     lines = lines.withColumns({"block": F.shiftright("id", 33), "nth": F.col("id").bitwiseAND((1 << 33) - 1), "data": ~F.col("value").rlike("^\\s*[A-Za-z]")})
     per = lines.groupBy("block").agg(F.min("at").alias("at"), F.count_if("data").alias("n"), F.count_if(~F.col("data")).alias("heads"))
     before = per.select("block", "heads", (F.sum("n").over(Window.orderBy("at", "block")) - F.col("n")).alias("before"))
-    values = lines.filter("data").join(F.broadcast(before), "block")  # one row per block of a file
+    values = lines.filter("data").join(sized(before), "block")  # one row per block of a file
     rows = values.select((F.col("before") + F.col("nth") - F.col("heads")).cast("int").alias("row"), F.split(F.trim("value"), "\\s+").alias("v"))
     out = rows.select("row", F.posexplode("v").alias("col", "text")).select("row", "col", F.col("text").try_cast("double").alias("value"))
     return out.filter((F.col("value") != head.get("nodata_value", float("nan"))) & F.col("value").isNotNull()), head

@@ -1,6 +1,8 @@
 """Operators on small hand-made inputs."""
 
+import heapq
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,28 +163,50 @@ def blob_cells(spark):
     return spark.createDataFrame([("a", r, c, int((r, c) in at), 1.0) for r in range(5) for c in range(5)], "aoi string, row int, col int, m int, area_km2 double")
 
 
-@pytest.mark.parametrize("local_cells", [0, 1000])
-def test_components_both_ways(spark, local_cells):
+def plain_components(cells, k):
+    """Flood fill, numbered by first cells."""
+    left, number = sorted(cells), {}
+    for at in left:
+        if at not in number:
+            stack, n = [at], max(number.values(), default=0) + 1
+            while stack:
+                r, c = stack.pop()
+                if (r, c) in cells and (r, c) not in number:
+                    number[r, c] = n
+                    stack += [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (k == 8 or not (i and j))]
+    return number
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 2}, {"tile": 3, "local_edges": 0}, {"tile": 2, "local_groups": 1}])
+def test_components_all_ways(spark, options):
     chosen = blob_cells(spark).filter("m = 1")
-    got = lambda k: {(r.row, r.col): r.cluster_id for r in cluster.connected_components(chosen, k, local_cells=local_cells).collect()}
+    got = lambda k: {(r.row, r.col): r.cluster_id for r in cluster.connected_components(chosen, k, **options).collect()}
     assert got(8) == {(0, 0): 1, (1, 1): 1, (0, 4): 2, (3, 3): 3, (4, 3): 3, (4, 4): 3}
     assert got(4) == {(0, 0): 1, (0, 4): 2, (1, 1): 3, (3, 3): 4, (4, 3): 4, (4, 4): 4}
 
 
+@pytest.mark.parametrize("connectivity, options", [(4, {"tile": 4}), (8, {"tile": 5, "local_edges": 3}), (8, {"tile": 7, "local_groups": 2})])
+def test_components_by_flood_fill(spark, connectivity, options):
+    draw = np.random.default_rng(connectivity)
+    spots = {k: {(int(r), int(c)) for r, c in zip(*np.nonzero(draw.random((30, 33)) < share), strict=True)} for k, share in (("a", 0.5), ("b", 0.3))}
+    df = spark.createDataFrame([(k, r, c) for k, cells in spots.items() for r, c in cells] + [("a", *next(iter(spots["a"])))], "aoi string, row int, col int")
+    got = cluster.connected_components(df, connectivity, **options).collect()
+    assert {(r.aoi, r.row, r.col): r.cluster_id for r in got} == {(k, *at): n for k, cells in spots.items() for at, n in plain_components(cells, connectivity).items()}
+    assert len(got) == sum(map(len, spots.values()))
+
+
 def test_snake_is_one_component(spark):
     rows = [(0, c) for c in range(30)] + [(1, 29)] + [(2, c) for c in range(30)] + [(3, 0)] + [(4, c) for c in range(30)]
     df = spark.createDataFrame([("a", r, c) for r, c in rows], "aoi string, row int, col int")
-    assert cluster.connected_components(df, 4, local_cells=0).agg(F.max("cluster_id")).first()[0] == 1
+    assert cluster.connected_components(df, 4, tile=3, local_edges=0).agg(F.max("cluster_id")).first()[0] == 1
 
 
 def test_long_arms_are_one_component(spark):
     arms = [(r, c) for r in range(150) for c in (0, 2)] + [(149, 1)]
     alone = [(r, 4) for r in range(3)]
     df = spark.createDataFrame([("a", r, c) for r, c in arms + alone] + [("b", 7, 7)], "aoi string, row int, col int")
-    got = {(r.aoi, r.row, r.col): r.cluster_id for r in cluster.connected_components(df, 8, local_cells=0).collect()}
+    got = {(r.aoi, r.row, r.col): r.cluster_id for r in cluster.connected_components(df, 8, tile=4, local_edges=0).collect()}
     assert got == {("a", *x): 1 for x in arms} | {("a", *x): 2 for x in alone} | {("b", 7, 7): 1}
-    with pytest.raises(RuntimeError):
-        cluster.connected_components(df, 8, most_rounds=1, local_cells=0)
 
 
 def test_prune_and_small_groups(spark):
@@ -193,24 +217,46 @@ def test_prune_and_small_groups(spark):
     assert cluster.remove_small(cells, "m", 1, 4) is cells
 
 
-def test_uniform_cost_and_barriers(spark):
+def least_minutes(f, start, dy, dx, cutoff=math.inf):
+    """Least minutes from a cell, one cell at a time."""
+    best, heap = {}, [(0.0, start)] if np.isfinite(f[start]) else []
+    while heap:
+        d, (r, c) = heapq.heappop(heap)
+        if (r, c) in best:
+            continue
+        best[r, c] = d
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                y, x = r + i, c + j
+                if (i or j) and 0 <= y < f.shape[0] and 0 <= x < f.shape[1] and np.isfinite(f[y, x]) and (y, x) not in best:
+                    new = d + math.hypot(i * dy, j * dx) * (f[r, c] + f[y, x]) / 2
+                    if new <= cutoff:
+                        heapq.heappush(heap, (new, (y, x)))
+    return best
+
+
+def test_uniform_cost_and_barriers():
     c = np.ones((5, 5))
-    out = cost.dijkstra(c, (2, 2), 1.0, 1.0)
-    assert out[2, 4] == 2.0 and out[0, 0] == pytest.approx(2 * math.sqrt(2))
-    assert cost.dijkstra(c, (2, 2), 1.0, 3.0)[2, 3] == 3.0 and np.isnan(cost.dijkstra(c, (9, 9), 1.0, 1.0)).all()
+    solve = lambda at, cutoff=math.inf: cost.solve_tile(c, [(np.array([at[0] * 5 + at[1]]), np.zeros(1))], 1.0, 1.0, cutoff)[0]
+    assert solve((2, 2))[2, 4] == 2.0 and solve((2, 2))[0, 0] == pytest.approx(2 * math.sqrt(2))
+    assert solve((2, 2), 1.2)[2, 3] == 1.0 and np.isinf(solve((2, 2), 1.2)[2, 4])
     c[:, 2] = np.nan
-    assert np.isnan(cost.dijkstra(c, (0, 0), 1.0, 1.0)[:, 3]).all()
+    assert np.isinf(solve((0, 0))[:, 3]).all() and np.isinf(solve((1, 2))).all()
 
 
-def test_relaxation_equals_dijkstra(spark):
+@pytest.mark.parametrize("options, cutoff", [({}, math.inf), ({"tile": 4}, math.inf), ({"tile": 5, "together": 1, "most": 1}, 14.0)])
+def test_tiles_equal_one_grid(spark, options, cutoff):
     rng = np.random.default_rng(1)
-    f = rng.uniform(1, 9, (6, 6))
-    spec = GridSpec(10.0, -10.0, 0.01, 0.01, 6, 6)
-    cells = spark.createDataFrame([(r, c, float(f[r, c])) for r in range(6) for c in range(6)], "row int, col int, friction double")
-    sites = spark.createDataFrame([(1, 0, 0), (2, 3, 4)], "site_id int, row int, col int")
-    a = {(r.site_id, r.row, r.col): r.minutes for r in cost.travel_minutes(sites, cells, spec).collect()}
-    b = {(r.site_id, r.row, r.col): r.minutes for r in cost.relax_minutes(sites, cells, spec).collect()}
-    assert a == pytest.approx(b) and len(a) == 72
+    f = rng.uniform(1, 9, (13, 17))
+    f[rng.random(f.shape) < 0.25] = np.nan
+    f[6, 1:] = np.nan  # the way round this wall leads through many tiles
+    spec = GridSpec(10.0, -10.0, 0.01, 0.01, 13, 17)
+    cells = spark.createDataFrame([(r, c, float(f[r, c]) if np.isfinite(f[r, c]) else None) for r in range(13) for c in range(17)], "row int, col int, friction double")
+    starts = {"s0": (0, 0), "s1": (3, 4), "s2": (12, 16), "s3": (6, 5), "s4": (4, 8)}
+    sites = spark.createDataFrame([(k, *rc) for k, rc in starts.items()] + [("off", 99, 0), ("none", None, 3)], "site_id string, row int, col int")
+    got = {(r.site_id, r.row, r.col): r.minutes for r in cost.travel_minutes(sites, cells, spec, cutoff, **options).collect()}
+    want = {(k, *rc): m for k, start in starts.items() for rc, m in least_minutes(f, start, *cost.sampling_km(spec), cutoff).items()}
+    assert got == pytest.approx(want) and len(got) > 30
 
 
 def test_top_percent_keeps_ties(spark):
@@ -320,10 +366,15 @@ def test_balancing_meets_both_margins(spark):
     for side in ("oi", "dj"):
         for r in z.collect():
             assert sum(x.flow for x in f if x[side] == r.code) == pytest.approx(r.mass / total * 1e6, rel=1e-6)
-    joined = od.ipf(od.gravity(z, p.with_(od_ipf=False)), z, p, local_zones=0).collect()
-    assert {(r.oi, r.dj): r.flow for r in joined} == pytest.approx({(r.oi, r.dj): r.flow for r in f}, rel=1e-6)
+    start = {(r.oi, r.dj): r.flow for r in od.gravity(z, p.with_(od_ipf=False)).collect()}
+    goal = {r.code: r.mass / total * 1e6 for r in z.collect()}
+    for _ in range(200):  # cell by cell
+        for side in (0, 1):
+            sums = {c: sum(v for k, v in start.items() if k[side] == c) for c in goal}
+            start = {k: v * goal[k[side]] / sums[k[side]] if sums[k[side]] else v for k, v in start.items()}
+    assert {(r.oi, r.dj): r.flow for r in f} == pytest.approx(start, rel=1e-6)
     with pytest.warns(UserWarning, match="margins"):
-        od.balance(np.array([[1.0, 2.0], [3.0, 4.0]]), np.array([1.0, 9.0]), rounds=1)
+        od.ipf(od.gravity(z, p.with_(od_ipf=False)), z, p, rounds=1)
 
 
 def test_agents_are_the_generators(spark):
@@ -335,7 +386,20 @@ def test_agents_are_the_generators(spark):
         m["ABC".index(r.oi), "ABC".index(r.dj)] = r.flow
     draws = np.random.default_rng(42).choice(9, size=9, replace=True, p=m.ravel() / m.sum())
     assert got == [(int(d) // 3, int(d) % 3) for d in draws]
-    assert sum(r.agents for r in od.agents_scaled(flows, 1000).collect()) == pytest.approx(1000, abs=5)
+    with pytest.raises(ValueError):
+        od.agents_exact(flows, z, most_zones=2)
+
+
+def test_agents_of_any_number(spark):
+    z = od.with_mass(zones3(spark))
+    flows = od.gravity(z)
+    got = sorted(tuple(r) for r in od.agents_drawn(flows, z, 70_000).select("agent", "o_code", "d_code").collect())
+    assert [a for a, _, _ in got] == list(range(70_000))
+    assert got == sorted(tuple(r) for r in od.agents_drawn(flows.repartition(7, "dj"), z, 70_000).select("agent", "o_code", "d_code").collect())
+    assert got != sorted(tuple(r) for r in od.agents_drawn(flows, z, 70_000, seed=1).select("agent", "o_code", "d_code").collect())
+    want = {(r.oi, r.dj): r.flow / 1e6 * 70_000 for r in flows.collect()}
+    drawn = Counter((o, d) for _, o, d in got)
+    assert all(abs(drawn[k] - v) < 6 * math.sqrt(v + 1) for k, v in want.items())
 
 
 def test_pairs_and_asymmetry(spark):
