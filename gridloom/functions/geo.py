@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,10 +214,10 @@ def inner_point(parts: list[list[tuple[float, float]]], kind: str) -> tuple[floa
 def representative_points(features: DataFrame) -> DataFrame:
     """GEO-2 over a features table: lon and lat are added; features of no vertex give null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = [inner_point([[(v["x"], v["y"]) for v in r] for r in (p if p is not None else [])], k) for p, k in zip(pdf["parts"], pdf["kind"], strict=True)]
-            yield pd.DataFrame({"feature_id": pdf["feature_id"], "lon": [a[0] if a else None for a in at], "lat": [a[1] if a else None for a in at]}).astype({"lon": "float64", "lat": "float64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [inner_point([[(v["x"], v["y"]) for v in r] for r in p or []], k) for k, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), *(pa.array([a[i] if a else None for a in at], pa.float64()) for i in (0, 1))], names=["feature_id", "lon", "lat"])
 
-    points = features.select("feature_id", "kind", "parts").mapInPandas(run, "feature_id long, lon double, lat double")
+    points = features.select(F.col("feature_id").cast("long").alias("feature_id"), "kind", "parts").mapInArrow(run, "feature_id long, lon double, lat double")
     return features.join(points, "feature_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,18 @@ def inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "path string, exists boolean, bytes long")
 
 
+def data_menu(spark: SparkSession, themes: dict[str, str], kind: str = "parquet") -> DataFrame:
+    """VAL-7, VAL-9: (theme, path, exists, bytes, variables, rows) of a catalogue of tables; those that are missing have no variables."""
+    files = inventory(spark, list(themes.values()))
+    there = {r["path"] for r in files.filter("exists").collect()}  # a row a theme
+    tables = {t: spark.read.format(kind).load(p) for t, p in themes.items() if p in there}
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(t).alias("theme"), F.lit(",".join(df.columns)).alias("variables"), "rows") for t, df in tables.items()]
+    menu = spark.createDataFrame(list(themes.items()), "theme string, path string").join(files, "path")
+    if not counts:
+        return menu.select("theme", "path", "exists", "bytes", F.lit(None).cast("string").alias("variables"), F.lit(None).cast("long").alias("rows"))
+    return menu.join(reduce(DataFrame.unionAll, counts), "theme", "left").select("theme", "path", "exists", "bytes", "variables", "rows")
+
+
 def grid_checks(spark: SparkSession, specs: dict[str, GridSpec], cells: DataFrame, layers: list[str]) -> DataFrame:
     """VAL-8: specs agree with the first one; range of each layer."""
     first = next(iter(specs.values()))

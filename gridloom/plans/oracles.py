@@ -123,7 +123,7 @@ def _blend(p: Params, overlays: bool, clamp: bool, epsilon: str) -> str:
     return _clamp(f"({out})", "0.0", "1.0") if clamp else f"({out})"
 
 
-def _sweep() -> str:
+def _sweep(digits: int = 3) -> str:
     ctes, unions = [CELLS, SCALARS], []
     for i, sc in enumerate(SWEEP):
         p = sc.params(P)
@@ -139,10 +139,10 @@ def _sweep() -> str:
             select '{sc.scenario_id}' as scenario_id, "row", col, case when sel = 1 and "row" * 40 + col in (select id from c{i}) then 0 else sel end = 1 as sel from m{i})""")
         unions.append(f"select * from f{i}")
     return WITH + ", ".join(ctes) + f""", every as ({' union all '.join(unions)}), base as (select "row", col, sel as in_base from every where scenario_id = 'baseline')
-    select scenario_id, count(*) filter (sel) as selected_cells, {_r('coalesce(sum(area_km2) filter (sel), 0)', 3)} as selected_km2, {_r('coalesce(sum(pop) filter (sel), 0)', 3)} as pop_selected,
-        {_r('coalesce(sum(crop_frac * area_km2) filter (sel), 0)', 3)} as ag_km2_selected, {_r('avg(drought) filter (sel)', 3)} as drought_mean_selected,
-        {_r('(count(*) filter (sel and in_base))::double / nullif(count(*) filter (sel), 0)', 3)} as overlap_pct_vs_baseline,
-        {_r('(count(*) filter (sel and in_base))::double / nullif(count(*) filter (sel or in_base), 0)', 3)} as jaccard_vs_baseline, count(*) filter (in_base) as baseline_cells
+    select scenario_id, count(*) filter (sel) as selected_cells, {_r('coalesce(sum(area_km2) filter (sel), 0)', digits)} as selected_km2, {_r('coalesce(sum(pop) filter (sel), 0)', digits)} as pop_selected,
+        {_r('coalesce(sum(crop_frac * area_km2) filter (sel), 0)', digits)} as ag_km2_selected, {_r('avg(drought) filter (sel)', digits)} as drought_mean_selected,
+        {_r('(count(*) filter (sel and in_base))::double / nullif(count(*) filter (sel), 0)', digits)} as overlap_pct_vs_baseline,
+        {_r('(count(*) filter (sel and in_base))::double / nullif(count(*) filter (sel or in_base), 0)', digits)} as jaccard_vs_baseline, count(*) filter (in_base) as baseline_cells
     from every join base using ("row", col) join g using ("row", col) group by scenario_id"""
 
 

@@ -160,15 +160,6 @@ def align_kernels(spark, d):
     return rounded(out.filter("value is not null"), 6)
 
 
-@query(f"""select {_i('r')} as "row", {_i('c')} as col, {_r(f'10.0::double - {STEP}::double / 2 + (c + 0.5) * {STEP}::double / 2', 9)} as x, {_r(f'-10.0::double + {STEP}::double / 2 - (r + 0.5) * {STEP}::double / 2', 9)} as y,
-    1.0::double as area_km2, false as same, true as alike from (select unnest(range(80)) as r) cross join (select unnest(range(80)) as c)""")
-def supersampled_grid(spark, d):
-    """GRD-4, GRD-6, GRD-8: half-size cells, each of the constant area estimate; whether the specs agree."""
-    fine = SPEC.supersampled(2)
-    c = grid.template_cells(spark, fine, "constant").select("row", "col", "x", "y", "area_km2")
-    return rounded(c.withColumns({"same": F.lit(SPEC.same_grid(fine)), "alike": F.lit(SPEC.same_grid(GridSpec(SPEC.x0 + 1e-12, SPEC.y0, STEP, STEP, 40, 40, "epsg:4326")))}), 9)
-
-
 @query(f"""with {CELLS} select "row", col, {_r(f"{AREA_G} * {STEP}::double * {STEP}::double * cos(radians(y))", 9)} as degrees, 1.0::double as constant, 0.25::double as metres from g""")
 def cell_areas(spark, d):
     metric = GridSpec(0.0, 0.0, 500.0, 500.0, 40, 40, "EPSG:32733")
@@ -501,23 +492,11 @@ def column_checks(spark, d):
     return out.unionByName(validate.survey_inputs({"MAP_3.csv": raw, "base.csv": raw, "notes.txt": raw}))
 
 
-@query("""select name, there as "exists" from (values ('region.parquet', true), ('nowhere.parquet', false)) t(name, there)""")
-def file_inventory(spark, d):
-    """VAL-7, VAL-9; sizes are checked against the file system in the tests."""
-    out = validate.inventory(spark, [f"{d}/region.parquet", f"{d}/nowhere.parquet"])
-    return out.filter("exists = (bytes > 0)").select(F.element_at(F.split("path", "/"), -1).alias("name"), "exists")
-
-
 @query(f"""with {CELLS} select 'grid:a' as "check", true as ok, '40x40' as detail union all select 'grid:b', false, '80x80' union all select 'layer:veg', true, min(veg)::varchar || '..' || max(veg)::varchar from g""")
 def grid_diagnostics(spark, d):
     return validate.grid_checks(spark, {"a": SPEC, "b": SPEC.supersampled(2)}, cells(spark, d), ["veg"])
 
 
-@query("select * from (values ('MAP_12.csv', 'map', 12), ('map7.CSV', 'map', 7), ('Base_x.csv', 'base', null), ('adm2_base.csv', 'adm2', null), ('notes.txt', 'other', null)) t(file, kind, number)")
-def file_kinds(spark, d):
-    return validate.classify_files(spark.createDataFrame([(x,) for x in ("MAP_12.csv", "map7.CSV", "Base_x.csv", "adm2_base.csv", "notes.txt")], "file string"))
-
-
 # sources and sinks: written, found, read back -----------------------------------------------------------------------------
 
 _NATION = "select n_nationkey, n_name, n_regionkey from nation"

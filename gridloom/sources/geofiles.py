@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -340,3 +341,48 @@ def read_shapefile(spark: SparkSession, path: str, value: str | None = None, fcl
     prop = lambda name: F.get_json_object("properties", f"$['{name}']")
     val = prop(value).try_cast("double") if value else F.lit(1.0)
     return left.join(right, "seq", "left").select(F.lit(layer).alias("layer"), F.col("seq").cast("long").alias("feature_id"), "seq", "kind", prop(fclass).alias("fclass"), val.alias("value"), "parts", "properties")
+
+
+def write_shapefile(features: DataFrame, path: str, numbers: list[str]) -> None:
+    """SNK: polygons as a .shp file, with number columns in the .dbf file beside it, in the order of the first of these.
+
+    Records are packed in parallel; the driver streams them into both files. Rings stand as they are given.
+    """
+    spark = features.sparkSession
+    width = 24
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for parts, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rings = [[(v["x"], v["y"]) for v in ring] for ring in parts or []]
+                rings = [r if r[0] == r[-1] else [*r, r[0]] for r in rings if r]
+                xy = [v for r in rings for p in r for v in p]
+                body = struct.pack("<i", 0)
+                if rings:
+                    starts = list(itertools.accumulate([0, *map(len, rings[:-1])]))
+                    body = struct.pack("<i4d2i", 5, min(xy[::2]), min(xy[1::2]), max(xy[::2]), max(xy[1::2]), len(rings), len(xy) // 2) + struct.pack(f"<{len(rings)}i", *starts) + struct.pack(f"<{len(xy)}d", *xy)
+                text = "".join(("" if v is None else f"{v:.15g}").rjust(width) for v in values)
+                rows.append((values[0], body, b" " + text.encode()))
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.float64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["k", "shape", "record"])
+
+    packed = written(features.select("parts", *(F.col(c).cast("double").alias(c) for c in numbers)).mapInArrow(pack, "k double, shape binary, record binary"), "shapes")
+    size = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("shape") + 8), F.lit(0)).alias("bytes")).first()
+    fields = b"".join(struct.pack("<11sc4xBB14x", c.encode()[:10], b"N", width, 8) for c in numbers)
+    heads = {
+        path: struct.pack(">i20xi", 9994, (100 + size["bytes"]) // 2) + struct.pack("<2i", 1000, 5) + bytes(64),
+        path[:-4] + ".dbf": struct.pack("<4BIHH20x", 3, 124, 1, 1, size["n"], 32 + 32 * len(numbers) + 1, 1 + width * len(numbers)) + fields + b"\r",
+    }
+    files = {}
+    for name, head in heads.items():
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        files[name] = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        files[name].write(bytearray(head))
+    try:
+        shp, dbf = files.values()
+        for k, r in enumerate(packed.sort("k").toLocalIterator(), 1):
+            shp.write(bytearray(struct.pack(">2i", k, len(r["shape"]) // 2) + r["shape"]))
+            dbf.write(bytearray(r["record"]))
+    finally:
+        for out in files.values():
+            out.close()

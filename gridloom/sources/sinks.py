@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from gridloom.operators.grid import GridSpec, apply_mask
 from gridloom.operators.profile import profile_columns
 from gridloom.schema import empty_table
+from gridloom.session import written
 
 
 def out_path(root: str, aoi: str, stem: str, ext: str = "") -> str:
@@ -68,3 +69,15 @@ def write_json(spark: SparkSession, path: str, document: dict) -> None:
 def write_profile(df: DataFrame, path: str) -> None:
     """SNK-8: the profile as JSON rows."""
     profile_columns(df).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """SNK-8: the profile as JSON rows, the columns with their places as CSV, and a text to read, below path."""
+    profile = written(profile_columns(df), "profile")
+    profile.coalesce(1).write.mode("overwrite").json(f"{path}/profile.json")
+    order = F.create_map(*(F.lit(x) for i, c in enumerate(df.columns, 1) for x in (c, i)))
+    placed = profile.withColumn("place", order[F.col("column")])
+    write_csv(placed.select("place", "column", "type"), f"{path}/columns.csv")
+    line = F.concat_ws(" ", F.format_string("%s (%s): %d nulls, %d distinct", "column", "type", "nulls", "distinct"), F.concat(F.lit(", "), F.format_string("%.6g to %.6g, mean %.6g, median %.6g", "min", "max", "mean", "median")), F.when(F.col("insights") != "", F.concat(F.lit("["), "insights", F.lit("]"))))
+    text = placed.select("place", line.alias("value")).unionAll(profile.limit(1).select(F.lit(0), F.concat(F.lit("rows: "), F.col("rows").cast("string"))))
+    text.repartition(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(f"{path}/profile.txt")

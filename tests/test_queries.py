@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from gridloom.plans import analogues, oracles, pieces
+from gridloom.plans import analogues, oracles, pieces, wholes
 from tests.compare import same
 
-QUERIES, ORACLES = analogues.QUERIES | pieces.QUERIES, oracles.ORACLES | pieces.ORACLES
+QUERIES, ORACLES = analogues.QUERIES | pieces.QUERIES | wholes.QUERIES, oracles.ORACLES | pieces.ORACLES | wholes.ORACLES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
 
