@@ -3,12 +3,14 @@
 Each task gathers documents into shards of about half a million words and builds the shard's suffix array over words by prefix
 multiplication: suffixes are sorted by their first d words, the ranks of several such prefixes are packed into one 64-bit
 key, and sorting the keys gives the order by the first 2d, 3d ... words, until the order is as deep as a window. Every test
-suffix that starts a window is then binary-searched; its range in the suffix array holds all its places. contamination() counts hits, decontaminate() filters, and matches() gives
-the longest verbatim matches and where they are, from the places of all windows, extended to both sides.
+suffix that starts a window is then binary-searched; its range in the suffix array holds all its places. Places that no longer
+place precedes are extended word by word to the longest verbatim matches: matches() returns them all, contamination() counts the
+words that they hit and names the longest, decontaminate() removes the documents that have one.
 
 A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window. Words are compared
-by 64-bit hashes. Benchmark words go out in blocks of bounded size; beyond one block, passes over the documents carry the
-hits on, so nothing grows with the benchmark but their number.
+by 64-bit hashes. Benchmark words go out in blocks of bounded size, some blocks at a time, for which a shard's suffix array is
+built once; beyond that the texts are read again, and only hits are shuffled and united, so nothing grows with the benchmark
+but the number of passes.
 
 Defined cases: null texts have no words; items without words match nothing; a null item id is written `null`; rows that
 repeat are judged alike; with an empty benchmark no document is hit; an empty table gives an empty result.
@@ -16,23 +18,23 @@ repeat are judged alike; with an empty benchmark no document is hit; an empty ta
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.kernel import bounded_batches, position, tidy, utf8, word_hashes
-from gridloom.session import written
+from gridloom.llm.kernel import bounded_batches, position, row_key, tidy, utf8, word_hashes
 
 WIDTH = 10
 #: Words of a shard, and of the benchmark items that go out at once (8 bytes a word).
 SHARD_WORDS, BLOCK_WORDS = 1 << 19, 1 << 19
-#: Pairs of a text place and an item place that are looked at together.
-PAIRS = 1 << 20
+#: Pairs of a text place and an item place that are looked at together; benchmark blocks that go out together.
+PAIRS, TOGETHER = 1 << 20, 8
 
 
 @dataclass
@@ -103,17 +105,33 @@ def _compare(text: np.ndarray, at: np.ndarray, query: np.ndarray, starts: np.nda
     return out
 
 
-def find_windows(words: np.ndarray, counts: np.ndarray, w: Windows, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Shard:
+    """Documents' words one after another, and, once a window may stand in them, their suffix array, which serves all blocks."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> None:
+        self.words, self.counts, self.ends, self.width = words, counts, np.cumsum(counts), width
+        self.order: np.ndarray | None = None
+
+    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words, and the words' ranks with an end after each document (even; 0 at ends)."""
+        if self.order is None:
+            self.distinct, inverse = np.unique(self.words, return_inverse=True)
+            self.text = np.zeros(len(self.words) + len(self.counts), np.int64)
+            self.text[np.arange(len(self.words)) + np.repeat(np.arange(len(self.counts)), self.counts)] = 2 * inverse + 2
+        return self.distinct, self.text
+
+    def suffixes(self) -> np.ndarray:
+        if self.order is None:
+            self.order = suffix_array(self.text >> 1, self.width)
+        return self.order
+
+
+def find_windows(shard: Shard, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All places of all windows in a shard: word positions (documents one after another), their documents, and windows."""
     none = np.zeros(0, np.int64)
-    if not len(words) or not len(w.starts):
+    if not len(shard.words) or not len(w.starts):
         return none, none, none
-    ends = np.cumsum(counts)
-    gaps = np.arange(len(counts))
-    distinct, inverse = np.unique(words, return_inverse=True)
-    text = np.zeros(len(words) + len(counts), np.int64)
-    doc_of = np.repeat(gaps, counts)
-    text[np.arange(len(words)) + doc_of] = 2 * inverse + 2
+    distinct, text = shard.ranks()
     slot = np.searchsorted(distinct, w.words)
     known = (slot < len(distinct)) & (distinct[np.minimum(slot, len(distinct) - 1)] == w.words)
     query = np.where(known, 2 * slot + 2, 2 * slot + 1)
@@ -122,7 +140,7 @@ def find_windows(words: np.ndarray, counts: np.ndarray, w: Windows, width: int =
     live = np.flatnonzero(lacking[w.starts + w.lengths] == lacking[w.starts])
     if not len(live):
         return none, none, none
-    order = suffix_array(text >> 1, width)
+    order = shard.suffixes()
     starts, lengths = w.starts[live], w.lengths[live]
 
     def bound(side: int) -> np.ndarray:
@@ -136,46 +154,34 @@ def find_windows(words: np.ndarray, counts: np.ndarray, w: Windows, width: int =
     first, last = bound(0), bound(1)
     n = last - first
     at = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    doc = np.searchsorted(ends + gaps + 1, at, "right")
+    doc = np.searchsorted(shard.ends + np.arange(len(shard.counts)) + 1, at, "right")
     return at - doc, doc, np.repeat(live, n)
 
 
-def judge(words: np.ndarray, counts: np.ndarray, w: Windows, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words are hit, and unique pairs of (document, item) sorted by document."""
-    at, doc, window = find_windows(words, counts, w, width)
-    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + w.lengths[window], minlength=len(words) + 1) if len(at) else np.zeros(len(words) + 1, np.int64)
-    hit = np.cumsum(edge)[:-1] > 0
-    pairs = np.unique(doc * max(1, len(w.starts)) + window) if len(at) else np.zeros(0, np.int64)
-    doc, window = pairs // max(1, len(w.starts)), pairs % max(1, len(w.starts))
-    per = np.diff(w.item_ends, prepend=0)[window]
-    item = w.items[np.repeat(w.item_ends[window] - np.cumsum(per), per) + np.arange(int(per.sum()))] if len(per) else np.zeros(0, np.int64)
-    both = np.unique(np.repeat(doc, per) * max(1, len(w.names)) + item) if len(item) else np.zeros(0, np.int64)
-    return hit, both // max(1, len(w.names)), both % max(1, len(w.names))
-
-
-def longest_matches(texts: list[str | None], items: list[str | None], width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
-    """Maximal verbatim matches of at least a window: (document, word start, item, item word start, words)."""
-    words, counts = word_hashes(*utf8(pa.array(texts, pa.string())))
-    item_words, item_counts = word_hashes(*utf8(pa.array(items, pa.string())))
-    w = item_windows([str(i) for i in range(len(items))], pa.array(items, pa.string()), width)
-    at, doc, window = find_windows(words, counts, w, width)
-    starts, begin = np.cumsum(counts) - counts, np.cumsum(item_counts) - item_counts
-    out = set()
-    for p, d, v in zip(at.tolist(), doc.tolist(), window.tolist(), strict=True):
-        m = int(w.lengths[v])
-        pattern = item_words[w.starts[v] : w.starts[v] + m]
-        for i in w.items[w.item_ends[v - 1] if v else 0 : w.item_ends[v]].tolist():
-            b, e = int(begin[i]), int(begin[i] + item_counts[i])
-            for s in range(b, e - m + 1):
-                if not (item_words[s : s + m] == pattern).all():
-                    continue
-                x, y, n = p, s, m
-                while x > starts[d] and y > b and words[x - 1] == item_words[y - 1]:
-                    x, y, n = x - 1, y - 1, n + 1
-                while x + n < starts[d] + counts[d] and y + n < e and words[x + n] == item_words[y + n]:
-                    n += 1
-                out.add((d, int(x - starts[d]), i, y - b, n))
-    return sorted(out)
+@dataclass
+class Block:
+    """Some items: their windows, and every place of each window in them (see _window_places)."""
+
+    windows: Windows
+    places: tuple[np.ndarray, ...]
+
+
+def block_of(names: list[str], texts: pa.Array, width: int = WIDTH) -> Block:
+    w = item_windows(names, texts, width)
+    return Block(w, _window_places(w, texts, width))
+
+
+def judge(shard: Shard, block: Block, pairs: int = PAIRS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the documents that hold a match: their matches' items, starts, starts in the items and lengths in words."""
+    found = [x for x in _spans(shard, block.windows, block.places, pairs) if len(x[0])]
+    if not found:
+        return
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    columns = [c[order] for c in columns]
+    cut = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
+    for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        yield int(columns[0][a]), *(c[a:b] for c in columns[1:])
 
 
 def _window_places(w: Windows, texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
@@ -190,14 +196,15 @@ def _window_places(w: Windows, texts: pa.Array, width: int) -> tuple[np.ndarray,
     return np.searchsorted(flat[:, 0], np.arange(len(w.starts)), "right"), *flat[:, 1:].T
 
 
-def _spans(words: np.ndarray, counts: np.ndarray, w: Windows, places: tuple[np.ndarray, ...], width: int, pairs: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Maximal matches in a shard, some at a time: document, word start, item, item word start, words.
+def _spans(shard: Shard, w: Windows, places: tuple[np.ndarray, ...], pairs: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Maximal matches in a shard, some at a time: document, item, word start, item word start, words.
 
     Of all places of a window and of its words in items, those pairs begin a match before which the words differ or end.
     """
-    at, doc, window = find_windows(words, counts, w, width)
-    ends, (place_ends, place, item, item_start, item_end) = np.cumsum(counts), places
-    begin, per = ends - counts, np.diff(place_ends, prepend=0)[window]
+    words, ends = shard.words, shard.ends
+    at, doc, window = find_windows(shard, w)
+    place_ends, place, item, item_start, item_end = places
+    begin, per = ends - shard.counts, np.diff(place_ends, prepend=0)[window]
     total = np.cumsum(per)
     lo = 0
     while lo < len(at):  # about so many pairs at a time
@@ -213,23 +220,30 @@ def _spans(words: np.ndarray, counts: np.ndarray, w: Windows, places: tuple[np.n
             open_ = open_[(x[open_] + n[open_] < ends[d[open_]]) & (y[open_] + n[open_] < item_end[which[open_]])]
             open_ = open_[words[x[open_] + n[open_]] == w.words[y[open_] + n[open_]]]
             n[open_] += 1
-        yield d, x - begin[d], item[which], y - item_start[which], n
+        yield d, item[which], x - begin[d], y - item_start[which], n
         lo = hi
 
 
+def _groups(benchmark: DataFrame, item_id: str, item_text: str, block_words: int, width: int) -> Iterator[list[Block]]:
+    """The benchmark's blocks, TOGETHER of them at a time."""
+    blocks = (block_of(*b, width) for b in _blocks(benchmark, item_id, item_text, block_words))
+    while some := list(itertools.islice(blocks, TOGETHER)):
+        yield some
+
+
 def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS, pairs: int = PAIRS) -> DataFrame:
     """All maximal verbatim matches of at least a window: doc_id, word_start, item_id, item_word_start, words; places from 0."""
     bounded_batches(df.sparkSession)
-    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
-    for names, texts in _blocks(benchmark, item_id, item_text, block_words):
-        w = item_windows(names, texts, width)
+    for blocks in _groups(benchmark, item_id, item_text, block_words, width):
 
-        def run(batches: Iterator[pa.RecordBatch], w: Windows = w, places: tuple[np.ndarray, ...] = _window_places(w, texts, width)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks: list[Block] = blocks) -> Iterator[pa.RecordBatch]:
             for held, words, counts in _shards(batches, 1):
-                ids = pa.concat_arrays([batch.column(0) for batch in held])
-                for d, start, item, item_start, n in _spans(words, counts, w, places, width, pairs):
-                    yield pa.record_batch([ids.take(pa.array(d)), pa.array(start), pa.array([w.names[i] for i in item.tolist()], pa.string()), pa.array(item_start), pa.array(n)], names=["doc_id", "word_start", "item_id", "item_word_start", "words"])
+                ids, shard = pa.concat_arrays([batch.column(0) for batch in held]), Shard(words, counts, width)
+                for block in blocks:
+                    for d, item, start, item_start, n in _spans(shard, block.windows, block.places, pairs):
+                        yield pa.record_batch([ids.take(pa.array(d)), pa.array(start), pa.array([block.windows.names[i] for i in item.tolist()], pa.string()), pa.array(item_start), pa.array(n)], names=["doc_id", "word_start", "item_id", "item_word_start", "words"])
 
         part = base.mapInArrow(tidy(run), "doc_id long, word_start long, item_id string, item_word_start long, words long")
         out = part if out is None else out.unionAll(part)
@@ -237,7 +251,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[tuple[list[str], pa.Array]]:
-    base = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, -(-size // (4 * block_words)))
     for b in range(number):
@@ -259,67 +273,94 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list
         yield held, np.concatenate(words), np.concatenate(counts)
 
 
+_HITS = "doc_id long, key binary, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest struct<back:long,item:string,start:long,item_start:long>"
+
+
+def _found(shard: Shard, blocks: list[Block]) -> dict[int, tuple[list[tuple[int, int]], list[str], tuple[int, str, int, int]]]:
+    """Of each document with a match: hit spans that are apart, items, and the longest match, of equals the first by item and places."""
+    out: dict[int, tuple] = {}
+    for block in blocks:
+        names = block.windows.names
+        for doc, item, start, item_start, n in judge(shard, block):
+            spans, items, best = out.get(doc, ([], set(), None))
+            spans = _apart([*spans, *zip(start.tolist(), (start + n).tolist(), strict=True)])
+            items |= {names[i] for i in np.unique(item).tolist()}
+            longest = int(n.max())
+            for i, s, t in zip(*(c[n == longest].tolist() for c in (item, start, item_start)), strict=True):
+                this = (-longest, names[i], s, t)
+                best = this if best is None else min(best, this)
+            out[doc] = spans, items, best
+    return {d: (spans, sorted(items), best) for d, (spans, items, best) in out.items()}
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(base: DataFrame, blocks: list[Block], width: int, every: bool) -> DataFrame:
+    """Rows of _HITS: of the documents that the blocks' windows stand in, or of every one. base: doc_id, key, text."""
+    names = [x.split()[0] for x in _HITS.split(", ")]
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    best = pa.struct([("back", pa.int64()), ("item", pa.string()), ("start", pa.int64()), ("item_start", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, words, counts in _shards(batches, 2):
+            found = _found(Shard(words, counts, width), blocks)
+            at = pa.array(range(len(counts)) if every else list(found), pa.int64())
+            rows = [found.get(i) for i in at.to_pylist()]
+            spans = pa.array([r and [{"start": a, "end": b} for a, b in r[0]] for r in rows], span)
+            longest = pa.array([r and dict(zip(("back", "item", "start", "item_start"), r[2], strict=True)) for r in rows], best)
+            ids, keys = (pa.concat_arrays([batch.column(k) for batch in held]).take(at) for k in (0, 1))
+            yield pa.record_batch([ids, keys, pa.array(counts, pa.int64()).take(at), spans, pa.array([r and r[1] for r in rows], pa.list_(pa.string())), longest], names=names)
+
+    return base.mapInArrow(tidy(run), _HITS)
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, and the longest verbatim match:
+    longest_words (0 without one), longest_item, longest_start and longest_item_start (words from 0; of equal ones the first
+    by item and places).
+
+    Texts are read once for each group of benchmark blocks and never shuffled or written: of groups beyond the first only the
+    hits are, which join the documents' rows by a key of 16 bytes.
+    """
     bounded_batches(df.sparkSession)
-    state = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    blocks = _blocks(benchmark, item_id, item_text, block_words)
-    block = next(blocks)
-    while True:
-        after = next(blocks, None)
-        run = _pass(item_windows(*block, width), width, last=after is None)
-        if after is None:
-            return state.mapInArrow(tidy(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
-        state, block = written(state.mapInArrow(tidy(run), state.schema), "decontam"), after
-
-
-def _pass(w: Windows, width: int, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, words, counts in _shards(batches, 1):
-            hit, doc, item = judge(words, counts, w, width)
-            ends = np.cumsum(counts)
-            cut = np.searchsorted(doc, np.arange(len(counts) + 1))
-            row = 0
-            for batch in held:
-                before_hits, before_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                n = counts[row : row + batch.num_rows]
-                hits, items, n_hit = [], [], []
-                for i in range(batch.num_rows):
-                    a, b = cut[row + i], cut[row + i + 1]
-                    own = [w.names[j] for j in item[a:b].tolist()]
-                    if before_hits[i] is not None or not last:
-                        mine = hit[ends[row + i] - n[i] : ends[row + i]]
-                        if before_hits[i] is not None:
-                            mine = mine | np.unpackbits(np.frombuffer(before_hits[i], np.uint8), count=int(n[i])).astype(bool)
-                        hits.append(np.packbits(mine).tobytes())
-                        n_hit.append(int(mine.sum()))
-                    else:
-                        n_hit.append(int(hit[ends[row + i] - n[i] : ends[row + i]].sum()) if a < b else 0)
-                    items.append(sorted(set(own) | set(before_items[i] or [])))
-                row += batch.num_rows
-                ids = batch.column(0)
-                kind = pa.list_(pa.string())
-                if last:
-                    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                    yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(items, kind)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-                else:
-                    yield pa.record_batch([ids, batch.column(1), pa.array(hits, pa.binary()), pa.array(items, kind)], names=["doc_id", "text", "hits", "items"])
-
-    return run
+    groups = _groups(benchmark, item_id, item_text, block_words, width)
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = _hits(base, next(groups), width, True)
+    if more := [_hits(base, blocks, width, False) for blocks in groups]:
+        # a document has a row for each group at most, but for rows that repeat
+        others = reduce(DataFrame.unionAll, more).drop("doc_id", "n_words").distinct()
+        others = others.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"), F.min("longest").alias("more_longest"))
+        joined = lambda c: F.concat(*(F.coalesce(F.col(x), F.array().cast(out.schema[c].dataType)) for x in (c, f"more_{c}")))
+        out = out.join(others, "key", "left").withColumns({"spans": F.array_sort(joined("spans")), "items": F.array_sort(F.array_distinct(joined("items"))), "longest": F.least("longest", "more_longest")})
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    length = F.aggregate("spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["start"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")), lambda s: s["n"])
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", F.coalesce(length, F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size(items) > 0).alias("contaminated"),
+        items.alias("items"), F.coalesce(-F.col("longest.back"), F.lit(0)).cast("long").alias("longest_words"), F.col("longest.item").alias("longest_item"), F.col("longest.start").alias("longest_start"), F.col("longest.item_start").alias("longest_item_start"),
+    )
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """df without its contaminated rows; all columns stay as they are. One filtering pass for each benchmark block."""
+    """df without its contaminated rows, those that hold a match; all columns stay as they are. One filtering pass for each group of benchmark blocks."""
     bounded_batches(df.sparkSession)
     at = position(text_col, df.columns)
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        w = item_windows(*block, width)
+    for blocks in _groups(benchmark, item_id, item_text, block_words, width):
 
-        def run(batches: Iterator[pa.RecordBatch], w: Windows = w) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks: list[Block] = blocks) -> Iterator[pa.RecordBatch]:
             for held, words, counts in _shards(batches, at):
-                _, doc, _ = judge(words, counts, w, width)
-                keep = np.ones(len(counts), bool)
-                keep[doc] = False
+                shard, keep = Shard(words, counts, width), np.ones(len(counts), bool)
+                for block in blocks:
+                    for found in _spans(shard, block.windows, block.places, PAIRS):
+                        keep[found[0]] = False
                 row = 0
                 for batch in held:
                     yield batch.filter(pa.array(keep[row : row + batch.num_rows]))

@@ -46,7 +46,7 @@ OP2 = f"""
 with item as (
     select item_id, {_words("text")} as w from benchmark
 ), window_of as (
-    select item_id, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as gram, least(len(w), 10) as m
+    select item_id, i - 1 as j, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as gram, least(len(w), 10) as m
     from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item where len(w) > 0)
 ), doc as (
     select doc_id, {_words("text")} as w from documents
@@ -54,16 +54,21 @@ with item as (
     select doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as gram
     from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from doc, (select distinct m from window_of) where len(w) >= m)
 ), found as (
-    select p.doc_id, p.i, p.m, item_id from place p join window_of x on p.gram = x.gram and p.m = x.m
+    select p.doc_id, p.i, p.m, item_id, j from place p join window_of x on p.gram = x.gram and p.m = x.m
 ), hit as (
     select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(i, i + m)) as word from found) group by doc_id
 ), items as (
     select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
     from (select distinct doc_id, item_id::varchar as id from found) group by doc_id
+), run as (
+    select doc_id, item_id::varchar as item, min(i) - 1 as start, min(j) as item_start, max(m) + count(*) - 1 as words
+    from (select *, i - row_number() over (partition by doc_id, item_id, i - j order by i) as island from (select distinct * from found)) group by doc_id, item_id, i - j, island
+), best as (
+    select doc_id, item, start, item_start, words from run qualify row_number() over (partition by doc_id order by words desc, item, start, item_start) = 1
 )
-select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+select doc_id, coalesce(best.words, 0)::bigint as longest_words, best.item as longest_item, best.start::bigint as longest_start, best.item_start::bigint as longest_item_start, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
     sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from doc left join hit using (doc_id) left join items using (doc_id)
+from doc left join hit using (doc_id) left join items using (doc_id) left join best using (doc_id)
 """
 
 def _phrase_rows() -> str:

@@ -75,6 +75,10 @@ def test_contamination(spark, block_words):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contamination(docs(spark, texts), b, block_words=block_words).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == brute_contamination(texts, items)
+    every = decontam.matches(docs(spark, texts), b, block_words=block_words).collect()
+    for r in got:
+        best = min(((-m.words, m.item_id, m.word_start, m.item_word_start) for m in every if m.doc_id == r.doc_id), default=(0, None, None, None))
+        assert (-r.longest_words, r.longest_item, r.longest_start, r.longest_item_start) == best
     kept = decontam.decontaminate(docs(spark, texts), b, block_words=block_words)
     assert sorted(r.doc_id for r in kept.collect()) == [r.doc_id for r in got if not r.contaminated] and kept.columns == docs(spark, []).columns
 
@@ -93,11 +97,6 @@ def test_suffix_array_is_sorted():
     assert sorted(order.tolist()) == list(range(300)) and all(a[:10] <= b[:10] or a[0] == 0 for a, b in zip(keys, keys[1:], strict=False))
 
 
-def test_longest_matches():
-    m = decontam.longest_matches(["z a b c d e f q"], ["x a b c d e f y"], width=3)
-    assert m == [(0, 1, 0, 1, 6)]
-
-
 @pytest.mark.parametrize(("block_words", "pairs"), [(1 << 19, 1 << 20), (16, 1)])
 def test_distributed_matches(spark, block_words, pairs):
     rng = random.Random(3)
