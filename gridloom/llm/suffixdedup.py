@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.kernel import bounded_batches, free_name, splitmix, tidy, utf8
-from gridloom.session import written
+from gridloom.session import settled, written
 
 LENGTH, GRAM = 100, 32
 #: Window starts that are hashed at a time, bytes of runs that are sorted at a time, different runs of an anchor beyond which it is dealt out.
@@ -400,7 +400,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeats = written(placed, "repeats")
 
     shared = repeats.filter("kind = 0")
-    dealt = shared.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > most_runs).select("h", F.lit(True).alias("dealt"))
+    dealt = settled(shared.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > most_runs).select("h", F.lit(True).alias("dealt")), "dealt")
     by_doc = shared.join(dealt, "h", "left").withColumn("dealt", F.coalesce("dealt", F.lit(False))).groupBy("id", "sub").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "dealt")).alias("runs"))
     pieces = base.join(by_doc, ["id", "sub"]).select("id", "sub", F.col("text").cast("binary"), "runs").mapInArrow(tidy(_cut(length)), _CUT)
     judged = written(pieces.repartition("bucket").sortWithinPartitions("bucket", "id", "sub", "lo").mapInArrow(tidy(_sort(length, sort_bytes)), f"kind int, {_RUN}"), "windows")
