@@ -7,7 +7,9 @@ are verified on their full sets.
 
 Pairs are never rows. Each bucket links its members to its smallest member; components of those links hold all candidate
 pairs. Components are dealt to tasks whole, or, beyond a size, as all pairs of blocks of bounded size, where the texts'
-sets are compared and each set's links are counted. Components of verified links are the classes.
+sets are compared and each set's links are counted. Where a component has more blocks than there are bands, its buckets are dealt
+out instead (in blocks too, if need be), so a text is sent once a band and not once a block; a pair counts in the first band that
+it shares. Components of verified links are the classes.
 
 Defined cases: a null text, or one without words, is its own class and links nothing; equal rows are copies and link each
 other; a null id counts as a document, and a class of null ids only has a null class_id; an empty table gives an empty
@@ -29,8 +31,9 @@ from gridloom.llm.kernel import bounded_batches, free_name, give_back, row_key,
 from gridloom.session import written
 
 WIDTH, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 64
-#: Sets and set elements in a block of a large component; rows up to which a table is broadcast (about 100 bytes each).
-BLOCK_SETS, BLOCK_ELEMENTS, BROADCAST_ROWS = 1024, 1 << 21, 300_000
+#: Sets of small components that are compared together; sets and set elements in a block of a large one; rows up to which a
+#: table is broadcast (about 100 bytes each).
+BIN_SETS, BLOCK_SETS, BLOCK_ELEMENTS, BROADCAST_ROWS = 512, 8192, 1 << 21, 300_000
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
@@ -100,10 +103,11 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     return base.mapInArrow(tidy(run), "doc_id long, row_key binary, fp binary, n long, bands array<long>")
 
 
-def compare(fps: list[bytes], mult: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> Iterator[tuple[bytes, int, bytes]]:
+def compare(fps: list[bytes], mult: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, threshold: float, band: int = -1) -> Iterator[tuple[bytes, int, bytes]]:
     """Verified links among some sets: (fp, linked documents of other sets, root) of each set that has one.
 
-    With `side`, only sets of different sides are compared. Candidates share a band hash and pass the length filter.
+    With `side`, only sets of different sides are compared. Candidates share a band hash, or have `band` as the first one that
+    they share, and pass the length filter.
     """
     m = len(fps)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -121,7 +125,8 @@ def compare(fps: list[bytes], mult: np.ndarray, bands: np.ndarray, sets: list[np
     mark = np.zeros(len(distinct), bool)
     for i in range(m):
         j = np.arange(i + 1, m)
-        ok = (bands[i + 1 :] == bands[i]).any(axis=1)
+        alike = bands[i + 1 :] == bands[i]
+        ok = alike.any(axis=1) if band < 0 else alike[:, band] & ~alike[:, :band].any(axis=1)
         ok &= np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9
         if side is not None:
             ok &= side[i + 1 :] != side[i]
@@ -156,7 +161,7 @@ def _sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, most_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, row_key, fp, n; groups: fp, root, links, mult of the sets that have links or copies)."""
     bands, rows = bands_for(threshold, recall)
     docs = written(sketches(df, id_col, text_col, width, bands, rows), "sketches")
@@ -166,15 +171,23 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     stars = in_band.join(heads, ["band", "hash"]).filter("fp <> head").select("fp", "head")
     comp = components(stars, "fp", "head").select(F.col("node").alias("fp"), F.col("root").alias("comp"))
     members = written(comp.join(sets, "fp"), "members")
-    per_comp = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
-    per_comp = per_comp.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("elements") / BLOCK_ELEMENTS)).cast("int"))
+    parts = lambda: F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS))).cast("int").alias("blocks")
+    per_comp = members.groupBy("comp").agg(parts())
     total = members.agg(F.count("*"), F.sum("n")).first()
-    bins = max(1, total[0] // (BLOCK_SETS // 2), (total[1] or 0) // (BLOCK_ELEMENTS // 2))
-    members = members.join(_sized(per_comp.select("comp", "blocks").filter("blocks > 1")), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("block", block).withColumn("other", other)
-    dealt = dealt.select("fp", "mult", "row_key", "bands", "block", F.when(F.col("blocks") > 1, F.concat_ws(":", F.hex("comp"), F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.concat(F.lit("bin"), F.pmod(F.xxhash64("comp"), F.lit(bins)))).alias("task"), (F.col("blocks") > 1).alias("split"), (F.col("block") != F.col("other")).alias("cross"))
+    bins = max(1, total[0] // BIN_SETS, (total[1] or 0) // (BLOCK_ELEMENTS // 2))
+    members = members.join(_sized(written(per_comp.filter("blocks > 1"), "large")), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    by_band = F.col("blocks") > (most_blocks or bands)
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pair = [F.least("block", "other"), F.greatest("block", "other")]
+    split, cross = (F.col("blocks") > 1).alias("split"), (F.col("block") != F.col("other")).alias("cross")
+    whole = members.filter(~by_band).select("*", block, other)
+    whole = whole.select("fp", "mult", "row_key", "bands", "block", F.when(F.col("blocks") > 1, F.concat_ws(":", F.hex("comp"), *pair)).otherwise(F.concat(F.lit("bin"), F.pmod(F.xxhash64("comp"), F.lit(bins)))).alias("task"), split, cross, F.lit(-1).alias("band"))
+    buckets = members.filter(by_band).drop("blocks").select("*", F.posexplode("bands").alias("band", "hash"))
+    per_bucket = buckets.groupBy("band", "hash").agg(F.count("*").alias("size"), parts()).filter("size > 1").drop("size")
+    buckets = buckets.join(per_bucket, ["band", "hash"]).select("*", block, other)
+    buckets = buckets.select("fp", "mult", "row_key", "bands", "block", F.concat_ws(":", F.lit("band"), "band", "hash", *pair).alias("task"), F.lit(True).alias("split"), cross, "band")
+    dealt = whole.unionAll(buckets)
     texts = df.select(row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with_text = texts.join(_sized(written(dealt, "dealt")), "row_key")
 
@@ -190,7 +203,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 keep.append(i)
         side = table["block"].to_numpy()[keep]
         cross = bool(table["cross"][0].as_py())  # even if one of the two blocks is empty
-        found = list(compare([wanted[i] for i in keep], table["mult"].to_numpy()[keep], np.array(table["bands"].to_pylist(), np.int64)[keep], [grams[ends[i] - counts[i] : ends[i]] for i in keep], side if cross else None, threshold))
+        found = list(compare([wanted[i] for i in keep], table["mult"].to_numpy()[keep], np.array(table["bands"].to_pylist(), np.int64)[keep], [grams[ends[i] - counts[i] : ends[i]] for i in keep], side if cross else None, threshold, int(table["band"][0].as_py())))
         give_back()
         return pa.table([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))] + [pa.array([bool(table["split"][0].as_py())] * len(found), pa.bool_())], names=["fp", "links", "root", "split"])
 

@@ -220,16 +220,30 @@ def near_texts():
     return texts + [texts[0], texts[0].upper(), "tiny text", "Tiny, text!", None, "", "!!", None]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_join(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, most_blocks", [(1024, None), (3, None), (3, 1)])
+def test_join(spark, monkeypatch, block, most_blocks):
     monkeypatch.setattr(neardup, "BLOCK_SETS", block)
     texts = near_texts()
-    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_join(docs(spark, texts)).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_join(docs(spark, texts), most_blocks=most_blocks).collect()}
     assert got == dict(enumerate(brute_join(texts)))
-    kept = neardup.keep_one(docs(spark, texts))
+    kept = neardup.keep_one(docs(spark, texts), most_blocks=most_blocks)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in got.values()}) and kept.columns == docs(spark, []).columns
 
 
+def test_join_of_many_near_equal_texts(spark, monkeypatch):
+    """Every pair is similar: no link is lost or counted twice, whichever way the component is dealt."""
+    rng, base, n = random.Random(8), [f"w{i}" for i in range(200)], 1200
+    texts = []
+    for k in range(n):
+        w = list(base)
+        w[rng.randrange(200)] = f"new{k}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 250)
+    for most_blocks in (None, 2):
+        got = neardup.jaccard_join(docs(spark, texts), most_blocks=most_blocks).collect()
+        assert {(r.class_id, r.n_links) for r in got} == {(0, n - 1)} and len(got) == n
+
+
 def test_join_of_repeated_rows_and_nulls(spark):
     t = "one two three four five six seven"
     df = docs(spark, [t, t, t, "other words entirely here now yes", None], ids=[3, 3, None, 4, None])
