@@ -106,6 +106,20 @@ def read_cells(spark: SparkSession, path: str, aoi: str | None = None) -> DataFr
     return cells if aoi is None else cells.filter(F.col("aoi") == aoi)
 
 
+def _numbered_lines(spark: SparkSession, path: str, keep) -> DataFrame:
+    """(line, nth) of a file's lines for which keep(value) holds, numbered from 0 in the file's order.
+
+    Lines are read in blocks in parallel; each block's lines are counted and the counts added up over the blocks, so no task
+    sees all lines.
+    """
+    lines = spark.read.text(path).withColumn("at", F.col("_metadata.file_block_start")).withColumn("id", F.monotonically_increasing_id())
+    lines = lines.withColumns({"block": F.shiftright("id", 33), "place": F.col("id").bitwiseAND((1 << 33) - 1)}).filter(keep(F.col("value")))
+    per = lines.groupBy("block").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    before = per.select("block", (F.sum("n").over(Window.orderBy("at", "block")) - F.col("n")).alias("before"))  # one row per block of a file
+    inside = F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
+    return lines.withColumn("inside", inside).join(sized(before), "block").select(F.col("value").alias("line"), (F.col("before") + F.col("inside")).alias("nth"))
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """SRC-1: an ESRI ASCII raster: (row, col, value) without no-data cells, and its header. Lines are read in parallel."""
     head = {}
@@ -114,21 +128,34 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         if len(parts) != 2 or not parts[0][0].isalpha():
             break
         head[parts[0].lower()] = float(parts[1])
-    lines = spark.read.option("wholetext", False).text(path).withColumn("at", F.col("_metadata.file_block_start")).withColumn("id", F.monotonically_increasing_id())
-    # each block's lines are counted, the counts added up over the blocks: no task sees all lines
-    lines = lines.withColumns({"block": F.shiftright("id", 33), "nth": F.col("id").bitwiseAND((1 << 33) - 1), "data": ~F.col("value").rlike("^\\s*[A-Za-z]")})
-    per = lines.groupBy("block").agg(F.min("at").alias("at"), F.count_if("data").alias("n"), F.count_if(~F.col("data")).alias("heads"))
-    before = per.select("block", "heads", (F.sum("n").over(Window.orderBy("at", "block")) - F.col("n")).alias("before"))
-    values = lines.filter("data").join(sized(before), "block")  # one row per block of a file
-    rows = values.select((F.col("before") + F.col("nth") - F.col("heads")).cast("int").alias("row"), F.split(F.trim("value"), "\\s+").alias("v"))
+    rows = _numbered_lines(spark, path, lambda v: ~v.rlike("^\\s*[A-Za-z]")).select(F.col("nth").cast("int").alias("row"), F.split(F.trim("line"), "\\s+").alias("v"))
     out = rows.select("row", F.posexplode("v").alias("col", "text")).select("row", "col", F.col("text").try_cast("double").alias("value"))
     return out.filter((F.col("value") != head.get("nodata_value", float("nan"))) & F.col("value").isNotNull()), head
 
 
+#: A feature that fills a line of a GeoJSON document, and what else its lines may hold: the collection's head and end.
+_FEATURE_LINE = r'^\s*\{.*"geometry".*\}\s*,?\s*$'
+_OTHER_LINE = r'^\s*$|^\s*[\]\}][\s\]\},]*$|^\s*\{?\s*$|^\s*\{?\s*"(type|name|crs|features|bbox|xy_coordinate_resolution)"\s*:'
+
+
+def _feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, f): the features of a GeoJSON document as JSON texts.
+
+    Documents with a feature to a line, as the usual tools write them, are read in blocks by all tasks, features being found
+    where lines end; others, on one line or over many, by one task.
+    """
+    lines = spark.read.text(path)
+    feature = lambda v: v.rlike(_FEATURE_LINE) & ~v.rlike(r'"features"\s*:\s*\[') & (F.get_json_object(F.regexp_replace(v, r",\s*$", ""), "$.geometry").isNotNull() | v.rlike(r'"geometry"\s*:\s*null'))
+    found = lines.agg(F.count_if(feature(F.col("value"))).alias("features"), F.count_if(~feature(F.col("value")) & ~F.col("value").rlike(_OTHER_LINE)).alias("others"), F.count_if(F.col("value").rlike(r'"features"\s*:\s*\[') & F.col("value").rlike('"geometry"')).alias("joined")).first()
+    if found["features"] and not found["others"] and not found["joined"]:
+        return _numbered_lines(spark, path, feature).select(F.col("nth").alias("seq"), F.regexp_replace("line", r",\s*$", "").alias("f"))
+    doc = spark.read.text(path, wholetext=True)
+    return doc.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("seq", "f"))
+
+
 def read_geojson(spark: SparkSession, path: str, value: str | None = None, fclass: str = "fclass", layer: str = "layer") -> DataFrame:
     """SRC-2: features of a GeoJSON document as the feature table; points, lines, polygons and their multiples."""
-    doc = spark.read.option("wholetext", True).text(path)
-    items = doc.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("seq", "f"))
+    items = _feature_texts(spark, path)
     kind = F.get_json_object("f", "$.geometry.type")
     raw = F.get_json_object("f", "$.geometry.coordinates")
     pt = "array<double>"
