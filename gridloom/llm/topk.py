@@ -142,7 +142,7 @@ def top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_c
     is bounded; every block scans the candidates once and each task returns at most k + 1 rows a query.
     """
     spark = df.sparkSession
-    base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     asked = base.filter(is_query)
     total = asked.count()
     schema = "query long, query_id long, self long, vec_id long, score long"

@@ -237,3 +237,21 @@ def test_op12_brute_force(spark):
     got = sorted(tuple(r) for r in queries.QUERIES["op12_suffix_dedup"](spark, SF).collect())
     assert got == repeats([(r["doc_id"], r["text"]) for r in t], 100)
     assert sum(r[2] for r in got) > 0
+
+
+def test_columns_with_dots(spark):
+    """Names that need quoting, in operators that take names."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import decontam, licenses, sharding, topk
+
+    df = spark.createDataFrame([(1, "mit license and ten words of a test item that is long enough"), (2, "other")], "`a.id` long, `a.text` string")
+    items = spark.createDataFrame([(7, "words of a test item that is long enough indeed")], "`b.id` long, `b.text` string")
+    names = dict(id_col="a.id", text_col="a.text")
+    assert [r.labels for r in licenses.scan(df, **names).orderBy("doc_id").collect()] == ["mit", ""]
+    assert sharding.assign_shards(df, key="a.id", text="a.text").count() == 2
+    assert decontam.contamination(df, items, **names, item_id="b.id", item_text="b.text").count() == 2
+    assert decontam.matches(df, items, **names, item_id="b.id", item_text="b.text", width=5).select("doc_id", "words").collect() == [(1, 9)]
+    assert suffixdedup.suffix_dedup(df, **names).count() == 2
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "`v.id` long, `v.e` array<double>")
+    assert [r.vec_id for r in topk.top_k(vectors, F.col("`v.id`") == 1, id_col="v.id", vector_col="v.e").collect()] == [2]
