@@ -109,21 +109,25 @@ def pivot_radii(kpis: DataFrame, radii, key: str = "project_id") -> DataFrame:
 def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str = "site_id", layer: str = "layer", layers: list[str] = (), distance=haversine_km) -> DataFrame:
     """JON-10: per point and target layer the distance to the nearest target and the numbers within the radii.
 
-    One join within the largest radius counts, and finds the nearest target of most points; the others, written once, search
-    the tree of cubes. Layers without targets, and points without a place, have null and 0; targets without a place count nowhere.
+    Distances are between distinct places: targets of one layer and place are one row with their number, points of one place
+    one row that its points read. One join within the largest radius counts, and finds the nearest target of most places; the
+    others, written once, search the tree of cubes. Layers without targets, and points without a place, have null and 0;
+    targets without a place count nowhere.
     """
     layers = list(layers) or [r[0] for r in targets.select(layer).distinct().orderBy(layer).collect()]
     p = points.select(F.col(key).alias("__k"), F.col("lon").cast("double").alias("p_lon"), F.col("lat").cast("double").alias("p_lat"))
-    t = targets.select(F.col(layer).alias("__l"), F.col("lon").cast("double").alias("t_lon"), F.col("lat").cast("double").alias("t_lat")).filter(F.col("__l").isin(layers))
+    t = targets.select(F.col(layer).alias("__l"), F.col("lon").cast("double").alias("t_lon"), F.col("lat").cast("double").alias("t_lat")).filter(F.col("__l").isin(layers)).groupBy("__l", "t_lon", "t_lat").agg(F.count("*").alias("__n"))
     kms = [float(r) for r in radii]
-    near = radius_pairs(p, t, max(kms), distance)
+    places = p.select("p_lon", "p_lat").distinct()
+    near = radius_pairs(places, t, max(kms), distance)
     names = {la: f"dist_km_nearest_{la}" for la in layers}
-    counts = near.groupBy("__k").agg(*(F.count_if((F.col("__l") == la) & (F.col("dist_km") <= r)).alias(f"count_{la}_le{r:g}km") for la in layers for r in kms), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(n) for la, n in names.items()))
-    out = written(p.join(counts, "__k", "left"), "nearest")
-    far = reduce(lambda a, b: a.unionByName(b), (out.filter(F.col(n).isNull()).select("__k", "p_lon", "p_lat") for n in names.values())).distinct()
+    counts = near.groupBy("p_lon", "p_lat").agg(*(F.sum(F.when((F.col("__l") == la) & (F.col("dist_km") <= r), F.col("__n"))).alias(f"count_{la}_le{r:g}km") for la in layers for r in kms), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(n) for la, n in names.items()))
+    out = written(places.join(counts, ["p_lon", "p_lat"], "left").withColumn("__place", F.monotonically_increasing_id()), "nearest")
+    far = out.filter(reduce(lambda a, b: a | b, (F.col(n).isNull() for n in names.values()))).select(F.col("__place").alias("__k"), "p_lon", "p_lat")
     if not far.isEmpty():
-        best = nearest(far, t, distance).groupBy("__k").agg(*(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"__d_{n}") for la, n in names.items()))
-        out = out.join(best, "__k", "left").withColumns({n: F.coalesce(n, f"__d_{n}") for n in names.values()})
+        best = nearest(far, t, distance).groupBy(F.col("__k").alias("__place")).agg(*(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"__d_{n}") for la, n in names.items()))
+        out = out.join(best, "__place", "left").withColumns({n: F.coalesce(n, f"__d_{n}") for n in names.values()})
+    out = p.join(out.drop("__place"), ["p_lon", "p_lat"], "left")
     zero = {f"count_{la}_le{r:g}km": 0 for la in layers for r in kms}
     cols = [F.col("__k").alias(key), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"), *names.values(), *zero]
     return out.fillna(zero).select(*cols)

@@ -29,6 +29,34 @@ def test_nearest_and_counts_by_brute_force(spark):
             assert r[f"dist_km_nearest_{la}"] == pytest.approx(min(d)) and [r[f"count_{la}_le{k}km"] for k in (1, 3)] == [sum(x <= k for x in d) for k in (1, 3)]
 
 
+def test_pairs_are_between_distinct_places(spark, monkeypatch):
+    """Copies of a place are counted, not measured again; copies at the far end search the tree once."""
+    p = [(k, 10.0 + k % 3 * 0.01, -10.0) for k in range(90)] + [(90, None, -10.0), (91, None, -10.0)]
+    t = [("gov" if k % 2 else "wb", 10.0 + k % 5 * 0.01, -10.0) for k in range(400)] + [("oth", 40.0, 20.0)] * 7
+    points, goals = spark.createDataFrame(p, "site_id int, lon double, lat double"), spark.createDataFrame(t, "layer string, lon double, lat double")
+    rows, pairs, search = [], distance.radius_pairs, distance.nearest
+
+    def counted(*args):
+        out = pairs(*args)
+        rows.append(out.count())
+        return out
+
+    def searched(far, targets, measure):
+        rows.append(far.count())
+        return search(far, targets, measure)
+
+    monkeypatch.setattr(distance, "radius_pairs", counted)
+    monkeypatch.setattr(distance, "nearest", searched)
+    got = {r.site_id: r for r in distance.nearest_and_counts(points, goals, (2.0, 9.0), layers=["gov", "wb", "oth"]).collect()}
+    assert len(got) == 92 and rows == [3 * 10, 4]
+    for k, lon, _ in p[:90]:
+        for la in ("gov", "wb"):
+            assert [got[k][f"count_{la}_le{r}km"] for r in (2, 9)] == [sum(x == la and abs(at - lon) < w for x, at, _ in t) for w in (0.015, 1.0)]
+            assert got[k][f"dist_km_nearest_{la}"] == 0.0
+        assert got[k].dist_km_nearest_oth > 1000 and got[k].count_oth_le9km == 0
+    assert got[90].count_gov_le9km == got[91].count_gov_le9km == 0 and got[91].dist_km_nearest_oth is None
+
+
 def relaxed(f, start, dy, dx, cutoff):
     """Least minutes by relaxing all pairs of neighbours until nothing falls."""
     best = {start: 0.0} if start in f else {}
