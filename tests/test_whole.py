@@ -57,6 +57,27 @@ def test_pairs_are_between_distinct_places(spark, monkeypatch):
     assert got[90].count_gov_le9km == got[91].count_gov_le9km == 0 and got[91].dist_km_nearest_oth is None
 
 
+@needs_tables
+def test_table_s4_of_copies(spark, monkeypatch, tmp_path):
+    """Six copies of both tables with keys shifted by a multiple of all moduli: the same places, six times the projects."""
+    for name, key in (("supplier", "s_suppkey"), ("part", "p_partkey")):
+        copies = spark.read.parquet(f"{SF}/{name}.parquet").crossJoin(spark.range(6).toDF("copy"))
+        copies.withColumn(key, copies[key] + copies["copy"] * 600_000).drop("copy").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows, pairs = [], distance.radius_pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(distance, "radius_pairs", counted)
+    one, six = (distance.nearest_and_counts(sites(spark, d), targets(spark, d), (3.0,), layers=["gov", "wb", "oth"]) for d in (SF, str(tmp_path)))
+    most = sorted(((-r.count_gov_le3km - r.count_wb_le3km - r.count_oth_le3km, r.site_id) for r in one.collect()))
+    assert rows[0] == rows[1] > 0
+    want = sorted((6 * n, k + 600_000 * i) for n, k in most for i in range(6))[:10]
+    assert [(-r.projects, r.site_id) for r in QUERIES["table_s4"](spark, str(tmp_path)).collect()] == want and six.count() == 6 * len(most)
+
+
 def relaxed(f, start, dy, dx, cutoff):
     """Least minutes by relaxing all pairs of neighbours until nothing falls."""
     best = {start: 0.0} if start in f else {}
