@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import chord, finite_points, haversine_km, unit_vector
@@ -106,6 +106,28 @@ def pivot_radii(kpis: DataFrame, radii, key: str = "project_id") -> DataFrame:
     return kpis.groupBy(key).agg(*(F.max(F.when(F.col("radius_km") == float(r), F.col(m))).alias(f"{m}_{r:g}km") for r in radii for m in metrics))
 
 
+def _places(points: DataFrame, targets: DataFrame, key: str, layer: str, layers: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points as __k and place, their distinct places, and targets as layer, place and number of copies."""
+    p = points.select(F.col(key).alias("__k"), F.col("lon").cast("double").alias("p_lon"), F.col("lat").cast("double").alias("p_lat"))
+    t = targets.select(F.col(layer).alias("__l"), F.col("lon").cast("double").alias("t_lon"), F.col("lat").cast("double").alias("t_lat")).filter(F.col("__l").isin(layers)).groupBy("__l", "t_lon", "t_lat").agg(F.count("*").alias("__n"))
+    return p, p.select("p_lon", "p_lat").distinct(), t
+
+
+def _counts(layers: list[str], kms: list[float]) -> dict[str, Column]:
+    """The numbers of targets of a place's pairs, by the names of their columns."""
+    return {f"count_{la}_le{r:g}km": F.sum(F.when((F.col("__l") == la) & (F.col("dist_km") <= r), F.col("__n"))) for la in layers for r in kms}
+
+
+def counts_within(points: DataFrame, targets: DataFrame, radii, key: str = "site_id", layer: str = "layer", layers: list[str] = (), distance=haversine_km) -> DataFrame:
+    """The counts of nearest_and_counts alone: one join within the largest radius, no search beyond it, nothing written."""
+    layers = list(layers) or [r[0] for r in targets.select(layer).distinct().orderBy(layer).collect()]
+    p, places, t = _places(points, targets, key, layer, layers)
+    kms = [float(r) for r in radii]
+    counts = _counts(layers, kms)
+    near = radius_pairs(places, t, max(kms), distance).groupBy("p_lon", "p_lat").agg(*(n.alias(c) for c, n in counts.items()))
+    return p.join(near, ["p_lon", "p_lat"], "left").fillna(dict.fromkeys(counts, 0)).select(F.col("__k").alias(key), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"), *counts)
+
+
 def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str = "site_id", layer: str = "layer", layers: list[str] = (), distance=haversine_km) -> DataFrame:
     """JON-10: per point and target layer the distance to the nearest target and the numbers within the radii.
 
@@ -115,20 +137,18 @@ def nearest_and_counts(points: DataFrame, targets: DataFrame, radii, key: str =
     targets without a place count nowhere.
     """
     layers = list(layers) or [r[0] for r in targets.select(layer).distinct().orderBy(layer).collect()]
-    p = points.select(F.col(key).alias("__k"), F.col("lon").cast("double").alias("p_lon"), F.col("lat").cast("double").alias("p_lat"))
-    t = targets.select(F.col(layer).alias("__l"), F.col("lon").cast("double").alias("t_lon"), F.col("lat").cast("double").alias("t_lat")).filter(F.col("__l").isin(layers)).groupBy("__l", "t_lon", "t_lat").agg(F.count("*").alias("__n"))
+    p, places, t = _places(points, targets, key, layer, layers)
     kms = [float(r) for r in radii]
-    places = p.select("p_lon", "p_lat").distinct()
     near = radius_pairs(places, t, max(kms), distance)
     names = {la: f"dist_km_nearest_{la}" for la in layers}
-    counts = near.groupBy("p_lon", "p_lat").agg(*(F.sum(F.when((F.col("__l") == la) & (F.col("dist_km") <= r), F.col("__n"))).alias(f"count_{la}_le{r:g}km") for la in layers for r in kms), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(n) for la, n in names.items()))
+    counts = near.groupBy("p_lon", "p_lat").agg(*(n.alias(c) for c, n in _counts(layers, kms).items()), *(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(n) for la, n in names.items()))
     out = written(places.join(counts, ["p_lon", "p_lat"], "left").withColumn("__place", F.monotonically_increasing_id()), "nearest")
     far = out.filter(reduce(lambda a, b: a | b, (F.col(n).isNull() for n in names.values()))).select(F.col("__place").alias("__k"), "p_lon", "p_lat")
     if not far.isEmpty():
         best = nearest(far, t, distance).groupBy(F.col("__k").alias("__place")).agg(*(F.min(F.when(F.col("__l") == la, F.col("dist_km"))).alias(f"__d_{n}") for la, n in names.items()))
         out = out.join(best, "__place", "left").withColumns({n: F.coalesce(n, f"__d_{n}") for n in names.values()})
     out = p.join(out.drop("__place"), ["p_lon", "p_lat"], "left")
-    zero = {f"count_{la}_le{r:g}km": 0 for la in layers for r in kms}
+    zero = dict.fromkeys(_counts(layers, kms), 0)
     cols = [F.col("__k").alias(key), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"), *names.values(), *zero]
     return out.fillna(zero).select(*cols)
 

@@ -78,6 +78,32 @@ def test_table_s4_of_copies(spark, monkeypatch, tmp_path):
     assert [(-r.projects, r.site_id) for r in QUERIES["table_s4"](spark, str(tmp_path)).collect()] == want and six.count() == 6 * len(most)
 
 
+@needs_tables
+def test_table_s4_counts_without_searching(spark, monkeypatch):
+    """The table needs the counts within 3 km alone: nothing is searched beyond, nothing written."""
+    want = sorted((-r.count_gov_le3km - r.count_wb_le3km - r.count_oth_le3km, r.site_id) for r in distance.nearest_and_counts(sites(spark, SF), targets(spark, SF), (1.0, 3.0), layers=["gov", "wb", "oth"]).collect())[:10]
+
+    def refused(*args):
+        raise AssertionError("table_s4 searched or wrote")
+
+    monkeypatch.setattr(distance, "nearest", refused)
+    monkeypatch.setattr(distance, "written", refused)
+    assert [(-r.projects, r.site_id) for r in QUERIES["table_s4"](spark, SF).collect()] == want
+
+
+def test_counts_alone_are_those_beside_the_distances(spark):
+    """Copies, layers without targets near or at all, points far off or without a place."""
+    points = spark.createDataFrame([(k, 10.0 + k % 4 * 0.01, -10.0) for k in range(12)] + [(12, 60.0, 60.0), (13, None, -10.0)], "site_id int, lon double, lat double")
+    goals = spark.createDataFrame([("gov" if k % 2 else "wb", 10.0 + k % 5 * 0.01, -10.0) for k in range(40)] + [("oth", 40.0, 20.0), ("gov", None, 1.0), ("else", 10.0, -10.0)], "layer string, lon double, lat double")
+    layers = ["gov", "wb", "oth", "none"]
+    got = distance.counts_within(points, goals, (2.0, 9.0), layers=layers)
+    both = distance.nearest_and_counts(points, goals, (2.0, 9.0), layers=layers).select(*got.columns)
+    assert got.columns == ["site_id", "lon", "lat", *(f"count_{la}_le{r}km" for la in layers for r in (2, 9))]
+    rows = sorted(got.collect(), key=lambda r: r.site_id)
+    assert rows == sorted(both.collect(), key=lambda r: r.site_id) and len(rows) == 14 and rows[0].count_gov_le9km == 20 and rows[12].count_gov_le9km == rows[13].count_gov_le9km == 0
+    assert "count_else_le2km" in distance.counts_within(points, goals, (2.0,)).columns
+
+
 def relaxed(f, start, dy, dx, cutoff):
     """Least minutes by relaxing all pairs of neighbours until nothing falls."""
     best = {start: 0.0} if start in f else {}
